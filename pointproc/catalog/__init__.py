@@ -4,12 +4,8 @@ from __future__ import annotations
 
 
 def _load():
-    from pointproc.catalog import base, rates  # noqa: F401
+    from pointproc.catalog import base, graphs, rates, statistics  # noqa: F401
 
-    try:
-        from pointproc.catalog import graphs, statistics  # noqa: F401
-    except ImportError:
-        pass
     return base
 
 

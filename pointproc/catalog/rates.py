@@ -20,6 +20,10 @@ K = ["study", "metric"]
 ALL_CHANNELS = [c for c in range(1, 64) if c not in el.GROUND]
 
 
+def seconds(trains):
+    return trains.withColumn("t", F.col("t_us") / 1e6).drop("t_us")
+
+
 # --- sources --------------------------------------------------------------------
 
 @query("S2_read_pair", "SELECT b.study, b.pair_no, b.recording_id AS baseline_id, t.recording_id AS treatment_id "
@@ -28,11 +32,11 @@ def _(s, d):
     return store.read_pairs(i.recordings(s, d))
 
 
-@query("S3_pair_spikes", """SELECT r.recording_id, 61 - e.pin AS ord, e.channel, c.channel IS NOT NULL AS found, s.t_us
+@query("S3_pair_spikes", """SELECT r.recording_id, 61 - e.pin AS ord, e.channel, c.channel IS NOT NULL AS found, s.t_us / 1e6 AS t
        FROM recs r CROSS JOIN elec e LEFT JOIN chans c USING (recording_id, channel)
-       LEFT JOIN spikes s USING (recording_id, channel)""", ints="ord channel")
+       LEFT JOIN spikes s USING (recording_id, channel)""", "t", ints="ord channel")
 def _(s, d):
-    return store.channel_trains(i.spikes(s, d), i.channels(s, d), i.recordings(s, d), ALL_CHANNELS[::-1])
+    return seconds(store.channel_trains(i.spikes(s, d), i.channels(s, d), i.recordings(s, d), ALL_CHANNELS[::-1]))
 
 
 @query("S4_pool_metric", """SELECT study, pair_no, channel, 'spike_rate' AS metric, sb AS b, st AS t FROM obs2
@@ -448,19 +452,19 @@ def _(s, d):
     return tr.coverage(i.spikes(s, d), td.DELTA_US, td.BLOCK_US)
 
 
-@query("W10_raster_projection", """SELECT r.recording_id, e.pin AS ord, e.channel, s.t_us FROM recs r CROSS JOIN elec e
-       LEFT JOIN spikes s USING (recording_id, channel)""", ints="ord channel")
+@query("W10_raster_projection", """SELECT r.recording_id, e.pin AS ord, e.channel, s.t_us / 1e6 AS t FROM recs r CROSS JOIN elec e
+       LEFT JOIN spikes s USING (recording_id, channel)""", "t", ints="ord channel")
 def _(s, d):
-    return store.channel_trains(i.spikes(s, d), i.channels(s, d), i.recordings(s, d), ALL_CHANNELS).drop("found")
+    return seconds(store.channel_trains(i.spikes(s, d), i.channels(s, d), i.recordings(s, d), ALL_CHANNELS)).drop("found")
 
 
-@query("W11_burst_onsets", f"""SELECT r.recording_id, e.channel, b.start_us, coalesce(b.start_us BETWEEN 0 AND {DUR}, true) AS in_range
-       FROM recs r CROSS JOIN elec e LEFT JOIN bursts b USING (recording_id, channel)""", ints="channel")
+@query("W11_burst_onsets", f"""SELECT r.recording_id, e.channel, b.start_us / 1e6 AS onset, coalesce(b.start_us BETWEEN 0 AND {DUR}, true) AS in_range
+       FROM recs r CROSS JOIN elec e LEFT JOIN bursts b USING (recording_id, channel)""", "onset", ints="channel")
 def _(s, d):
     asked = i.recordings(s, d).select("recording_id", "duration_us", F.explode(F.array(*[F.lit(c) for c in ALL_CHANNELS])).alias("channel"))
     b = i.bursts(s, d).select("recording_id", "channel", "start_us")
     return asked.join(b, ["recording_id", "channel"], "left").select(
-        "recording_id", "channel", "start_us",
+        "recording_id", "channel", (F.col("start_us") / 1e6).alias("onset"),
         F.coalesce(F.col("start_us").between(F.lit(0), F.col("duration_us")), F.lit(True)).alias("in_range"))
 
 
@@ -557,7 +561,7 @@ def _(s, d):
 
 
 @query("X3_p_text", """SELECT l_orderkey, l_linenumber, CASE WHEN p IS NULL THEN 'n/a' WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS p_text
-       FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = 50 THEN NULL ELSE l_discount / l_quantity END AS p FROM lineitem)""")
+       FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = 50 THEN NULL ELSE l_discount / l_quantity END AS p FROM lineitem)""", ints="l_linenumber")
 def _(s, d):
     p = F.when(F.col("l_quantity") == 50, None).otherwise(F.col("l_discount") / F.col("l_quantity"))
     return i.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", sc.p_text(p).alias("p_text"))

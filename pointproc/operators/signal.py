@@ -53,24 +53,28 @@ def thin_to(rows: DataFrame, target: int, width: int) -> DataFrame:
 
 # --- filtering ------------------------------------------------------------------
 
-def squared_gain(freq: np.ndarray, fs: float, p: FilterParams) -> np.ndarray:
-    """Zero-phase response: squared gain of the notches times the band-pass."""
-    if p.band_high >= fs / 2 or p.band_low <= 0 or p.band_low >= p.band_high:
-        raise ValueError("band edges must satisfy 0 < low < high < fs/2")
+def notch_gain(freq: np.ndarray, fs: float, p: FilterParams) -> np.ndarray:
+    """Squared gain of the notches at the mains frequency and its harmonics."""
+    if min(fs, p.notch_f0, p.notch_max, p.notch_q) <= 0:
+        raise ValueError("rate, notch frequency, limit and Q must be positive")
     z = np.exp(-2j * np.pi * freq / fs)
     gain = np.ones_like(freq)
     for f0 in np.arange(p.notch_f0, p.notch_max + 1e-9, p.notch_f0):
-        if f0 >= fs / 2:
-            break
-        w0 = 2 * np.pi * f0 / fs
-        alpha, c = np.sin(w0) / (2 * p.notch_q), -2 * np.cos(w0)
-        h = (1 + c * z + z * z) / ((1 + alpha) + c * z + (1 - alpha) * z * z)
-        gain *= np.abs(h) ** 2
+        if f0 < fs / 2:
+            w0 = 2 * np.pi * f0 / fs
+            alpha, c = np.sin(w0) / (2 * p.notch_q), -2 * np.cos(w0)
+            gain *= np.abs((1 + c * z + z * z) / ((1 + alpha) + c * z + (1 - alpha) * z * z)) ** 2
+    return gain
+
+
+def band_gain(freq: np.ndarray, fs: float, p: FilterParams) -> np.ndarray:
+    """Squared gain of the Butterworth band-pass."""
+    if not 0 < p.band_low < p.band_high < fs / 2:
+        raise ValueError("band edges must satisfy 0 < low < high < fs/2")
     warp = np.tan(np.pi * np.minimum(freq, fs / 2 * (1 - 1e-12)) / fs)
     lo, hi = np.tan(np.pi * p.band_low / fs), np.tan(np.pi * p.band_high / fs)
     with np.errstate(divide="ignore", over="ignore"):
-        ratio = (warp**2 - lo * hi) / (warp * (hi - lo))
-        return gain / (1 + ratio ** (2 * p.band_order))
+        return 1 / (1 + ((warp**2 - lo * hi) / (warp * (hi - lo))) ** (2 * p.band_order))
 
 
 def filter_samples(samples: DataFrame, p: FilterParams = FilterParams(), block_sec: float = 60.0,
@@ -99,7 +103,8 @@ def filter_samples(samples: DataFrame, p: FilterParams = FilterParams(), block_s
             seg = x[part]
             # mirrored ends keep the wrap-around of the transform out of the stretch
             padded = np.concatenate([2 * seg[0] - seg[:0:-1], seg, 2 * seg[-1] - seg[-2::-1]])
-            gain = squared_gain(np.fft.rfftfreq(len(padded), 1 / fs), fs, p)
+            freq = np.fft.rfftfreq(len(padded), 1 / fs)
+            gain = notch_gain(freq, fs, p) * band_gain(freq, fs, p)
             y[part] = np.fft.irfft(np.fft.rfft(padded) * gain, len(padded))[len(seg) - 1:2 * len(seg) - 1]
         if not own.any():
             return pd.DataFrame({"recording_id": [], "channel": [], "n": [], "fs": [], "x": []})
