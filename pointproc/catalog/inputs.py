@@ -55,7 +55,7 @@ def _obs(spark: SparkSession, d: str) -> DataFrame:
 def pct(spark: SparkSession, d: str) -> DataFrame:
     o = obs(spark, d)
     spike, burst = o.filter("metric = 'spike_rate'"), o.filter("metric = 'burst_rate'")
-    return ob.pct_change(spike).unionByName(ob.burst_pct_change(burst, spike))
+    return cut_lineage(ob.pct_change(spike).unionByName(ob.burst_pct_change(burst, spike)))
 
 
 def bins(spark: SparkSession, d: str) -> DataFrame:

@@ -8,24 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointproc.operators.ordered import div_floor
+from pointproc.session import wide
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_pos: str,
-              right_pos: str, reach: int) -> DataFrame:
+              right_pos: str, reach: int, after: bool = False) -> DataFrame:
     """All (left, right) rows with equal ``keys`` and |right - left| <= ``reach``.
 
-    Positions are BIGINT. Buckets are 2*reach wide, so a left row meets at most two
-    of them and the join is an equi-join on (keys, bucket): a hot key is spread over
-    its buckets, and no row is matched twice because a right row has one bucket.
+    With ``after`` only right rows at or after the left one: 0 <= right - left <= reach.
+    Positions are BIGINT. Buckets are as wide as the band, so a left row meets at most
+    two of them and the join is an equi-join on (keys, bucket): a hot key is spread
+    over its buckets, and no row is matched twice because a right row has one bucket.
     Column names of both sides other than the keys must differ.
     """
     reach = int(reach)
-    width = max(2 * reach, 1)
+    low = 0 if after else reach
+    width = max(low + reach, 1)
     lp, rp = F.col(left_pos), F.col(right_pos)
     near = left.withColumn("_cell", F.explode(
-        F.sequence(div_floor(lp - reach, width), div_floor(lp + reach, width))))
+        F.sequence(div_floor(lp - low, width), div_floor(lp + reach, width))))
     cell = right.withColumn("_cell", div_floor(rp, width))
-    return near.join(cell, [*keys, "_cell"]).filter(F.abs(rp - lp) <= reach).drop("_cell")
+    on = [*keys, "_cell"]
+    return wide(near, *on).join(wide(cell, *on), on).filter(
+        (rp - lp).between(F.lit(-low), F.lit(reach))).drop("_cell")
 
 
 def point_in_intervals(points: DataFrame, spans: DataFrame, keys: Sequence[str], pos: str,
@@ -38,6 +43,6 @@ def point_in_intervals(points: DataFrame, spans: DataFrame, keys: Sequence[str],
     width = max(int(width), 1)
     listed = spans.withColumn("_cell", F.explode(
         F.sequence(div_floor(F.col("lo"), width), div_floor(F.col("hi"), width))))
-    p = F.col(pos)
-    return (points.withColumn("_cell", div_floor(p, width)).join(listed, [*keys, "_cell"])
+    p, on = F.col(pos), [*keys, "_cell"]
+    return (wide(points.withColumn("_cell", div_floor(p, width)), *on).join(wide(listed, *on), on)
             .filter((F.col("lo") <= p) & (p <= F.col("hi"))).drop("_cell"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pointproc.functions.quantile import array_percentile, percentile_mid, small_percentile
 from pointproc.operators.bandjoin import band_join, point_in_intervals
 from pointproc.operators.trains import TRAIN, bin_counts, bin_moments, cover_intervals, coverage
+from pointproc.session import wide
 from pointproc.sources.electrodes import electrode_pairs, electrodes
 
 PAIR = ["recording_id", "i", "j"]
@@ -30,11 +31,16 @@ def coincidences(bins: DataFrame, max_lag: int) -> DataFrame:
     Spikes are already merged into (bin, count), and products are summed map-side
     before the shuffle, so what moves is bounded by distinct (pair, lag) cells.
     """
-    a = bins.select("recording_id", F.col("channel").alias("i"), F.col("bin").alias("bi"), F.col("c").alias("ci"))
-    b = bins.select("recording_id", F.col("channel").alias("j"), F.col("bin").alias("bj"), F.col("c").alias("cj"))
-    near = band_join(a, b, ["recording_id"], "bi", "bj", max_lag).filter("i < j")
-    return near.groupBy(*PAIR, (F.col("bj") - F.col("bi")).alias("lag")).agg(
-        F.sum(F.col("ci") * F.col("cj")).alias("c"))
+    a = bins.select("recording_id", F.col("channel").alias("a"), F.col("bin").alias("pa"), F.col("c").alias("ca"))
+    b = bins.select("recording_id", F.col("channel").alias("b"), F.col("bin").alias("pb"), F.col("c").alias("cb"))
+    # every unordered pair of bins once: b at or after a, ties by channel
+    near = band_join(a, b, ["recording_id"], "pa", "pb", max_lag, after=True).filter(
+        (F.col("a") != F.col("b")) & ((F.col("pa") < F.col("pb")) | (F.col("a") < F.col("b"))))
+    gap = F.col("pb") - F.col("pa")
+    return near.groupBy(
+        "recording_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"),
+        F.when(F.col("a") < F.col("b"), gap).otherwise(-gap).alias("lag"),
+    ).agg(F.sum(F.col("ca") * F.col("cb")).alias("c"))
 
 
 def _edge_counts(bins: DataFrame, max_lag: int) -> DataFrame:
@@ -79,10 +85,10 @@ def lagged_scores(spikes: DataFrame, channels: DataFrame, bin_us: int, max_lag:
         return trains.select("recording_id", *[F.col(c).alias(f"{c}_{at}" if c != "channel" else at)
                                                for c in trains.columns if c != "recording_id"])
 
+    both = pairs.select(*PAIR).join(side("i"), ["recording_id", "i"]).join(
+        side("j").drop("n_bins_j"), ["recording_id", "j"])
     grid = (
-        pairs.select(*PAIR).join(side("i"), ["recording_id", "i"])
-        .join(side("j").drop("n_bins_j"), ["recording_id", "j"])
-        .join(hits, PAIR, "left")
+        wide(both, *PAIR).join(wide(hits, *PAIR), PAIR, "left")
         .withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
         .withColumn("c", F.coalesce(F.element_at("hits", F.col("lag").cast("bigint")), F.lit(0)))
     )

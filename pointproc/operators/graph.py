@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointproc.functions.resample import draw_word
-from pointproc.session import cut_lineage
+from pointproc.session import cut_lineage, wide
 
 
 def threshold_graph(weights: DataFrame, thresholds: DataFrame, keys: Sequence[str],
@@ -236,7 +236,7 @@ def random_graphs(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], repli
     keys = list(keys)
     name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     m = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
-    reps = m.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(int(replicates)))))
+    reps = wide(m.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(int(replicates))))), *keys, "replicate")
     later = nodes.select(*keys, F.col("node").alias("dst"))
     rows = (reps.join(nodes.withColumnRenamed("node", "src"), keys).join(later, keys).filter("src < dst")
             .withColumn("_h", draw_word(F.lit(seed), name, F.col("replicate"), F.col("src"), F.col("dst"))))

@@ -14,6 +14,7 @@ from pointproc.functions.quantile import array_median, cumulative, percentile_mi
 from pointproc.functions.resample import draw_index
 from pointproc.functions.scalar import safe_pct
 from pointproc.operators.ordered import with_neighbours
+from pointproc.session import cut_lineage, wide
 
 EXACT_LIMIT = 500       # most differences the exact signed-rank distribution is built for
 MEDIAN_LIMIT = 1 << 20  # most draws per replicate left to the built-in median
@@ -163,7 +164,7 @@ def bootstrap_one_level(obs: DataFrame, keys: Sequence[str], order: str, width:
     """
     keys = list(keys)
     rows = with_neighbours(complete(obs), keys, order, width).select(*keys, "idx", "b", "t")
-    sizes = rows.groupBy(*keys).agg(F.max("idx").alias("n"))
+    sizes = cut_lineage(rows.groupBy(*keys).agg(F.max("idx").alias("n")))
     slots = _slots(sizes.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))), "n")
     draws = slots.withColumn("idx", draw_index(F.col("n"), F.lit(seed), F.col("iteration"), F.lit(0), F.col("slot")) + 1)
     return _replicates(draws.join(rows, [*keys, "idx"]), keys, _largest(sizes))
@@ -175,7 +176,7 @@ def bootstrap_two_level(obs: DataFrame, keys: Sequence[str], cluster: str, order
     keys = list(keys)
     rows = with_neighbours(complete(obs), [*keys, cluster], order, width).select(
         *keys, cluster, "idx", "b", "t")
-    sizes = rows.groupBy(*keys, cluster).agg(F.max("idx").alias("n"))
+    sizes = cut_lineage(rows.groupBy(*keys, cluster).agg(F.max("idx").alias("n")))
     ranked = with_neighbours(sizes, keys, cluster, 1 << 16).select(*keys, cluster, "n", F.col("idx").alias("c_idx"))
     totals = ranked.groupBy(*keys).agg(F.max("c_idx").alias("n_c"))
     first = _slots(totals.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))), "n_c")
@@ -193,6 +194,7 @@ def _slots(df: DataFrame, n: str) -> DataFrame:
     size = F.col(n)
     chunked = df.withColumn("_chunk", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.floor((size - 1) / SLOT_CHUNK))))
+    chunked = wide(chunked, *chunked.columns)
     first = F.col("_chunk") * SLOT_CHUNK
     last = F.least(first + SLOT_CHUNK, size) - 1
     return chunked.withColumn("slot", F.explode(F.sequence(first, last))).drop("_chunk")

@@ -70,10 +70,10 @@ def sweep_summary(sweep: DataFrame) -> DataFrame:
 
 def family_test(observations: DataFrame, params: Params = DEFAULTS, iterations: int | None = None) -> DataFrame:
     """Paired statistics of each network metric over pairs, one family per study."""
-    rows = observations.withColumn("ord", F.col("pair_no").cast("bigint"))
+    rows = cut_lineage(observations.withColumn("ord", F.col("pair_no").cast("bigint")))
     stats = paired_stats(rows, ["study", "metric"], "ord", 1 << 16, iterations or params.stats.n_bootstrap,
                          params.stats.bootstrap_seed)
-    return bh_fdr(stats, ["study"], "p", params.stats.fdr_q)
+    return bh_fdr(cut_lineage(stats), ["study"], "p", params.stats.fdr_q)
 
 
 def metric_table(tests: DataFrame) -> DataFrame:

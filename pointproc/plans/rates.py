@@ -12,6 +12,7 @@ from pointproc.operators.observations import (
 from pointproc.operators.stats import bh_fdr, bootstrap_two_level, interval_and_p, paired_stats
 from pointproc.functions.quantile import percentile_mid
 from pointproc.params import DEFAULTS, Params
+from pointproc.session import cut_lineage
 
 
 def ordered(obs: DataFrame) -> DataFrame:
@@ -43,6 +44,7 @@ def study_bootstrap(spike_obs: DataFrame, burst_obs: DataFrame, params: Params =
     pct = pct_change(spike_obs, o.pct_max_include, o.exclude_silenced_pct).unionByName(
         burst_pct_change(burst_obs, spike_obs, o.min_rate_burst, o.pct_max_include, o.exclude_silenced_pct))
     by = [*keys, "metric"]
+    pct = cut_lineage(pct)
     # the statistic is the median of pct itself: hand it over as a difference to 0
     rows = ordered(pct).select(*by, "pair_no", "ord", F.lit(0.0).alias("b"), F.col("pct").alias("t"))
     reps = bootstrap_two_level(rows, by, "pair_no", "ord", 1 << 16, iterations or params.stats.n_bootstrap,
@@ -50,4 +52,4 @@ def study_bootstrap(spike_obs: DataFrame, burst_obs: DataFrame, params: Params =
     seen = percentile_mid(pct, by, "pct", {"observed": 50}).withColumnRenamed("n", "n_channels")
     sets = pct.groupBy(*by).agg(F.countDistinct("pair_no").alias("n_datasets"))
     out = seen.join(sets, by).join(interval_and_p(reps, by, "delta"), by)
-    return bh_fdr(out, keys, "p", params.stats.fdr_q)
+    return bh_fdr(cut_lineage(out), keys, "p", params.stats.fdr_q)

@@ -37,3 +37,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
+
+
+def wide(df: DataFrame, *by: str) -> DataFrame:
+    """Spread rows over the session's full shuffle width, by the named columns.
+
+    For stages whose output is far larger than their input (pair joins, generated
+    draws): adaptive coalescing goes by input bytes and would leave them few tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *by)
