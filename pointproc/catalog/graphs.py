@@ -104,7 +104,7 @@ def _(s, d):
 
 
 _STTC = _NEAR + f""", cov AS (SELECT recording_id, channel, count(*) AS n, sum(least(least({DUR}, t_us + {2 * HOUR}),
-    coalesce(greatest(0, next - {2 * HOUR}), {DUR})) - greatest(0, t_us - {2 * HOUR})) / {DUR} AS cov FROM seq GROUP BY ALL),
+    CASE WHEN next IS NULL THEN {DUR} ELSE greatest(0, next - {2 * HOUR}) END) - greatest(0, t_us - {2 * HOUR})) / {DUR} AS cov FROM seq GROUP BY ALL),
     sttc AS (SELECT p.recording_id, p.study, p.pair_no, p.condition, p.i, p.j, CASE WHEN a.n IS NULL OR b.n IS NULL THEN 0 ELSE 0.5 * (
     (coalesce(x.n_near, 0) / a.n - b.cov) / (1 - coalesce(x.n_near, 0) / a.n * b.cov)
     + (coalesce(y.n_near, 0) / b.n - a.cov) / (1 - coalesce(y.n_near, 0) / b.n * a.cov)) END AS w FROM cpairs p

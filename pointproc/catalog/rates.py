@@ -446,7 +446,7 @@ def _(s, d):
 
 
 @query("W4_tiling_coverage", f"""SELECT recording_id, channel, n_spikes, covered / {DUR} AS coverage FROM (SELECT recording_id, channel,
-       count(*) AS n_spikes, sum(least(least({DUR}, t_us + {2 * HOUR}), coalesce(greatest(0, next - {2 * HOUR}), {DUR}))
+       count(*) AS n_spikes, sum(least(least({DUR}, t_us + {2 * HOUR}), CASE WHEN next IS NULL THEN {DUR} ELSE greatest(0, next - {2 * HOUR}) END)
        - greatest(0, t_us - {2 * HOUR})) AS covered FROM seq GROUP BY ALL)""", "coverage")
 def _(s, d):
     return tr.coverage(i.spikes(s, d), td.DELTA_US, td.BLOCK_US)

@@ -106,10 +106,12 @@ def filter_samples(samples: DataFrame, p: FilterParams = FilterParams(), block_s
             freq = np.fft.rfftfreq(len(padded), 1 / fs)
             gain = notch_gain(freq, fs, p) * band_gain(freq, fs, p)
             y[part] = np.fft.irfft(np.fft.rfft(padded) * gain, len(padded))[len(seg) - 1:2 * len(seg) - 1]
-        if not own.any():
-            return pd.DataFrame({"recording_id": [], "channel": [], "n": [], "fs": [], "x": []})
-        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "channel": pdf["channel"].iloc[0],
-                             "n": n[own], "fs": fs, "x": y[own]})
+        # a block past the end of a series has neighbours' chunks only: an empty, typed frame
+        k = int(own.sum())
+        return pd.DataFrame({
+            "recording_id": pd.Series([pdf["recording_id"].iloc[0]] * k, dtype=object),
+            "channel": np.full(k, pdf["channel"].iloc[0], dtype="int32"),
+            "n": n[own].astype("int64"), "fs": np.full(k, fs), "x": y[own]})
 
     return spread.groupBy(*SERIES, "block").applyInPandas(
         run, "recording_id string, channel int, n bigint, fs double, x double")

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointproc.functions.quantile import array_median, cumulative, percentile_mid, small_percentile
 from pointproc.functions.resample import draw_index
@@ -101,7 +102,7 @@ def signed_rank(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
                        w_p, F.col("n_nonzero"), F.col("ties")).alias("p_wilcoxon"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _signed_rank_p(r2: pd.Series, cnt: pd.Series, w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
     """Tail of the rank-subset sums, one short row per endpoint."""
     out = []
@@ -226,7 +227,7 @@ def interval_and_p(reps: DataFrame, keys: Sequence[str], value: str, prefix: str
     tail = F.least(F.avg(F.when(v >= 0, 1.0).when(v < 0, 0.0)), F.avg(F.when(v <= 0, 1.0).when(v > 0, 0.0)))
     return reps.groupBy(*keys).agg(
         small_percentile(v, 2.5).alias(f"{prefix}ci_lo"), small_percentile(v, 97.5).alias(f"{prefix}ci_hi"),
-        F.least(2 * tail, F.lit(1.0)).alias(f"{prefix}p"))
+        F.when(F.count(v) > 0, F.least(2 * tail, F.lit(1.0))).alias(f"{prefix}p"))
 
 
 # --- exact permutation test -----------------------------------------------------
@@ -288,7 +289,7 @@ def permutation_test(spark: SparkSession, values: DataFrame, statistic: Callable
 
 # --- counts ---------------------------------------------------------------------
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_tail_df1(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.erfc(math.sqrt(v / 2)) if v == v else None)
 

@@ -138,7 +138,8 @@ def coverage(spikes: DataFrame, delta_us: int, block_us: int) -> DataFrame:
     rows = with_neighbours(spikes, TRAIN, "t_us", block_us)
     lo = F.greatest(F.lit(0), F.col("t_us") - delta_us)
     hi = F.least(F.col("duration_us"), F.col("t_us") + delta_us)
-    next_lo = F.greatest(F.lit(0), F.col("next") - delta_us)
+    # NULL after the last spike, where nothing cuts the window (greatest skips NULLs)
+    next_lo = F.when(F.col("next").isNotNull(), F.greatest(F.lit(0), F.col("next") - delta_us))
     return rows.groupBy(*TRAIN).agg(
         (F.sum(F.least(hi, next_lo) - lo) / F.max("duration_us")).alias("coverage"),
         F.count(F.lit(1)).alias("n_spikes"))
