@@ -324,6 +324,19 @@ def _(s, d):
     return g.modularity(nodes, cut_lineage(edges), nodes.join(F.broadcast(rows), "node"), R)
 
 
+@query("N3_N6_N7_shape_metrics", """SELECT * FROM (SELECT recording_id, avg(CASE WHEN degree >= 2 THEN 2.0 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END) AS clustering_mean
+       FROM gdeg LEFT JOIN (SELECT recording_id, node, count(*) AS t FROM (SELECT recording_id, unnest([x, y, z]) AS node FROM tri) GROUP BY ALL)
+       USING (recording_id, node) GROUP BY ALL) JOIN (SELECT comp.recording_id, sum(d) / count(d) AS path_length FROM (SELECT recording_id, component FROM
+       (SELECT recording_id, component, count(*) AS size FROM comp GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY size DESC,
+       component) = 1) JOIN comp USING (recording_id, component) LEFT JOIN bfs ON bfs.recording_id = comp.recording_id AND bfs.source = comp.node
+       GROUP BY comp.recording_id) USING (recording_id) JOIN (SELECT recording_id, coalesce(e, 0) / (n * (n - 1)) AS efficiency FROM (SELECT recording_id,
+       count(*) AS n FROM gnodes GROUP BY ALL) LEFT JOIN (SELECT recording_id, sum(1.0::DOUBLE / d) AS e FROM bfs GROUP BY ALL) USING (recording_id))
+       USING (recording_id)""", "clustering_mean path_length efficiency", extra=_TRI)
+def _(s, d):
+    nodes, edges = i.graph(s, d)
+    return g.shape_metrics(nodes, edges, R)
+
+
 @query("N9_greedy_modularity")
 def _(s, d):
     nodes, edges = i.graph(s, d)
@@ -350,7 +363,7 @@ def _(s, d):
 def _(s, d):
     nodes, edges = i.graph(s, d)
     edges = cut_lineage(edges)
-    seen = g.clustering(nodes, edges, R).join(g.path_metrics(nodes, g.hop_distances(edges, R), R), R)
+    seen = g.shape_metrics(nodes, edges, R)
     return g.small_worldness(nodes, edges, cut_lineage(seen), R, NULLS, 1)
 
 

@@ -59,22 +59,16 @@ def _edge_counts(bins: DataFrame, max_lag: int) -> DataFrame:
             .select(*TRAIN, running("_h").alias("head"), running("_t").alias("tail")))
 
 
-def lagged_scores(spikes: DataFrame, channels: DataFrame, bin_us: int, max_lag: int,
-                  norm: str = "pearson", pairs: DataFrame | None = None) -> DataFrame:
-    """Score of every pair at every lag: recording_id, i, j, lag, r.
-
-    ``pearson`` z-scores the binned counts and divides by N - |lag|; expanding the
-    product leaves only coincidence counts, totals and the counts in the edge bins,
-    so zero bins are never materialised. ``pairs`` restricts the pairs.
-    """
-    if norm not in NORMS:
-        raise ValueError(f"norm must be one of {NORMS}")
+def _pair_rows(spikes: DataFrame, channels: DataFrame, bin_us: int, max_lag: int,
+               pairs: DataFrame | None) -> DataFrame:
+    """One row per pair with all its scores need: moments, edge counts, coincidences."""
     bins = bin_counts(spikes, bin_us)
     cells = coincidences(bins, max_lag)
     if pairs is None:
         pairs = channel_pairs(channels)
     else:
         cells = cells.join(pairs.select(*PAIR), PAIR, "left_semi")
+    # at most 2*max_lag+1 entries per pair
     hits = cells.groupBy(*PAIR).agg(F.map_from_entries(F.collect_list(F.struct("lag", "c"))).alias("hits"))
     zeros = F.array_repeat(F.lit(0).cast("bigint"), max_lag + 1)
     trains = bin_moments(bins, channels, bin_us).join(_edge_counts(bins, max_lag), TRAIN, "left").select(
@@ -87,40 +81,64 @@ def lagged_scores(spikes: DataFrame, channels: DataFrame, bin_us: int, max_lag:
 
     both = pairs.select(*PAIR).join(side("i"), ["recording_id", "i"]).join(
         side("j").drop("n_bins_j"), ["recording_id", "j"])
-    grid = (
-        wide(both, *PAIR).join(wide(hits, *PAIR), PAIR, "left")
-        .withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
-        .withColumn("c", F.coalesce(F.element_at("hits", F.col("lag").cast("bigint")), F.lit(0)))
-    )
+    return wide(both, *PAIR).join(wide(hits, *PAIR), PAIR, "left")
+
+
+def _score(k: Column, norm: str) -> Column:
+    """Score of a pair row at lag ``k``.
+
+    ``pearson`` z-scores the binned counts and divides by N - |k|; expanding the
+    product leaves only coincidence counts, totals and the counts in the edge bins,
+    so zero bins are never materialised.
+    """
+    c = F.coalesce(F.element_at("hits", k.cast("bigint")), F.lit(0))
     if norm == "none":
-        r = F.col("c").cast("double")
+        r = c.cast("double")
     elif norm == "coeff":
         energy = F.sqrt(F.col("s2_i").cast("double") * F.col("s2_j"))
-        r = F.when(energy > 0, F.col("c") / energy)
+        r = F.when(energy > 0, c / energy)
     else:
-        k, m = F.col("lag"), F.abs(F.col("lag"))
+        m = F.abs(k)
         over = (F.col("n_bins_i") - m).cast("double")
         sx_i = F.col("s_i") - F.when(k >= 0, F.get("tail_i", m)).otherwise(F.get("head_i", m))
         sx_j = F.col("s_j") - F.when(k >= 0, F.get("head_j", m)).otherwise(F.get("tail_j", m))
-        num = (F.col("c") - F.col("mean_j") * sx_i - F.col("mean_i") * sx_j
-               + over * F.col("mean_i") * F.col("mean_j"))
-        r = (F.when(over > 0, num / (F.col("sd_i") * F.col("sd_j") * over))
-             .when(over < 0, F.lit(0.0)))
-    # rounding makes equal scores equal, so the tie rule below is well defined
-    return grid.select(*PAIR, "lag", F.round(r, 12).alias("r"))
+        num = (c - F.col("mean_j") * sx_i - F.col("mean_i") * sx_j + over * F.col("mean_i") * F.col("mean_j"))
+        r = F.when(over > 0, num / (F.col("sd_i") * F.col("sd_j") * over)).when(over < 0, F.lit(0.0))
+    # rounding makes equal scores equal, so the tie rule is well defined
+    return F.round(r, 12)
+
+
+def _lags(max_lag: int) -> Column:
+    return F.sequence(F.lit(-max_lag), F.lit(max_lag))
+
+
+def lagged_scores(spikes: DataFrame, channels: DataFrame, bin_us: int, max_lag: int,
+                  norm: str = "pearson", pairs: DataFrame | None = None) -> DataFrame:
+    """Score of every pair at every lag: recording_id, i, j, lag, r.
+
+    ``pairs`` restricts the pairs.
+    """
+    if norm not in NORMS:
+        raise ValueError(f"norm must be one of {NORMS}")
+    rows = _pair_rows(spikes, channels, bin_us, max_lag, pairs).withColumn("lag", F.explode(_lags(max_lag)))
+    return rows.select(*PAIR, "lag", _score(F.col("lag"), norm).alias("r"))
 
 
 def xcorr_edges(spikes: DataFrame, channels: DataFrame, bin_us: int, max_lag: int,
                 norm: str = "pearson") -> DataFrame:
     """Edge list of the largest signed score over lags; the first lag wins ties.
 
-    Read as (j, i) an edge keeps its weight and flips the sign of its lag.
+    The lags of a pair are scored inside its row, so the (pair, lag) grid is never
+    shuffled or sorted. Read as (j, i) an edge keeps its weight and flips its lag.
     """
-    scores = lagged_scores(spikes, channels, bin_us, max_lag, norm)
-    best = F.max(F.when(F.col("r").isNotNull(), F.struct("r", (-F.col("lag")).alias("neg"))))
-    return scores.groupBy(*PAIR).agg(best.alias("best")).select(
-        *PAIR, F.col("best.r").alias("w"),
-        (-F.coalesce(F.col("best.neg"), F.lit(max_lag)) * F.lit(int(bin_us))).cast("bigint").alias("peak_lag_us"))
+    if norm not in NORMS:
+        raise ValueError(f"norm must be one of {NORMS}")
+
+    rows = _pair_rows(spikes, channels, bin_us, max_lag, None).withColumn(
+        "r", F.transform(_lags(max_lag), lambda k: _score(k, norm)))
+    w = F.array_max("r")
+    first = F.when(w.isNotNull(), F.array_position("r", w)).otherwise(1)  # the position of the first maximum
+    return rows.select(*PAIR, w.alias("w"), ((first - 1 - max_lag) * F.lit(int(bin_us))).cast("bigint").alias("peak_lag_us"))
 
 
 def correlogram(spikes: DataFrame, channels: DataFrame, pairs: DataFrame, bin_us: int,

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointproc.functions.resample import draw_word
@@ -162,6 +162,81 @@ def path_metrics(nodes: DataFrame, distances: DataFrame, keys: Sequence[str]) ->
     )
 
 
+def _bit(b: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), b.cast("int"))
+
+
+def fits_mask(nodes: DataFrame) -> bool:
+    """Whether all node numbers lie in 0..63, as those of an electrode array do."""
+    lo, hi = nodes.agg(F.min("node"), F.max("node")).first()
+    return lo is not None and lo >= 0 and hi <= 63
+
+
+def mask_metrics(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Clustering and path metrics of graphs whose nodes are numbered 0..63.
+
+    A neighbourhood is one 64-bit mask and a graph an array of 64 of them, so a
+    breadth-first search is a fold inside one (graph, source) row and a triangle count
+    a few bit counts: no joins or rounds, whatever the number of graphs. Same values as
+    ``clustering`` and ``path_metrics``, which take any node numbers.
+    """
+    keys = list(keys)
+    near = both_ways(edges, keys).groupBy(*keys, "src").agg(F.bit_or(_bit(F.col("dst"))).alias("m"))
+    zero = F.lit(0).cast("bigint")
+    # at most 64 entries per graph
+    graphs = near.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("src", "m"))).alias("_m")).select(
+        *keys, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.coalesce(F.element_at("_m", b), zero)).alias("adj"))
+    rows = nodes.select(*keys, "node").join(graphs, keys, "left").withColumn(
+        "adj", F.coalesce("adj", F.array_repeat(zero, 64)))
+
+    def has(mask: Column, b: Column) -> Column:
+        return F.call_function("shiftright", mask, b.cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    def around(front: Column) -> Column:
+        picked = F.transform("adj", lambda m, b: F.when(has(front, b), m).otherwise(zero))
+        return F.aggregate(picked, zero, lambda a, m: a.bitwiseOR(m))
+
+    def state(seen, front, sum_d, n, inv) -> Column:
+        return F.struct(seen.alias("seen"), front.alias("front"), sum_d.cast("bigint").alias("sum_d"),
+                        n.cast("bigint").alias("n"), inv.cast("double").alias("inv"))
+
+    def step(acc: Column, d: Column) -> Column:
+        fresh = F.transform(F.array(around(acc["front"]).bitwiseAND(F.bitwise_not(acc["seen"]))), lambda new: state(
+            acc["seen"].bitwiseOR(new), new, acc["sum_d"] + d * F.bit_count(new), acc["n"] + F.bit_count(new),
+            acc["inv"] + F.bit_count(new) / d))
+        return F.when(acc["front"] == 0, acc).otherwise(F.get(fresh, F.lit(0)))
+
+    me = _bit(F.col("node"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(63)), state(me, me, zero, zero, F.lit(0.0)), step)
+    mine = F.get("adj", F.col("node"))
+    shared = F.transform("adj", lambda m, b: F.when(has(mine, b), F.bit_count(m.bitwiseAND(mine))).otherwise(F.lit(0)))
+    k = F.bit_count(mine)
+    links = F.aggregate(shared, F.lit(0), lambda a, x: a + x)  # every link twice
+    local = F.when(k >= 2, links / (k * (k - 1)).cast("double")).otherwise(0.0)
+    per = rows.select(*keys, "node", local.alias("local"), walk.alias("w")).select(*keys, "node", "local", "w.*")
+    comp = per.groupBy(*keys, "seen").agg(
+        F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.sum("sum_d").alias("sum_d"),
+        F.sum("n").alias("n_d"), F.sum("inv").alias("inv"), F.sum("local").alias("local"))
+    n = F.col("n_nodes")
+    return (
+        comp.groupBy(*keys).agg(
+            F.max(F.struct("size", (-F.col("least")).alias("first"), "sum_d", "n_d")).alias("big"),
+            F.sum("size").alias("n_nodes"), F.sum("inv").alias("inv"), F.sum("local").alias("local"))
+        .select(*keys, (F.col("local") / n).alias("clustering_mean"),
+                F.when(F.col("big.n_d") > 0, F.col("big.sum_d") / F.col("big.n_d")).alias("path_length"),
+                F.when(n >= 2, F.col("inv") / (n * (n - 1))).alias("efficiency"))
+    )
+
+
+def shape_metrics(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """clustering_mean, path_length and efficiency per graph, by the fitting method."""
+    if fits_mask(nodes):
+        return mask_metrics(nodes, edges, keys)
+    edges = cut_lineage(edges)
+    paths = path_metrics(nodes, hop_distances(edges, keys), keys)
+    return clustering(nodes, edges, keys).join(paths.select(*keys, "path_length", "efficiency"), list(keys))
+
+
 def modularity(nodes: DataFrame, edges: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Q of a given partition ``labels`` (keys, node, community); NULL without edges."""
     keys = list(keys)
@@ -250,14 +325,14 @@ def small_worldness(nodes: DataFrame, edges: DataFrame, observed: DataFrame, key
     """(C / mean C of the random graphs) / (L / mean L of the random graphs)."""
     keys = list(keys)
     fine = [*keys, "replicate"]
+    # the replicates feed both the node lists and the adjacency: write them once
     null_edges = cut_lineage(random_graphs(nodes, edges, keys, replicates, seed))
     null_nodes = null_edges.select(*fine).distinct().join(nodes, keys)
-    c = clustering(null_nodes, null_edges, fine).groupBy(*keys).agg(F.avg("clustering_mean").alias("c_rand"))
-    lens = path_metrics(null_nodes, hop_distances(null_edges, fine), fine)
-    length = lens.groupBy(*keys).agg(F.avg("path_length").alias("l_rand"))
+    rand = shape_metrics(null_nodes, null_edges, fine).groupBy(*keys).agg(
+        F.avg("clustering_mean").alias("c_rand"), F.avg("path_length").alias("l_rand"))
     ok = (F.col("c_rand") != 0) & (F.col("l_rand") != 0)
     sigma = F.when(ok, (F.col("clustering_mean") / F.col("c_rand")) / (F.col("path_length") / F.col("l_rand")))
-    return observed.join(c, keys, "left").join(length, keys, "left").select(*keys, sigma.alias("small_worldness"))
+    return observed.join(rand, keys, "left").select(*keys, sigma.alias("small_worldness"))
 
 
 def graph_metrics(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], null_n: int = 50,
@@ -266,9 +341,7 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], null_
     keys = list(keys)
     nodes, edges = cut_lineage(nodes.select(*keys, "node")), cut_lineage(edges.select(*keys, "src", "dst"))
     out = density(nodes, edges, keys).join(degree_stats(nodes, edges, keys), keys)
-    out = out.join(clustering(nodes, edges, keys), keys)
-    out = out.join(path_metrics(nodes, hop_distances(edges, keys), keys).select(
-        *keys, "path_length", "efficiency"), keys)
+    out = out.join(shape_metrics(nodes, edges, keys), keys)
     parts = cut_lineage(greedy_communities(nodes, edges, keys))
     out = cut_lineage(out.join(modularity(nodes, edges, parts, keys), keys))
     if null_n > 0:
