@@ -359,7 +359,38 @@ def _(s, d):
     return g.random_graphs(*i.graph(s, d), R, NULLS, 1)
 
 
-@query("N12_small_worldness")
+# the random graphs, their distances and their clustering
+_NULL = _TRI + f""", ng AS (SELECT recording_id, replicate, src, dst FROM (SELECT m.recording_id, replicate, a.node AS src, b.node AS dst, m.m,
+    row_number() OVER (PARTITION BY m.recording_id, replicate ORDER BY ('0x' || substr(md5('1|' || m.recording_id || '|' || replicate || '|' || a.node
+    || '|' || b.node), 1, 8))::BIGINT, a.node, b.node) AS r FROM (SELECT recording_id, count(*) AS m FROM gedges GROUP BY ALL) m
+    CROSS JOIN (SELECT unnest(range(1, {NULLS + 1})) AS replicate) JOIN gnodes a ON a.recording_id = m.recording_id
+    JOIN gnodes b ON b.recording_id = m.recording_id AND a.node < b.node) WHERE r <= m),
+    nb AS (SELECT * FROM ng UNION ALL SELECT recording_id, replicate, dst, src FROM ng),
+    nw AS (SELECT recording_id, replicate, src AS source, dst AS node, 1 AS d FROM nb UNION SELECT w.recording_id, w.replicate, w.source, b.dst, w.d + 1
+    FROM nw w JOIN nb b ON b.recording_id = w.recording_id AND b.replicate = w.replicate AND b.src = w.node WHERE w.d < 59),
+    nd AS (SELECT recording_id, replicate, source, node, min(d) AS d FROM nw WHERE source <> node GROUP BY ALL),
+    nn AS (SELECT n.recording_id, replicate, n.node FROM gnodes n JOIN (SELECT DISTINCT recording_id, replicate FROM ng) USING (recording_id)),
+    nc AS (SELECT n.recording_id, n.replicate, n.node, least(n.node, min(x.node)) AS component, sum(x.d) AS sd, count(x.d) AS cd FROM nn n LEFT JOIN nd x
+    ON x.recording_id = n.recording_id AND x.replicate = n.replicate AND x.source = n.node GROUP BY n.recording_id, n.replicate, n.node),
+    nl AS (SELECT recording_id, avg(l) AS l_rand FROM (SELECT recording_id, replicate, sum(sd) / sum(cd) AS l, count(*) AS size, component FROM nc
+    GROUP BY recording_id, replicate, component QUALIFY row_number() OVER (PARTITION BY recording_id, replicate ORDER BY count(*) DESC, component) = 1) GROUP BY ALL),
+    nt AS (SELECT a.recording_id, a.replicate, unnest([a.src, a.dst, b.dst]) AS node FROM ng a JOIN ng b ON b.recording_id = a.recording_id AND b.replicate = a.replicate
+    AND b.src = a.dst JOIN ng c ON c.recording_id = a.recording_id AND c.replicate = a.replicate AND c.src = a.src AND c.dst = b.dst),
+    nk AS (SELECT n.recording_id, n.replicate, n.node, count(b.dst) AS k FROM nn n LEFT JOIN nb b ON b.recording_id = n.recording_id AND b.replicate = n.replicate
+    AND b.src = n.node GROUP BY ALL),
+    nq AS (SELECT recording_id, avg(c) AS c_rand FROM (SELECT recording_id, replicate, avg(CASE WHEN k >= 2 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END) AS c
+    FROM nk LEFT JOIN (SELECT recording_id, replicate, node, count(*) AS t FROM nt GROUP BY ALL) USING (recording_id, replicate, node) GROUP BY ALL) GROUP BY ALL),
+    oc AS (SELECT recording_id, avg(CASE WHEN degree >= 2 THEN 2.0 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END) AS c_obs
+    FROM gdeg LEFT JOIN (SELECT recording_id, node, count(*) AS t FROM (SELECT recording_id, unnest([x, y, z]) AS node FROM tri) GROUP BY ALL)
+    USING (recording_id, node) GROUP BY ALL),
+    ol AS (SELECT comp.recording_id, sum(d) / count(d) AS l_obs FROM (SELECT recording_id, component FROM (SELECT recording_id, component, count(*) AS size
+    FROM comp GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY size DESC, component) = 1) JOIN comp USING (recording_id, component)
+    LEFT JOIN bfs ON bfs.recording_id = comp.recording_id AND bfs.source = comp.node GROUP BY comp.recording_id)"""
+
+
+@query("N12_small_worldness", """SELECT recording_id, CASE WHEN c_rand <> 0 AND l_rand <> 0 THEN (c_obs / c_rand) / (l_obs / l_rand) END AS small_worldness
+       FROM oc JOIN ol USING (recording_id) LEFT JOIN nq USING (recording_id) LEFT JOIN nl USING (recording_id)""", "small_worldness",
+       extra=_NULL, recursive=True)
 def _(s, d):
     nodes, edges = i.graph(s, d)
     edges = cut_lineage(edges)

@@ -14,7 +14,7 @@ from pointproc.operators import observations as ob
 from pointproc.operators import signal as sg
 from pointproc.operators import stats as st
 from pointproc.operators.trains import drop_refractory
-from pointproc.params import ObservationParams, Params, SpikeParams
+from pointproc.params import BurstParams, ObservationParams, Params, SpikeParams
 from pointproc.plans import rates as pr
 from pointproc.plans.preprocess import preprocess
 from pointproc.session import cut_lineage
@@ -127,9 +127,21 @@ def _(s, d):
     return _filter_response(s, d, False)
 
 
-@query("G5_preprocess")
-def _(s, d):
-    p = Params(spike=SpikeParams(sd_factor=2.0, refractory_us=100_000), block_us=60_000_000)
+@query("G5_preprocess", f"""SELECT c.recording_id, c.channel, coalesce(n_spikes, 0) AS n_spikes, coalesce(n_spikes, 0) * 6e7 / dur AS spike_rate,
+       coalesce(n_bursts, 0) AS n_bursts, coalesce(n_bursts, 0) * 6e7 / dur AS burst_rate FROM (SELECT DISTINCT 'vectors-baseline_#1' AS recording_id, channel FROM dt) c
+       CROSS JOIN (SELECT round(count(*) * 1e6 / 64)::BIGINT AS dur FROM dt WHERE channel = (SELECT min(channel) FROM dt))
+       LEFT JOIN (SELECT channel, count(*) AS n_spikes FROM kp GROUP BY ALL) USING (channel)
+       LEFT JOIN (SELECT channel, count(*) AS n_bursts FROM bs GROUP BY ALL) USING (channel)""", "spike_rate burst_rate", ints="channel", recursive=True,
+       extra=_DET + """,
+       keep AS (SELECT channel, idx, t_us, t_us AS last FROM det WHERE idx = 1 UNION ALL SELECT q.channel, q.idx, q.t_us,
+       CASE WHEN q.t_us - k.last >= 100000 THEN q.t_us ELSE k.last END FROM keep k JOIN det q ON q.channel = k.channel AND q.idx = k.idx + 1),
+       kp AS (SELECT channel, t_us, row_number() OVER w AS k, lag(t_us) OVER w AS prev, lead(t_us) OVER w AS next FROM keep WHERE t_us = last
+       WINDOW w AS (PARTITION BY channel ORDER BY t_us)),
+       ki AS (SELECT *, sum(CASE WHEN t_us - prev <= 30000000 THEN 0 ELSE 1 END) OVER (PARTITION BY channel ORDER BY k) AS island FROM kp),
+       bs AS (SELECT channel, island FROM ki GROUP BY ALL HAVING max(k) - min(k) FILTER (WHERE next - t_us <= 10000000) + 1 >= 3)""")
+def _(s, d):
+    p = Params(spike=SpikeParams(sd_factor=2.0, refractory_us=100_000), burst=BurstParams(10_000_000, 30_000_000, 3),
+               block_us=60_000_000)
     return preprocess(i.samples(s, d), p, filtered=False).summary.drop("duration_us")
 
 

@@ -26,6 +26,7 @@ def _magnitude_bucket(v: Column) -> Column:
     e = F.floor(F.log2(a))
     within = F.floor((a / F.pow(F.lit(2.0), e) - 1) * _STEPS)
     level = ((e + 1100) * _STEPS + within).cast("bigint") + 1
+    level = F.when(a == float("inf"), F.lit(1 << 40)).otherwise(level)
     return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, level).otherwise(-level)
 
 
@@ -90,7 +91,7 @@ def percentile_mid(df: DataFrame, keys: Sequence[str], value: str,
     for name, p in probs.items():
         w = _target(p, F.col("n"))[2]
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        cols.append((lo + (hi - lo) * w).alias(name))
+        cols.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * w).alias(name))
     return got.filter(F.col("n") > 0).select(*keys, F.col("n").cast("bigint").alias("n"), *cols)
 
 
@@ -100,7 +101,8 @@ def array_percentile(values: Column, p: float) -> Column:
     n = F.size(a)
     lo, hi, w = _target(p, n)
     at_lo, at_hi = F.get(a, (lo - 1).cast("int")), F.get(a, (hi - 1).cast("int"))
-    return F.when(n > 0, at_lo + (at_hi - at_lo) * w)
+    between = F.when(at_lo == at_hi, at_lo).otherwise(at_lo + (at_hi - at_lo) * w)
+    return F.when(n > 0, between)
 
 
 def small_percentile(value: Column, p: float) -> Column:

@@ -49,3 +49,9 @@ def test_cumulative_counts(spark):
 
 def test_empty_array_is_null(spark):
     assert spark.range(1).select(array_percentile(F.expr("CAST(array() AS ARRAY<DOUBLE>)"), 50).alias("q")).first()["q"] is None
+
+
+def test_infinite_values(spark):
+    df = spark.createDataFrame([(v,) for v in [1.0, float("inf"), float("inf"), float("-inf"), 2.0]], "y double")
+    row = percentile_mid(df, [], "y", {"lo": 1, "mid": 50, "hi": 90}).first()
+    assert (row["lo"], row["mid"], row["hi"]) == (float("-inf"), 2.0, float("inf"))
