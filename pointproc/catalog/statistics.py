@@ -25,6 +25,13 @@ ITERATIONS = 100
 RAW_FS = 24414.0625
 
 
+def erfc(x: str) -> str:
+    """SQL of the complementary error function by its all-positive series."""
+    term = "exp((2 * k + 1) * ln(greatest(x, 1e-300)) + 2 * k * ln(2) + lgamma(k + 1.0::DOUBLE) - lgamma(2 * k + 2.0::DOUBLE) - x * x)"
+    term = term.replace("x,", f"{x},").replace("x * x", f"({x}) * ({x})")
+    return f"(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 300), lambda k: {term})))"
+
+
 # --- samples --------------------------------------------------------------------
 
 @query("S17_sample_source", "SELECT channel, n, x FROM smp", "x", ints="channel n")
@@ -250,7 +257,21 @@ def _(s, d):
     return st.signed_rank(i.obs(s, d), K).select("study", "metric", "n_nonzero", "w")
 
 
-@query("P7_signed_rank_p")
+# all rank sums by recursion over the ranks; the normal approximation for large endpoints
+_WP = _WX + f""", rr AS (SELECT study, metric, row_number() OVER (PARTITION BY study, metric ORDER BY rk, d) AS k, (2 * rk)::BIGINT AS r2 FROM wr),
+    dp AS (SELECT study, metric, 0::BIGINT AS k, 0::BIGINT AS s, 1.0::DOUBLE AS p FROM ws WHERE n_nonzero <= 500 UNION ALL
+    SELECT dp.study, dp.metric, rr.k, s + c * r2 AS s, sum(p) / 2 AS p FROM dp JOIN rr ON rr.study = dp.study AND rr.metric = dp.metric AND rr.k = dp.k + 1
+    CROSS JOIN (SELECT unnest([0, 1]) AS c) GROUP BY dp.study, dp.metric, rr.k, s + c * r2),
+    ex AS (SELECT study, metric, least(1, 2 * least(sum(p) FILTER (WHERE s <= 2 * wp), sum(p) FILTER (WHERE s >= 2 * wp))) AS p FROM dp JOIN ws USING (study, metric)
+    WHERE k = n_nonzero GROUP BY study, metric),
+    ap AS (SELECT study, metric, n_nonzero AS n, (n * (n + 1) / 4.0::DOUBLE - least(wp, wm)) / sqrt((n * (n + 1.0::DOUBLE) * (2 * n + 1) - tie / 2) / 24) AS z FROM ws
+    JOIN (SELECT study, metric, sum(c * c * c - c) AS tie FROM (SELECT study, metric, count(*) AS c FROM wr GROUP BY study, metric, abs(d)) GROUP BY ALL)
+    USING (study, metric))"""
+
+
+@query("P7_signed_rank_p", f"""SELECT study, metric, n_nonzero, wp AS w, (wp - wm) / (wp + wm) AS r_rank_biserial,
+       CASE WHEN n_nonzero <= 500 THEN ex.p ELSE least(1, {erfc('z / sqrt(2)')}) END AS p_wilcoxon FROM ws LEFT JOIN ex USING (study, metric)
+       JOIN ap USING (study, metric)""", "w r_rank_biserial p_wilcoxon", extra=_WP, recursive=True)
 def _(s, d):
     return st.signed_rank(i.obs(s, d), K)
 
@@ -325,9 +346,10 @@ def _(s, d):
     return st.chi2_even(ob.category_counts(i.obs(s, d), K)).select("study", "metric", "n_increased", "n_decreased", "chi2", "pct_increase")
 
 
-@query("P12_chi2_p")
+@query("P12_chi2_p", f"""SELECT study, metric, chi2, {erfc('sqrt(chi2 / 2)')} AS p FROM (SELECT study, metric, CASE WHEN ni + nd > 0
+       THEN (ni - nd) ** 2 / (ni + nd)::DOUBLE END AS chi2 FROM ch)""", "chi2 p", extra=_CHI)
 def _(s, d):
-    return st.chi2_even(ob.category_counts(i.obs(s, d), K))
+    return st.chi2_even(ob.category_counts(i.obs(s, d), K)).select("study", "metric", "chi2", "p")
 
 
 @query("P13_paired_stats")
