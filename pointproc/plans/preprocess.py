@@ -14,6 +14,9 @@ from pointproc.session import cut_lineage
 from pointproc.sources import store
 
 
+BROADCAST_IDS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Preprocessed:
     spikes: DataFrame
@@ -64,7 +67,10 @@ def preprocess_and_store(samples: DataFrame, recordings: DataFrame, root: str, p
             raise
         done = recordings.limit(0)
     todo = cut_lineage(store.pending(recordings, done, samples, overwrite))
-    out = preprocess(samples.join(todo.select("recording_id"), "recording_id", "left_semi"), params, filtered)
+    ids = todo.select("recording_id")
+    if ids.count() <= BROADCAST_IDS:  # otherwise an ordinary join; samples are too large to shuffle needlessly
+        ids = F.broadcast(ids)
+    out = preprocess(samples.join(ids, "recording_id", "left_semi"), params, filtered)
     study = todo.select("recording_id", "study")
     for name, df in (("spikes", out.spikes), ("channels", out.channels), ("bursts", out.bursts),
                      ("channel_summary", out.summary)):

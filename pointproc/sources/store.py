@@ -19,9 +19,8 @@ PARTS = ("study", "recording_id")
 def write_table(df: DataFrame, root: str, name: str, overwrite: bool = False) -> None:
     """Write one store table; ``overwrite`` replaces only the recordings present in ``df``."""
     S.require_columns(df, *PARTS, what=name)
-    # rows of a recording go to several files when it is large: the channel spreads them
-    spread = [c for c in ("channel", "i") if c in df.columns]
-    (df.repartition(*PARTS, *spread).write.partitionBy(*PARTS)
+    # rebalancing gathers a small recording into one file and splits a large one
+    (df.hint("rebalance", *PARTS).write.partitionBy(*PARTS)
      .mode("overwrite" if overwrite else "append").option("partitionOverwriteMode", "dynamic")
      .parquet(f"{root}/{name}"))
 
