@@ -352,7 +352,20 @@ def _(s, d):
     return st.chi2_even(ob.category_counts(i.obs(s, d), K)).select("study", "metric", "chi2", "p")
 
 
-@query("P13_paired_stats")
+def _ci(reps: str, value: str, prefix: str) -> str:
+    """SQL of the interval and tail p of replicate values."""
+    return (f"SELECT study, metric, {{pm:v:2.5}} AS {prefix}ci_lo, {{pm:v:97.5}} AS {prefix}ci_hi, {prefix}p FROM (SELECT study, metric, list_sort(list({value})) AS v, "
+            f"least(1, 2 * least(avg(({value} >= 0)::INT), avg(({value} <= 0)::INT))) AS {prefix}p FROM {reps} GROUP BY ALL)")
+
+
+@query("P13_paired_stats", f"""SELECT study, metric, n, median_baseline, median_treatment, median_delta, median_pct, n_datasets, ci_lo, ci_hi, p, pct_ci_lo, pct_ci_hi, pct_p,
+       n_nonzero, wp AS w, (wp - wm) / (wp + wm) AS r_rank_biserial, CASE WHEN n_nonzero <= 500 THEN ex.p_exact ELSE least(1, {erfc('z / sqrt(2)')}) END AS p_wilcoxon,
+       hedges_g, {ITERATIONS}::BIGINT AS n_iterations FROM (SELECT study, metric, count(*) AS n, median(b) AS median_baseline, median(t) AS median_treatment,
+       median(t - b) AS median_delta, median({_SP}) AS median_pct, count(DISTINCT pair_no) AS n_datasets FROM obs GROUP BY ALL)
+       JOIN ({_ci('b2', 'delta', '')}) USING (study, metric) JOIN ({_ci('b2', 'pct', 'pct_')}) USING (study, metric) JOIN ws USING (study, metric)
+       LEFT JOIN (SELECT study, metric, p AS p_exact FROM ex) ex USING (study, metric) JOIN (SELECT study, metric, z FROM ap) USING (study, metric) JOIN hg USING (study, metric)""",
+       "median_baseline median_treatment median_delta median_pct ci_lo ci_hi p pct_ci_lo pct_ci_hi pct_p w r_rank_biserial p_wilcoxon hedges_g",
+       extra=_B2 + ", " + _WP + ", " + _HG, recursive=True)
 def _(s, d):
     return st.paired_stats(pr.ordered(i.obs(s, d)), K, "ord", 1 << 16, ITERATIONS, 1, cluster="pair_no")
 
