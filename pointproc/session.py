@@ -1,11 +1,14 @@
-"""Session helpers: a local session for tests and lineage cutting."""
+"""Session helpers: a local session for tests, shared scratch tables and lineage cutting."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -18,6 +21,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> Spa
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         b = b.config(key, value)
@@ -26,19 +30,63 @@ def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> Spa
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    ``spark.checkpoint.dir`` is used when the session sets it; a scratch folder
-    is made only when nothing is set, which is the single-machine case.
+    Only a driver that runs its tasks itself (master ``local``) may go without the
+    setting; it gets a scratch folder. Elsewhere a missing setting is an error,
+    because files in a machine's own folder are lost to the others.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder.
+
+    Checkpoint files go when the frame is no longer referenced, where the session
+    sets ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write a frame to a Parquet table in the shared folder and read it back.
+
+    Shuffle files of the write are removed when it ends: the table replaces them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FILE_CLEANUP)
+        else:
+            spark.conf.set(FILE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``store`` that no later frame reads."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for file in df.inputFiles()[:1]:
+            folder = sc._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.getName().startswith("table-"):
+                folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def wide(df: DataFrame, *by: str) -> DataFrame:
     """Spread rows over the session's full shuffle width, by the named columns.
 
