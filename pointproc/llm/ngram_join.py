@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from pointproc.llm.common import BYTE_CODE, heads, mix, pieces
 from pointproc.llm.components import components
+from pointproc.llm.tiles import roots, tile_rows
 from pointproc.session import discard, store
 
 THRESHOLD = 0.8
@@ -144,19 +145,6 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(1)
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least linked row of each of n rows."""
-    root = np.arange(n)
-    while len(a):
-        least = np.minimum(root[a], root[b])
-        if (root[a] == least).all() and (root[b] == least).all():
-            break
-        np.minimum.at(root, a, least)
-        np.minimum.at(root, b, least)
-        root = root[root]
-    return root
-
-
 def _compare_small(rows: DataFrame, least: float) -> DataFrame:
     """a, b: links inside nodes; rows (node, rep, sketch) are sorted by node within partitions."""
 
@@ -255,15 +243,6 @@ def _pivot(rows: DataFrame, least: float) -> DataFrame:
         compare, "node long, rep long, pivot long, linked boolean")
 
 
-def tile_rows(rows: DataFrame, group: str, item: str, tile: int) -> DataFrame:
-    """Each row once for every tile of its group that its block takes part in: adds i, j (i <= j) and its own block."""
-    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / tile).cast("int").alias("_blocks"))
-    blocks = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    return blocks.withColumn("_other", other).withColumn("i", F.least("block", "_other")) \
-        .withColumn("j", F.greatest("block", "_other")).drop("_other", "_blocks")
-
-
 def _tiles(rows: DataFrame, least: float, width: int) -> DataFrame:
     tiled = tile_rows(rows, "node", "rep", SMALL).withColumn("node", F.xxhash64("node", "i", "j"))
     return _compare_small(tiled.repartition(width, "node"), least)

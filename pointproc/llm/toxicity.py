@@ -72,10 +72,11 @@ def mine(train: DataFrame, terms: int = TERMS) -> list[str]:
         return []
     ratio = (F.col("tox") / total["tox"]) / ((F.col("clean") + 1) / total["clean"])
     top = found.where((F.col("term") != "") & (F.col("tox") >= LEAST_TEXTS) & (ratio >= LEAST_RATIO)).orderBy(
-        F.desc("tox"), F.asc(F.length("term")), "term").limit(terms * len(LENGTHS) * 4).collect()
+        F.desc("tox"), F.desc(F.length("term")), "term").limit(terms * len(LENGTHS) * 4).collect()
     chosen: list[str] = []
     for r in top:
-        if len(chosen) < terms and not any(r["term"].startswith(c) for c in chosen):
+        if len(chosen) < terms and not any(
+                r["term"].startswith(c) or c.startswith(r["term"]) for c in chosen):
             chosen.append(r["term"])
     return chosen
 
