@@ -21,7 +21,7 @@ from pointproc.session import cut_lineage
 from pointproc.sources import testdata as td
 
 K = ["study", "metric"]
-ITERATIONS = 100
+ITERATIONS = 10_000
 RAW_FS = 24414.0625
 
 
@@ -94,7 +94,7 @@ def _(s, d):
        keep AS (SELECT channel, idx, t_us, t_us AS last FROM det WHERE idx = 1 UNION ALL SELECT q.channel, q.idx, q.t_us,
        CASE WHEN q.t_us - k.last >= 100000 THEN q.t_us ELSE k.last END FROM keep k JOIN det q ON q.channel = k.channel AND q.idx = k.idx + 1)""")
 def _(s, d):
-    found = sg.detect_spikes(sg.explode_samples(i.samples(s, d)), 2.0).withColumn("duration_us", F.lit(0).cast("bigint"))
+    found = sg.crossings(sg.detect_blocks(i.samples(s, d), SpikeParams(sd_factor=2.0))).withColumn("duration_us", F.lit(0).cast("bigint"))
     return drop_refractory(found, 100_000, 60_000_000).select("channel", "t_us")
 
 
@@ -154,8 +154,8 @@ def _(s, d):
 
 # --- resampling -----------------------------------------------------------------
 
-@query("P1_hash_draws", """SELECT l_orderkey, l_linenumber, ('0x' || substr(md5('1|' || l_orderkey || '|0|' || l_linenumber), 1, 8))::BIGINT AS word,
-       ('0x' || substr(md5('1|' || l_orderkey || '|0|' || l_linenumber), 1, 8))::BIGINT % 360 AS pick FROM lineitem""", ints="l_linenumber")
+@query("P1_hash_draws", """SELECT l_orderkey, l_linenumber, ('0x' || substr(md5('1|' || l_orderkey || '|0|' || l_linenumber), 1, 15))::BIGINT AS word,
+       ('0x' || substr(md5('1|' || l_orderkey || '|0|' || l_linenumber), 1, 15))::BIGINT % 360 AS pick FROM lineitem""", ints="l_linenumber")
 def _(s, d):
     parts = (F.lit(1), F.col("l_orderkey"), F.lit(0), F.col("l_linenumber"))
     return i.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", draw_word(*parts).alias("word"),
@@ -171,9 +171,9 @@ def _(s, d):
     return st.paired_medians(i.obs(s, d), K)
 
 
-_B1 = f"""ob AS (SELECT *, row_number() OVER (PARTITION BY study, metric ORDER BY pair_no * 64 + channel) AS idx,
+_B1 = f"""ob AS (SELECT *, row_number() OVER (PARTITION BY study, metric ORDER BY pair_no, channel) AS idx,
     count(*) OVER (PARTITION BY study, metric) AS n FROM obs),
-    dr AS (SELECT study, metric, it, ('0x' || substr(md5('1|' || it || '|0|' || slot), 1, 8))::BIGINT % n + 1 AS idx FROM
+    dr AS (SELECT study, metric, it, ('0x' || substr(md5('1|' || it || '|0|' || slot), 1, 15))::BIGINT % n + 1 AS idx FROM
     (SELECT study, metric, n, unnest(range(0, n)) AS slot FROM (SELECT DISTINCT study, metric, n FROM ob))
     CROSS JOIN (SELECT unnest(range(0, {ITERATIONS})) AS it)),
     b1 AS (SELECT study, metric, it AS iteration, median(t - b) AS delta, median({_SP}) AS pct FROM dr JOIN ob USING (study, metric, idx) GROUP BY ALL)"""
@@ -181,22 +181,22 @@ _B1 = f"""ob AS (SELECT *, row_number() OVER (PARTITION BY study, metric ORDER B
 
 @query("P3_bootstrap", "SELECT study, metric, iteration, delta, pct FROM b1", "delta pct", ints="iteration", extra=_B1)
 def _(s, d):
-    return st.bootstrap_one_level(pr.ordered(i.obs(s, d)), K, "ord", 1 << 16, ITERATIONS, 1)
+    return st.bootstrap_one_level(pr.ordered(i.obs(s, d)), K, "ord", pr.ORDER_WIDTH, ITERATIONS, 1)
 
 
 _B2 = f"""ob AS (SELECT *, row_number() OVER (PARTITION BY study, metric, pair_no ORDER BY channel) AS idx,
     count(*) OVER (PARTITION BY study, metric, pair_no) AS n, dense_rank() OVER (PARTITION BY study, metric ORDER BY pair_no) AS c FROM obs),
     cl AS (SELECT DISTINCT study, metric, c, n FROM ob), nc AS (SELECT study, metric, count(*) AS nc FROM cl GROUP BY ALL),
-    dc AS (SELECT study, metric, it, cs, ('0x' || substr(md5('1|' || it || '|1|' || cs), 1, 8))::BIGINT % nc + 1 AS c FROM (SELECT *, unnest(range(0, nc)) AS cs FROM nc)
+    dc AS (SELECT study, metric, it, cs, ('0x' || substr(md5('1|' || it || '|1|' || cs), 1, 15))::BIGINT % nc + 1 AS c FROM (SELECT *, unnest(range(0, nc)) AS cs FROM nc)
     CROSS JOIN (SELECT unnest(range(0, {ITERATIONS})) AS it)),
-    dr AS (SELECT study, metric, it, c, ('0x' || substr(md5('1|' || it || '|2|' || cs || ',' || slot), 1, 8))::BIGINT % n + 1 AS idx
+    dr AS (SELECT study, metric, it, c, ('0x' || substr(md5('1|' || it || '|2|' || cs || ',' || slot), 1, 15))::BIGINT % n + 1 AS idx
     FROM (SELECT *, unnest(range(0, n)) AS slot FROM dc JOIN cl USING (study, metric, c))),
     b2 AS (SELECT study, metric, it AS iteration, median(t - b) AS delta, median({_SP}) AS pct FROM dr JOIN ob USING (study, metric, c, idx) GROUP BY ALL)"""
 
 
 @query("P4_bootstrap_two_level", "SELECT study, metric, iteration, delta, pct FROM b2", "delta pct", ints="iteration", extra=_B2)
 def _(s, d):
-    return st.bootstrap_two_level(pr.ordered(i.obs(s, d)), K, "pair_no", "ord", 1 << 16, ITERATIONS, 1)
+    return st.bootstrap_two_level(pr.ordered(i.obs(s, d)), K, "pair_no", "ord", pr.ORDER_WIDTH, ITERATIONS, 1)
 
 
 _CI = """SELECT study, metric, {pm:v:2.5} AS ci_lo, {pm:v:97.5} AS ci_hi, p FROM (SELECT study, metric, list_sort(list(delta)) AS v,
@@ -205,22 +205,22 @@ _CI = """SELECT study, metric, {pm:v:2.5} AS ci_lo, {pm:v:97.5} AS ci_hi, p FROM
 
 @query("P5_bootstrap_interval", _CI, "ci_lo ci_hi p", extra=_B1)
 def _(s, d):
-    reps = st.bootstrap_one_level(pr.ordered(i.obs(s, d)), K, "ord", 1 << 16, ITERATIONS, 1)
+    reps = st.bootstrap_one_level(pr.ordered(i.obs(s, d)), K, "ord", pr.ORDER_WIDTH, ITERATIONS, 1)
     return st.interval_and_p(reps, K, "delta")
 
 
 @query("X6_two_sided_tail", "SELECT study, metric, least(1, 2 * least(avg((delta >= 0)::INT), avg((delta <= 0)::INT))) AS p FROM b1 GROUP BY ALL", "p", extra=_B1)
 def _(s, d):
-    reps = st.bootstrap_one_level(pr.ordered(i.obs(s, d)), K, "ord", 1 << 16, ITERATIONS, 1)
+    reps = st.bootstrap_one_level(pr.ordered(i.obs(s, d)), K, "ord", pr.ORDER_WIDTH, ITERATIONS, 1)
     return st.interval_and_p(reps, K, "delta").select("study", "metric", "p")
 
 
 _P6 = f"""ob AS (SELECT study, metric, pair_no, pct, row_number() OVER (PARTITION BY study, metric, pair_no ORDER BY channel) AS idx,
     count(*) OVER (PARTITION BY study, metric, pair_no) AS n, dense_rank() OVER (PARTITION BY study, metric ORDER BY pair_no) AS c FROM pct),
     cl AS (SELECT DISTINCT study, metric, c, n FROM ob), nc AS (SELECT study, metric, count(*) AS nc FROM cl GROUP BY ALL),
-    dc AS (SELECT study, metric, it, cs, ('0x' || substr(md5('1|' || it || '|1|' || cs), 1, 8))::BIGINT % nc + 1 AS c FROM (SELECT *, unnest(range(0, nc)) AS cs FROM nc)
+    dc AS (SELECT study, metric, it, cs, ('0x' || substr(md5('1|' || it || '|1|' || cs), 1, 15))::BIGINT % nc + 1 AS c FROM (SELECT *, unnest(range(0, nc)) AS cs FROM nc)
     CROSS JOIN (SELECT unnest(range(0, {ITERATIONS})) AS it)),
-    dr AS (SELECT study, metric, it, c, ('0x' || substr(md5('1|' || it || '|2|' || cs || ',' || slot), 1, 8))::BIGINT % n + 1 AS idx
+    dr AS (SELECT study, metric, it, c, ('0x' || substr(md5('1|' || it || '|2|' || cs || ',' || slot), 1, 15))::BIGINT % n + 1 AS idx
     FROM (SELECT *, unnest(range(0, n)) AS slot FROM dc JOIN cl USING (study, metric, c))),
     b2 AS (SELECT study, metric, it, median(pct) AS m FROM dr JOIN ob USING (study, metric, c, idx) GROUP BY ALL),
     pv AS (SELECT study, metric, {{pm:v:2.5}} AS ci_lo, {{pm:v:97.5}} AS ci_hi, p FROM (SELECT study, metric, list_sort(list(m)) AS v,
@@ -257,32 +257,33 @@ def _(s, d):
     return st.signed_rank(i.obs(s, d), K).select("study", "metric", "n_nonzero", "w")
 
 
-# all rank sums by recursion over the ranks; the normal approximation for large endpoints
-_WP = _WX + f""", rr AS (SELECT study, metric, row_number() OVER (PARTITION BY study, metric ORDER BY rk, d) AS k, (2 * rk)::BIGINT AS r2 FROM wr),
-    dp AS (SELECT study, metric, 0::BIGINT AS k, 0::BIGINT AS s, 1.0::DOUBLE AS p FROM ws WHERE n_nonzero <= 500 UNION ALL
+# all rank sums by recursion over the ranks
+_EXACT = """rr AS (SELECT study, metric, row_number() OVER (PARTITION BY study, metric ORDER BY rk, d) AS k, (2 * rk)::BIGINT AS r2 FROM wr),
+    dp AS (SELECT study, metric, 0::BIGINT AS k, 0::BIGINT AS s, 1.0::DOUBLE AS p FROM ws UNION ALL
     SELECT dp.study, dp.metric, rr.k, s + c * r2 AS s, sum(p) / 2 AS p FROM dp JOIN rr ON rr.study = dp.study AND rr.metric = dp.metric AND rr.k = dp.k + 1
     CROSS JOIN (SELECT unnest([0, 1]) AS c) GROUP BY dp.study, dp.metric, rr.k, s + c * r2),
     ex AS (SELECT study, metric, least(1, 2 * least(sum(p) FILTER (WHERE s <= 2 * wp), sum(p) FILTER (WHERE s >= 2 * wp))) AS p FROM dp JOIN ws USING (study, metric)
-    WHERE k = n_nonzero GROUP BY study, metric),
-    ap AS (SELECT study, metric, n_nonzero AS n, (n * (n + 1) / 4.0::DOUBLE - least(wp, wm)) / sqrt((n * (n + 1.0::DOUBLE) * (2 * n + 1) - tie / 2) / 24) AS z FROM ws
-    JOIN (SELECT study, metric, sum(c * c * c - c) AS tie FROM (SELECT study, metric, count(*) AS c FROM wr GROUP BY study, metric, abs(d)) GROUP BY ALL)
-    USING (study, metric))"""
+    WHERE k = n_nonzero GROUP BY study, metric)"""
+_WP = _WX + ", " + _EXACT
 
 
-@query("P7_signed_rank_p", f"""SELECT study, metric, n_nonzero, wp AS w, (wp - wm) / (wp + wm) AS r_rank_biserial,
-       CASE WHEN n_nonzero <= 500 THEN ex.p ELSE least(1, {erfc('z / sqrt(2)')}) END AS p_wilcoxon FROM ws LEFT JOIN ex USING (study, metric)
-       JOIN ap USING (study, metric)""", "w r_rank_biserial p_wilcoxon", extra=_WP, recursive=True)
+@query("P7_signed_rank_p", """SELECT study, metric, n_nonzero, wp AS w, (wp - wm) / (wp + wm) AS r_rank_biserial, ex.p AS p_wilcoxon
+       FROM ws JOIN ex USING (study, metric)""", "w r_rank_biserial p_wilcoxon", extra=_WP, recursive=True)
 def _(s, d):
     return st.signed_rank(i.obs(s, d), K)
 
 
-@query("P7_signed_rank_large", """SELECT flag, n_nonzero, wp AS w, (wp - wm) / (wp + wm) AS r FROM (SELECT flag, count(*) AS n_nonzero, sum(rk) FILTER (WHERE x > 0) AS wp,
-       sum(rk) FILTER (WHERE x < 0) AS wm FROM (SELECT flag, x, rank() OVER (PARTITION BY flag ORDER BY abs(x)) + (count(*) OVER (PARTITION BY flag, abs(x)) - 1) / 2.0::DOUBLE AS rk
-       FROM (SELECT l_returnflag AS flag, l_quantity - l_discount * 500 AS x FROM lineitem) WHERE x <> 0) GROUP BY ALL)""", "w r")
+@query("P7_signed_rank_large", f"""SELECT flag, n_nonzero, wp AS w, (wp - wm) / (wp + wm) AS r,
+       least(1, {erfc('z / sqrt(2)')}) AS p FROM (SELECT *, (n_nonzero * (n_nonzero + 1.0::DOUBLE) / 4 - least(wp, wm))
+       / sqrt((n_nonzero * (n_nonzero + 1.0::DOUBLE) * (2 * n_nonzero + 1) - tie / 2) / 24) AS z FROM (SELECT flag, count(*) AS n_nonzero,
+       sum(rk) FILTER (WHERE x > 0) AS wp, sum(rk) FILTER (WHERE x < 0) AS wm, sum(same * same - 1.0::DOUBLE) AS tie FROM (SELECT flag, x,
+       count(*) OVER (PARTITION BY flag, abs(x)) AS same, rank() OVER (PARTITION BY flag ORDER BY abs(x)) + (count(*) OVER (PARTITION BY flag, abs(x)) - 1) / 2.0::DOUBLE AS rk
+       FROM (SELECT l_returnflag AS flag, l_quantity - l_discount * 510 AS x FROM lineitem) WHERE x <> 0) GROUP BY ALL))""", "w r p")
 def _(s, d):
     li = i.table(s, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.lit(0.0).alias("b"),
-                                          (F.col("l_quantity") - F.col("l_discount") * 500).alias("t"))
-    return st.signed_rank(li, ["flag"]).select("flag", "n_nonzero", "w", F.col("r_rank_biserial").alias("r"))
+                                          (F.col("l_quantity") - F.col("l_discount") * 510).alias("t"))
+    return st.signed_rank(li, ["flag"], "approximate").select(
+        "flag", "n_nonzero", "w", F.col("r_rank_biserial").alias("r"), F.col("p_wilcoxon").alias("p"))
 
 
 @query("P8_rank_biserial", "SELECT study, metric, (wp - wm) / (wp + wm) AS r FROM ws", "r", extra=_WX)
@@ -359,15 +360,15 @@ def _ci(reps: str, value: str, prefix: str) -> str:
 
 
 @query("P13_paired_stats", f"""SELECT study, metric, n, median_baseline, median_treatment, median_delta, median_pct, n_datasets, ci_lo, ci_hi, p, pct_ci_lo, pct_ci_hi, pct_p,
-       n_nonzero, wp AS w, (wp - wm) / (wp + wm) AS r_rank_biserial, CASE WHEN n_nonzero <= 500 THEN ex.p_exact ELSE least(1, {erfc('z / sqrt(2)')}) END AS p_wilcoxon,
+       n_nonzero, wp AS w, (wp - wm) / (wp + wm) AS r_rank_biserial, ex.p_exact AS p_wilcoxon,
        hedges_g, {ITERATIONS}::BIGINT AS n_iterations FROM (SELECT study, metric, count(*) AS n, median(b) AS median_baseline, median(t) AS median_treatment,
        median(t - b) AS median_delta, median({_SP}) AS median_pct, count(DISTINCT pair_no) AS n_datasets FROM obs GROUP BY ALL)
        JOIN ({_ci('b2', 'delta', '')}) USING (study, metric) JOIN ({_ci('b2', 'pct', 'pct_')}) USING (study, metric) JOIN ws USING (study, metric)
-       LEFT JOIN (SELECT study, metric, p AS p_exact FROM ex) ex USING (study, metric) JOIN (SELECT study, metric, z FROM ap) USING (study, metric) JOIN hg USING (study, metric)""",
+       JOIN (SELECT study, metric, p AS p_exact FROM ex) ex USING (study, metric) JOIN hg USING (study, metric)""",
        "median_baseline median_treatment median_delta median_pct ci_lo ci_hi p pct_ci_lo pct_ci_hi pct_p w r_rank_biserial p_wilcoxon hedges_g",
        extra=_B2 + ", " + _WP + ", " + _HG, recursive=True)
 def _(s, d):
-    return st.paired_stats(pr.ordered(i.obs(s, d)), K, "ord", 1 << 16, ITERATIONS, 1, cluster="pair_no")
+    return st.paired_stats(pr.ordered(i.obs(s, d)), K, "ord", pr.ORDER_WIDTH, ITERATIONS, 1, cluster="pair_no")
 
 
 _EFF = _B1 + ", " + _HG + """, fo AS (SELECT study, metric, hedges_g, median_delta, sd_pooled, ci_lo, ci_hi, CASE WHEN abs(hedges_g) > 0.001 AND abs(median_delta) > 2.220446049250313e-16
@@ -380,7 +381,7 @@ _EFF = _B1 + ", " + _HG + """, fo AS (SELECT study, metric, hedges_g, median_del
 @query("P15_effect_interval", "SELECT study, metric, sd_star, ci_lo / sd_star AS ci_lo_g, ci_hi / sd_star AS ci_hi_g FROM fo", "sd_star ci_lo_g ci_hi_g", extra=_EFF)
 def _(s, d):
     o = i.obs(s, d)
-    reps = st.bootstrap_one_level(pr.ordered(o), K, "ord", 1 << 16, ITERATIONS, 1)
+    reps = st.bootstrap_one_level(pr.ordered(o), K, "ord", pr.ORDER_WIDTH, ITERATIONS, 1)
     rows = (st.interval_and_p(reps, K, "delta").join(st.hedges_g_av(o, K), K)
             .join(st.paired_medians(o, K).select(*K, "median_delta"), K)
             .join(ob.pooled(o, K).groupBy(*K).agg(F.stddev_samp("y").alias("sd_pooled")), K))
@@ -388,22 +389,23 @@ def _(s, d):
 
 
 _RR = (_B1.replace("FROM obs)", "FROM obs WHERE b >= 1)") + ", " + _WX.replace("FROM obs WHERE t <> b", "FROM obs WHERE b >= 1 AND t <> b")
-       + ", " + _HG.replace("FROM obs GROUP", "FROM obs WHERE b >= 1 GROUP"))
+       + ", " + _EXACT + ", " + _HG.replace("FROM obs GROUP", "FROM obs WHERE b >= 1 GROUP"))
 
 
 @query("P17_rate_report", f"""SELECT study, metric, n, pct_increased, pct_decreased, median_baseline, median_treatment, median_delta, median_pct, ci_lo, ci_hi, p,
-       pct_ci_lo, pct_ci_hi, pct_p, w, r_rank_biserial, hedges_g FROM (SELECT study, metric, count(*) AS n, 100.0 * count(*) FILTER (WHERE t > b) / count(*) AS pct_increased,
+       pct_ci_lo, pct_ci_hi, pct_p, w, r_rank_biserial, p_wilcoxon, hedges_g FROM (SELECT study, metric, count(*) AS n, 100.0 * count(*) FILTER (WHERE t > b) / count(*) AS pct_increased,
        100.0 * count(*) FILTER (WHERE t < b) / count(*) AS pct_decreased, median(b) AS median_baseline, median(t) AS median_treatment, median(t - b) AS median_delta,
        median({_SP}) AS median_pct FROM obs WHERE b >= 1 GROUP BY ALL) JOIN ({_CI}) USING (study, metric)
        JOIN (SELECT study, metric, {{pm:v:2.5}} AS pct_ci_lo, {{pm:v:97.5}} AS pct_ci_hi, p AS pct_p FROM (SELECT study, metric, list_sort(list(pct)) AS v,
        least(1, 2 * least(avg((pct >= 0)::INT), avg((pct <= 0)::INT))) AS p FROM b1 GROUP BY ALL)) USING (study, metric)
-       JOIN (SELECT study, metric, wp AS w, (wp - wm) / (wp + wm) AS r_rank_biserial FROM ws) USING (study, metric) JOIN hg USING (study, metric)""",
-       "pct_increased pct_decreased median_baseline median_treatment median_delta median_pct ci_lo ci_hi p pct_ci_lo pct_ci_hi pct_p w r_rank_biserial hedges_g",
-       extra=_RR)
+       JOIN (SELECT study, metric, wp AS w, (wp - wm) / (wp + wm) AS r_rank_biserial, ex.p AS p_wilcoxon FROM ws JOIN ex USING (study, metric)) USING (study, metric)
+       JOIN hg USING (study, metric)""",
+       "pct_increased pct_decreased median_baseline median_treatment median_delta median_pct ci_lo ci_hi p pct_ci_lo pct_ci_hi pct_p w r_rank_biserial p_wilcoxon hedges_g",
+       extra=_RR, recursive=True)
 def _(s, d):
     spikes_only = i.obs(s, d).filter("metric = 'spike_rate'")
     report = pr.rate_report(spikes_only, td.MIN_RATE, iterations=ITERATIONS)
-    return report.drop("n_datasets", "n_nonzero", "p_wilcoxon", "n_iterations")
+    return report.drop("n_datasets", "n_nonzero", "n_iterations")
 
 
 @query("P17_rate_report_both")

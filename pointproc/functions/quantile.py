@@ -7,7 +7,8 @@ Two forms. ``array_percentile`` is an expression over a sorted array, for groups
 of proven small size (the edges of one 60-electrode graph, the replicates of one
 bootstrap). ``percentile_mid`` and ``cumulative`` work on groups of any size:
 equal values are merged before the first shuffle, the distinct values of a group
-are spread over magnitude buckets, and only bucket totals are scanned per group.
+are spread over magnitude buckets, which are cut by their own range where many
+values lie close together, and only bucket totals are scanned per group.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STEPS = 1024  # buckets per factor of two
+_FILL = 4096   # distinct values a bucket is cut to hold
 
 
 def _magnitude_bucket(v: Column) -> Column:
@@ -38,9 +40,9 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str,
     sums of further expressions. NULL and NaN values are left out.
     """
     keys, sums = list(keys), dict(sums or {})
-    part = [*keys, "_bucket"]
+    coarse, part = [*keys, "_bucket"], [*keys, "_bucket", "_cut"]
     v = F.col(value)
-    vals = (
+    merged = (
         df.filter(v.isNotNull() & ~F.isnan(v.cast("double")))
         .groupBy(*keys, v.cast("double").alias(value))
         .agg(F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(n) for n, c in sums.items()])
@@ -48,8 +50,15 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str,
         .withColumn(value, F.col(value) + F.lit(0.0))
         .withColumn("_bucket", _magnitude_bucket(F.col(value)))
     )
+    spans = merged.groupBy(*coarse).agg(F.min(value).alias("_min"), F.max(value).alias("_max"),
+                                        F.ceil(F.count(F.lit(1)) / _FILL).alias("_cuts"))
+    span = F.col("_max") - F.col("_min")
+    at = F.floor((F.col(value) - F.col("_min")) / span * F.col("_cuts"))
+    vals = merged.join(spans, coarse).withColumn(
+        "_cut", F.when((F.col("_cuts") > 1) & (span > 0) & (span < float("inf")), F.least(at, F.col("_cuts") - 1)).otherwise(0)
+    ).drop("_min", "_max", "_cuts")
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    past = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    past = group.orderBy("_bucket", "_cut").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
         vals.groupBy(*part).agg(F.sum("cnt").alias("_n"))
         .select(*part, F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_offset"),

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 
 def draw_word(*parts: Column | int | str) -> Column:
-    """A 32-bit unsigned word (as BIGINT) from the joined counter parts."""
+    """A 60-bit word (as BIGINT) from the joined counter parts."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
     digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def draw_index(n: Column | int, *parts: Column | int | str) -> Column:

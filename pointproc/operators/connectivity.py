@@ -18,11 +18,10 @@ NORMS = ("pearson", "coeff", "none")
 
 
 def channel_pairs(channels: DataFrame) -> DataFrame:
-    """Pairs i < j of the channels a recording used (at most 1,770 each)."""
-    dim = electrode_pairs(channels.sparkSession).select("i", "j")
-    first = channels.withColumnRenamed("channel", "i").join(F.broadcast(dim), "i")
+    """Pairs i < j of the channels a recording used, whatever their numbers."""
+    first = channels.select("recording_id", F.col("channel").alias("i"), "duration_us")
     second = channels.select("recording_id", F.col("channel").alias("j"))
-    return first.join(second, ["recording_id", "j"]).select(*PAIR, "duration_us")
+    return first.join(second, "recording_id").filter("i < j").select(*PAIR, "duration_us")
 
 
 def coincidences(bins: DataFrame, max_lag: int) -> DataFrame:

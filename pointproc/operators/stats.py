@@ -17,8 +17,6 @@ from pointproc.functions.scalar import safe_pct
 from pointproc.operators.ordered import with_neighbours
 from pointproc.session import cut_lineage, wide
 
-EXACT_LIMIT = 500       # most differences the exact signed-rank distribution is built for
-MEDIAN_LIMIT = 1 << 20  # most draws per replicate left to the built-in median
 SLOT_CHUNK = 10_000
 
 
@@ -75,55 +73,71 @@ def tied_ranks(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, C
     return c.withColumn("rank", F.col("below") + (F.col("cnt") + 1) / 2.0)
 
 
-def signed_rank(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def signed_rank(obs: DataFrame, keys: Sequence[str], method: str = "exact") -> DataFrame:
     """W (rank sum of increases), rank-biserial r and the two-sided p per endpoint.
 
-    Zero differences are dropped. Ranks come per distinct |difference|, so an
-    endpoint of any size stays distributed; p is exact up to ``EXACT_LIMIT``
-    differences and the tie-corrected normal approximation beyond.
+    Zero differences are dropped; where nothing else remains W is 0, p is 1 and r is
+    missing. Endpoints without a complete pair have missing results. Ranks come per
+    distinct |difference|. The p-value is the caller's choice: "exact" builds the
+    distribution of the rank sums in the endpoint's row, which takes its ranks and
+    n * n / 2 sums in memory; "approximate" is the tie-corrected normal tail, for
+    endpoints of any size.
     """
+    if method not in ("exact", "approximate"):
+        raise ValueError("method must be exact or approximate")
     keys = list(keys)
-    d = complete(obs).select(*keys, (F.col("t") - F.col("b")).alias("d")).filter("d != 0").select(
+    pairs = complete(obs).select(*keys, (F.col("t") - F.col("b")).alias("d"))
+    d = pairs.filter("d != 0").select(
         *keys, F.abs("d").alias("size"), F.when(F.col("d") > 0, 1).otherwise(0).alias("up"))
     r = tied_ranks(d, keys, "size", {"up": F.col("up")})
     cnt, rank, total = F.col("cnt"), F.col("rank"), F.col("total")
+    ranks = F.collect_list(F.struct((rank * 2).cast("int").alias("r2"), cnt.cast("int").alias("cnt")))
     agg = r.groupBy(*keys).agg(
         F.max(total).alias("n_nonzero"), F.sum(rank * F.col("up")).alias("w_plus"),
         F.sum(rank * (cnt - F.col("up"))).alias("w_minus"),
         F.sum(cnt * cnt * cnt - cnt).alias("ties"),
-        # at most EXACT_LIMIT entries: larger endpoints collect nothing
-        F.collect_list(F.when(total <= EXACT_LIMIT, F.struct((rank * 2).cast("int").alias("r2"),
-                                                             cnt.cast("int").alias("cnt")))).alias("ranks"))
-    w_p, w_m = F.col("w_plus"), F.col("w_minus")
-    return agg.select(
-        *keys, "n_nonzero", F.col("w_plus").alias("w"),
-        F.when(w_p + w_m > 0, (w_p - w_m) / (w_p + w_m)).alias("r_rank_biserial"),
-        _signed_rank_p(F.transform("ranks", lambda x: x["r2"]), F.transform("ranks", lambda x: x["cnt"]),
-                       w_p, F.col("n_nonzero"), F.col("ties")).alias("p_wilcoxon"))
+        (ranks if method == "exact" else F.expr("array()")).alias("ranks"))
+    w_p, w_m, n = F.col("w_plus"), F.col("w_minus"), F.col("n_nonzero")
+    if method == "exact":
+        p = _exact_p(F.transform("ranks", lambda x: x["r2"]), F.transform("ranks", lambda x: x["cnt"]), w_p)
+    else:
+        var = (n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24
+        p = F.least(_normal_tails((n * (n + 1) / 4 - F.least(w_p, w_m)) / F.sqrt(var)), F.lit(1.0))
+    scored = agg.select(*keys, n, w_p.alias("w"), F.when(w_p + w_m > 0, (w_p - w_m) / (w_p + w_m)).alias("r_rank_biserial"),
+                        p.alias("p_wilcoxon"))
+    sizes = _endpoints(obs, keys).join(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "left")
+    flat = F.col("_n").isNotNull() & F.col("n_nonzero").isNull()
+    return sizes.join(scored, keys, "left").select(
+        *keys, F.when(flat, 0).otherwise(F.col("n_nonzero")).alias("n_nonzero"), F.when(flat, 0.0).otherwise(F.col("w")).alias("w"),
+        "r_rank_biserial", F.when(flat, 1.0).otherwise(F.col("p_wilcoxon")).alias("p_wilcoxon"))
+
+
+def _endpoints(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every endpoint there is an observation of, complete or not."""
+    return obs.select(*keys).distinct()
 
 
 @F.pandas_udf(T.DoubleType())
-def _signed_rank_p(r2: pd.Series, cnt: pd.Series, w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
-    """Tail of the rank-subset sums, one short row per endpoint."""
+def _exact_p(r2: pd.Series, cnt: pd.Series, w: pd.Series) -> pd.Series:
+    """Tail of the rank-subset sums, one row per endpoint."""
     out = []
-    for ranks, counts, wp, k, tie in zip(r2, cnt, w, n, ties):
-        if len(ranks):
-            prob = np.ones(1)
-            for step in np.repeat(ranks, counts):
-                grown = np.zeros(len(prob) + step)
-                grown[:len(prob)] += prob / 2
-                grown[step:] += prob / 2
-                prob = grown
-            at = int(round(2 * wp))
-            p = 2 * min(prob[:at + 1].sum(), prob[at:].sum())
-        else:
-            var = (k * (k + 1) * (2 * k + 1) - tie / 2) / 24
-            z = (min(wp, k * (k + 1) / 2 - wp) - k * (k + 1) / 4) / math.sqrt(var)
-            p = math.erfc(-z / math.sqrt(2))
-        out.append(min(1.0, float(p)))
+    for ranks, counts, wp in zip(r2, cnt, w):
+        prob = np.ones(1)
+        for step in np.repeat(ranks, counts):
+            grown = np.zeros(len(prob) + step)
+            grown[:len(prob)] += prob / 2
+            grown[step:] += prob / 2
+            prob = grown
+        at = int(round(2 * wp))
+        out.append(min(1.0, float(2 * min(prob[:at + 1].sum(), prob[at:].sum()))))
     return pd.Series(out)
 
 
+@F.pandas_udf(T.DoubleType())
+def _normal_tails(z: pd.Series) -> pd.Series:
+    return z.map(lambda v: math.erfc(v / math.sqrt(2)))
+
+
 def bh_fdr(df: DataFrame, family: Sequence[str], p: str, q: float = 0.05) -> DataFrame:
     """Add ``p_adj`` and ``rejected``: step-up adjustment within each family.
 
@@ -150,8 +164,11 @@ def bh_fdr(df: DataFrame, family: Sequence[str], p: str, q: float = 0.05) -> Dat
     adj = c.withColumn("_in", F.min("raw").over(inner)).join(mins, [*family, "_block"]).select(
         *family, F.col(p).alias("_p"), F.least("_in", "_above", F.lit(1.0)).alias("p_adj"))
     keyed = df.withColumn("_p", F.col(p).cast("double") + F.lit(0.0))
-    return keyed.join(adj, [*family, "_p"], "left").drop("_p").withColumn(
-        "rejected", F.coalesce(F.col("p_adj") <= q, F.lit(False)))
+    known = F.col("_p").isNotNull() & ~F.isnan("_p")
+    # rows without a p-value find nothing: they do not share a join key
+    found = keyed.filter(known).join(adj, [*family, "_p"]).unionByName(
+        keyed.filter(~F.coalesce(known, F.lit(False))).withColumn("p_adj", F.lit(None).cast("double")))
+    return found.select(*df.columns, "p_adj").withColumn("rejected", F.coalesce(F.col("p_adj") <= q, F.lit(False)))
 
 
 # --- bootstrap ------------------------------------------------------------------
@@ -168,7 +185,7 @@ def bootstrap_one_level(obs: DataFrame, keys: Sequence[str], order: str, width:
     sizes = cut_lineage(rows.groupBy(*keys).agg(F.max("idx").alias("n")))
     slots = _slots(sizes.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))), "n")
     draws = slots.withColumn("idx", draw_index(F.col("n"), F.lit(seed), F.col("iteration"), F.lit(0), F.col("slot")) + 1)
-    return _replicates(draws.join(rows, [*keys, "idx"]), keys, _largest(sizes))
+    return _replicates(draws.join(rows, [*keys, "idx"]), keys)
 
 
 def bootstrap_two_level(obs: DataFrame, keys: Sequence[str], cluster: str, order: str, width: int,
@@ -185,9 +202,7 @@ def bootstrap_two_level(obs: DataFrame, keys: Sequence[str], cluster: str, order
         F.col("n_c"), F.lit(seed), F.col("iteration"), F.lit(1), F.col("c_slot")) + 1).join(ranked, [*keys, "c_idx"])
     draws = _slots(picked, "n").withColumn("idx", draw_index(
         F.col("n"), F.lit(seed), F.col("iteration"), F.lit(2), F.concat_ws(",", "c_slot", "slot")) + 1)
-    total = _largest(sizes.groupBy(*keys).agg(
-        (F.max("n") * F.count(F.lit(1))).alias("n")))
-    return _replicates(draws.join(rows, [*keys, cluster, "idx"]), keys, total)
+    return _replicates(draws.join(rows, [*keys, cluster, "idx"]), keys)
 
 
 def _slots(df: DataFrame, n: str) -> DataFrame:
@@ -201,21 +216,10 @@ def _slots(df: DataFrame, n: str) -> DataFrame:
     return chunked.withColumn("slot", F.explode(F.sequence(first, last))).drop("_chunk")
 
 
-def _largest(sizes: DataFrame) -> int:
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
-def _replicates(drawn: DataFrame, keys: list[str], draws_per_replicate: int) -> DataFrame:
-    by = [*keys, "iteration"]
+def _replicates(drawn: DataFrame, keys: list[str]) -> DataFrame:
+    """Medians per replicate; drawn values merge to (value, count) before the shuffle."""
     b, t = F.col("b"), F.col("t")
-    if draws_per_replicate <= MEDIAN_LIMIT:
-        return drawn.groupBy(*by).agg(F.median(t - b).alias("delta"), F.median(safe_pct(b, t)).alias("pct"))
-    long = drawn.select(*by, F.explode(F.array(
-        F.struct(F.lit("d").alias("what"), (t - b).alias("y")),
-        F.struct(F.lit("p").alias("what"), safe_pct(b, t).alias("y")))).alias("x")).select(*by, "x.*")
-    m = percentile_mid(long, [*by, "what"], "y", {"m": 50})
-    return m.groupBy(*by).agg(F.max(F.when(F.col("what") == "d", F.col("m"))).alias("delta"),
-                              F.max(F.when(F.col("what") == "p", F.col("m"))).alias("pct"))
+    return drawn.groupBy(*keys, "iteration").agg(F.median(t - b).alias("delta"), F.median(safe_pct(b, t)).alias("pct"))
 
 
 def interval_and_p(reps: DataFrame, keys: Sequence[str], value: str, prefix: str = "") -> DataFrame:
@@ -237,13 +241,12 @@ def median_difference(a: Column, b: Column) -> Column:
 
 
 def permutation_test(spark: SparkSession, values: DataFrame, statistic: Callable[[Column, Column], Column] = median_difference,
-                     tails: str = "two", max_assignments: int = 100_000_000) -> DataFrame:
+                     tails: str = "two") -> DataFrame:
     """Exact two-sample test over every split of the pooled values.
 
     ``values`` has ``grp`` ('a' or 'b') and ``y``, a handful of rows: the number of
-    splits, C(n, n_a), is what limits the sample, and more than ``max_assignments``
-    is refused rather than sampled. Splits grow one member at a time by ``explode``,
-    so they are spread over the cluster; ``statistic`` maps two array columns to one.
+    splits, C(n, n_a), is what limits the sample. Splits grow one member at a time
+    by ``explode`` and are spread over the cluster once there are enough; ``statistic`` maps two array columns to one.
     """
     if tails not in ("two", "right", "left"):
         raise ValueError("tails must be two, right or left")
@@ -254,8 +257,6 @@ def permutation_test(spark: SparkSession, values: DataFrame, statistic: Callable
     if n_a < 1 or n_b < 1:
         raise ValueError("each group needs at least one value")
     n = n_a + n_b
-    if math.comb(n, n_a) > max_assignments:
-        raise ValueError(f"{math.comb(n, n_a)} assignments exceed {max_assignments}")
     sample = good.agg(F.array_sort(F.collect_list(F.when(F.col("grp") == "a", F.col("y")))).alias("a"),
                       F.array_sort(F.collect_list(F.when(F.col("grp") == "b", F.col("y")))).alias("b"))
     sample = sample.withColumn("observed", statistic(F.col("a"), F.col("b"))).withColumn("pooled", F.concat("a", "b"))
@@ -268,8 +269,8 @@ def permutation_test(spark: SparkSession, values: DataFrame, statistic: Callable
         picks = picks.filter(after <= room).withColumn(
             "_next", F.explode(F.sequence(after, F.lit(room)))).withColumn(
             "member", F.concat("member", F.array("_next"))).drop("_next")
-        if depth == 0 and k > 1:
-            picks = picks.repartition(spark.sparkContext.defaultParallelism)
+        if depth == min(2, k - 1):  # up to n^3 / 6 rows: near-equal shares of all splits
+            picks = wide(picks, "member")
     positions = F.sequence(F.lit(0), F.lit(n - 1))
 
     def values_at(inside: bool) -> Column:
@@ -308,8 +309,8 @@ def chi2_even(counts: DataFrame) -> DataFrame:
 # --- roll-up --------------------------------------------------------------------
 
 def paired_stats(obs: DataFrame, keys: Sequence[str], order: str, width: int, iterations: int = 10_000,
-                 seed: int = 1, cluster: str | None = None) -> DataFrame:
-    """Everything above for each endpoint, one row each.
+                 seed: int = 1, cluster: str | None = None, method: str = "exact") -> DataFrame:
+    """Everything above for each endpoint, one row each, also where no pair is complete.
 
     With ``cluster`` the bootstrap draws clusters first; ``order`` and ``width`` give
     the BIGINT column the observations are numbered by and its block length.
@@ -322,6 +323,7 @@ def paired_stats(obs: DataFrame, keys: Sequence[str], order: str, width: int, it
     boot = interval_and_p(reps, keys, "delta").join(interval_and_p(reps, keys, "pct", "pct_"), keys)
     n_sets = (complete(obs).groupBy(*keys).agg(F.countDistinct(cluster).alias("n_datasets")) if cluster else
               complete(obs).groupBy(*keys).agg(F.lit(None).cast("bigint").alias("n_datasets")))
-    return (paired_medians(obs, keys).join(n_sets, keys).join(boot, keys, "left")
-            .join(signed_rank(obs, keys), keys, "left").join(hedges_g_av(obs, keys), keys, "left")
-            .withColumn("n_iterations", F.lit(iterations)))
+    out = _endpoints(obs, keys)
+    for part in (paired_medians(obs, keys), n_sets, boot, signed_rank(obs, keys, method), hedges_g_av(obs, keys)):
+        out = out.join(part, keys, "left")
+    return out.withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))).withColumn("n_iterations", F.lit(iterations))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointproc.operators.ordered import carry_latest, div_floor, with_islands, with_neighbours
-from pointproc.session import cut_lineage
+from pointproc.operators.ordered import div_floor, with_islands, with_neighbours
 
 TRAIN = ["recording_id", "channel"]
 
@@ -18,86 +20,29 @@ def intervals(spikes: DataFrame, block_us: int) -> DataFrame:
             .select(*TRAIN, "idx", "t_us", (F.col("next") - F.col("t_us")).alias("isi_us")))
 
 
-def drop_refractory(spikes: DataFrame, refractory_us: int, block_us: int,
-                    fold_limit: int = 4096) -> DataFrame:
+def drop_refractory(spikes: DataFrame, refractory_us: int, block_us: int) -> DataFrame:
     """Keep a spike only when the last *kept* one is at least ``refractory_us`` back.
 
     A spike after a gap of at least the refractory time is always kept, so the
-    islands between such gaps are independent. Islands of up to ``fold_limit``
-    spikes are thinned by a fold in place; longer ones by doubling jumps over
-    successor links, with no group collected.
+    islands between such gaps are independent: each goes to one task in time order
+    and is thinned as it streams by, holding nothing but the last kept time.
     """
-    ref = F.lit(int(refractory_us))
     # equal times: all but one fall to the rule, so merge them before the shuffle
     base = spikes.groupBy(*TRAIN, "t_us").agg(F.max("duration_us").alias("duration_us"))
-    rows = with_islands(base, TRAIN, "t_us", block_us, int(refractory_us) - 1)
     key = [*TRAIN, "island"]
-    short, long = rows, None
-    if _may_hold_long_islands(spikes, refractory_us, fold_limit):
-        long_keys = cut_lineage(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-                                .filter(F.col("n") > fold_limit).select(*key))
-        short = rows.join(long_keys, key, "left_anti")
-        long = rows.join(long_keys, key, "left_semi")
-
-    def step(kept: Column, t: Column) -> Column:
-        late = F.element_at(kept, -1) + ref <= t
-        return F.when(F.size(kept) == 0, F.array(t)).when(
-            late, F.concat(kept, F.array(t))).otherwise(kept)
-
-    folded = (
-        short.groupBy(*key)
-        .agg(F.array_sort(F.collect_list("t_us")).alias("ts"), F.max("duration_us").alias("duration_us"))
-        .select(*TRAIN, F.explode(F.aggregate(
-            "ts", F.expr("CAST(array() AS ARRAY<BIGINT>)"), step)).alias("t_us"), "duration_us")
-    )
-    return folded if long is None else folded.unionByName(_thin_by_jumps(long, key, refractory_us, block_us))
-
-
-def _may_hold_long_islands(spikes: DataFrame, refractory_us: int, fold_limit: int) -> bool:
-    """Cheap necessary condition, by one map-side combined count.
-
-    An island of more than L spikes has gaps below the refractory time, so in cells
-    of L/4 refractory times it either fits in two cells, one of which then holds over
-    L/2 spikes, or it crosses a whole cell and leaves at least L/4 - 1 spikes there.
-    """
-    cell = max(fold_limit // 4, 1) * int(refractory_us)
-    dense = (spikes.groupBy(*TRAIN, div_floor(F.col("t_us"), cell).alias("cell"))
-             .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= fold_limit // 4 - 1))
-    return not dense.isEmpty()
-
-
-def _thin_by_jumps(rows: DataFrame, key: list[str], refractory_us: int, block_us: int) -> DataFrame:
-    """Greedy thinning of long chains: mark what the first spike's links reach.
-
-    ``link`` of a spike is the first one at least the refractory time later. With
-    links of length 1, 2, 4, ... the reached set doubles every round.
-    """
-    keep = [*key, "t_us", "duration_us"]
-    # nearest spike at or after t + ref: merge spikes and queries into one order
-    spikes = rows.select(*key, F.col("t_us").alias("at"), F.lit(1).alias("kind"),
-                         F.col("t_us").alias("spike"), F.lit(None).cast("bigint").alias("asks"))
-    asks = rows.select(*key, (F.col("t_us") + int(refractory_us)).alias("at"), F.lit(0).alias("kind"),
-                       F.lit(None).cast("bigint").alias("spike"), F.col("t_us").alias("asks"))
-    # time runs backwards here, so "latest before" means "first after"
-    merged = spikes.unionByName(asks).withColumn("neg", -F.col("at"))
-    ordered = with_neighbours(merged, key, "neg", block_us, ties=[F.desc("kind")])
-    found = carry_latest(ordered, key, F.col("spike"), "link")
-    links = cut_lineage(found.filter("asks IS NOT NULL AND link IS NOT NULL")
-                        .select(*key, F.col("asks").alias("t_us"), "link"))
-    reached = rows.groupBy(*key).agg(F.min("t_us").alias("t_us"))
-    count = 0
-    while True:
-        reached = cut_lineage(
-            reached.unionByName(reached.join(links, [*key, "t_us"]).select(*key, F.col("link").alias("t_us")))
-            .distinct())
-        now = reached.count()
-        if now == count:
-            break
-        count = now
-        hop = links.select(*key, F.col("t_us").alias("link"), F.col("link").alias("far"))
-        links = cut_lineage(links.join(hop, [*key, "link"]).select(*key, "t_us", F.col("far").alias("link")))
-    return rows.select(*keep).join(reached, [*key, "t_us"]).select(
-        "recording_id", "channel", "t_us", "duration_us")
+    rows = with_islands(base, TRAIN, "t_us", block_us, int(refractory_us) - 1).select(*key, "t_us", "duration_us")
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, 0
+        for batch in batches:
+            keep = []
+            for *island, t in zip(*(batch.column(c).to_pylist() for c in (*key, "t_us"))):
+                keep.append(island != now or t - last >= refractory_us)
+                if keep[-1]:
+                    now, last = island, t
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition(*key).sortWithinPartitions(*key, "t_us").mapInArrow(thin, rows.schema).drop("island")
 
 
 def bursts(spikes: DataFrame, isi_max_us: int, isi_end_us: int, min_spikes: int,

@@ -15,9 +15,13 @@ from pointproc.params import DEFAULTS, Params
 from pointproc.session import cut_lineage
 
 
+#: Block length of ``ord``: 64 pairs.
+ORDER_WIDTH = 1 << 38
+
+
 def ordered(obs: DataFrame) -> DataFrame:
-    """Observations with ``ord``: a BIGINT that orders (pair, channel)."""
-    return obs.withColumn("ord", (F.col("pair_no") * 64 + F.col("channel")).cast("bigint"))
+    """Observations with ``ord``: a BIGINT that orders (pair, channel) without collisions."""
+    return obs.withColumn("ord", F.shiftleft(F.col("pair_no").cast("bigint"), 32) + F.col("channel"))
 
 
 def rate_report(obs: DataFrame, minimum: float, params: Params = DEFAULTS, mode: str | None = None,
@@ -28,7 +32,7 @@ def rate_report(obs: DataFrame, minimum: float, params: Params = DEFAULTS, mode:
     o = params.observation
     rows = keep_not_silent(obs, mode or o.silent_mode, minimum)
     rows = drop_outliers(rows, keys, outlier_mode(outliers or o.outlier_mode, drop_mean_multiplier))
-    stats = paired_stats(ordered(rows), keys, "ord", 1 << 16, iterations or params.stats.n_bootstrap,
+    stats = paired_stats(ordered(rows), keys, "ord", ORDER_WIDTH, iterations or params.stats.n_bootstrap,
                          params.stats.bootstrap_seed)
     return direction_shares(rows, keys).drop("n").join(stats, keys)
 
@@ -47,7 +51,7 @@ def study_bootstrap(spike_obs: DataFrame, burst_obs: DataFrame, params: Params =
     pct = cut_lineage(pct)
     # the statistic is the median of pct itself: hand it over as a difference to 0
     rows = ordered(pct).select(*by, "pair_no", "ord", F.lit(0.0).alias("b"), F.col("pct").alias("t"))
-    reps = bootstrap_two_level(rows, by, "pair_no", "ord", 1 << 16, iterations or params.stats.n_bootstrap,
+    reps = bootstrap_two_level(rows, by, "pair_no", "ord", ORDER_WIDTH, iterations or params.stats.n_bootstrap,
                                params.stats.bootstrap_seed)
     seen = percentile_mid(pct, by, "pct", {"observed": 50}).withColumnRenamed("n", "n_channels")
     sets = pct.groupBy(*by).agg(F.countDistinct("pair_no").alias("n_datasets"))

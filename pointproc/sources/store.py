@@ -9,27 +9,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointproc import schema as S
-from pointproc.functions.scalar import pair_number
+from pointproc.functions.scalar import require_pair_number
 from pointproc.params import DEFAULTS
 
 STUDIES = ("doi", "ket")
 PARTS = ("study", "recording_id")
 
 
-def write_table(df: DataFrame, root: str, name: str, overwrite: bool = False) -> None:
-    """Write one store table; ``overwrite`` replaces only the recordings present in ``df``."""
+def write_table(df: DataFrame, root: str, name: str) -> None:
+    """Write one store table, replacing exactly the recordings present in ``df``.
+
+    So a run that is repeated after a failure does not add its rows a second time.
+    """
     S.require_columns(df, *PARTS, what=name)
     # rebalancing gathers a small recording into one file and splits a large one
     (df.hint("rebalance", *PARTS).write.partitionBy(*PARTS)
-     .mode("overwrite" if overwrite else "append").option("partitionOverwriteMode", "dynamic")
+     .mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .parquet(f"{root}/{name}"))
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A store table with its declared schema (plus ``study``); files are not inferred."""
+    """A store table with its declared schema (plus ``study``).
+
+    The stored files must hold every declared column: a missing one is an error, not NULLs.
+    """
     kind = S.TABLES[name]
     if "study" not in kind.names:
         kind = S.T.StructType([*kind.fields, S.T.StructField("study", S.STR)])
+    # column names only; they are merged over all files, so one that lacks a column does not hide
+    stored = spark.read.option("mergeSchema", "false").parquet(f"{root}/{name}")
+    S.require_columns(stored, *kind.names, what=f"stored table {name}")
     return spark.read.schema(kind).parquet(f"{root}/{name}")
 
 
@@ -62,18 +71,18 @@ def recordings_for(recordings: DataFrame, study: str) -> DataFrame:
 def pair_up(baseline: DataFrame, treatment: DataFrame, name: str = "name") -> DataFrame:
     """Full outer match of two name lists on their ``#N`` suffix.
 
-    ``status`` is ok, or says which side has no partner.
+    ``status`` is ok, or says which side has no partner. A name without suffix is an error.
     """
-    b = baseline.select(pair_number(F.col(name)).alias("pair_no"), F.col(name).alias("baseline"))
-    t = treatment.select(pair_number(F.col(name)).alias("pair_no"), F.col(name).alias("treatment"))
+    b = baseline.select(require_pair_number(F.col(name)).alias("pair_no"), F.col(name).alias("baseline"))
+    t = treatment.select(require_pair_number(F.col(name)).alias("pair_no"), F.col(name).alias("treatment"))
     status = (F.when(F.col("treatment").isNull(), "no treatment")
               .when(F.col("baseline").isNull(), "no baseline").otherwise("ok"))
     return b.join(t, "pair_no", "full_outer").withColumn("status", status)
 
 
 def require_paired(pairs: DataFrame) -> DataFrame:
-    """Fail, naming a few unmatched ids, unless every name found its partner."""
-    lost = [str(r["pair_no"]) for r in pairs.filter("status != 'ok'").select("pair_no").limit(20).collect()]
+    """Fail, naming every unmatched id, unless every name found its partner. The lists are names of a study."""
+    lost = [f"#{r['pair_no']} ({r['status']})" for r in pairs.filter("status != 'ok'").orderBy("pair_no").collect()]
     if lost:
         raise ValueError(f"unmatched pair ids: {', '.join(lost)}")
     return pairs.drop("status")

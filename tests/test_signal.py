@@ -69,11 +69,33 @@ def test_detection_and_slice(spark):
     x = rng.normal(size=20_000) * 0.1
     at = [500, 4000, 9999, 10_000, 15_000]
     x[at] = -5.0
-    rows = sg.explode_samples(chunked(spark, x))
-    got = sorted(r["t_us"] for r in sg.detect_spikes(rows, 6.0, -1, 1_250_000).collect())
-    assert got == [int(n / FS * 1e6) for n in (500, 4000, 9999, 15_000)]  # 9999 and 10000 are one crossing
+    for windows in (1, 12):  # 10,000 is the first sample of a window, and of a block where a block is one window
+        blocks = sg.detect_blocks(chunked(spark, x), SpikeParams(sd_factor=6.0, noise_window_us=1_250_000), windows=windows)
+        got = sorted(r["t_us"] for r in sg.crossings(blocks).collect())
+        assert blocks.agg(F.sum("n")).first()[0] == 20_000
+        assert got == [int(n / FS * 1e6) for n in (500, 4000, 9999, 15_000)]  # 9999 and 10000 are one crossing
     assert sg.time_slice(chunked(spark, x), 0.5, 1.0).agg(F.min("n"), F.max("n")).first()[:] == (4000, 7999)
-    assert sg.thin_to(rows, 6000, 4096).count() == 6667
+    assert sg.thin_to(sg.explode_samples(chunked(spark, x)), 6000, 4096).count() == 6667
+
+
+def test_filtered_detection_is_filter_then_detection(spark):
+    x = np.random.default_rng(5).normal(size=int(30 * FS))
+    x[[40_000, 40_001, 120_000, 159_999, 200_000]] -= 40
+    spike = SpikeParams(sd_factor=5.0, noise_window_us=1_000_000)
+    chunks = chunked(spark, x, size=7000)
+    got = sorted(r["t_us"] for r in sg.crossings(sg.detect_blocks(chunks, spike, FilterParams(), windows=5)).collect())
+    whole = values(sg.filter_samples(chunks, block_sec=100))
+    want = sorted(r["t_us"] for r in sg.crossings(sg.detect_blocks(chunked(spark, whole), spike, windows=100)).collect())
+    assert got == want and len(got) >= 4
+
+
+def test_fast_length():
+    for n in (1, 2, 7, 11, 1000, 1021, 99_991):
+        k = m = sg._fast_length(n)
+        for f in (2, 3, 5):
+            while k % f == 0:
+                k //= f
+        assert k == 1 and n <= m <= 1.2 * n + 2
 
 
 def test_preprocess(spark):

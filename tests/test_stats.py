@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -17,7 +18,7 @@ def obs(spark, b, t, key="e"):
 
 
 def test_hash_word(spark):
-    assert spark.range(1).select(draw_word(1, 2).alias("w")).first()["w"] == 2992201373
+    assert spark.range(1).select(draw_word(1, 2).alias("w")).first()["w"] == int(hashlib.md5(b"1|2").hexdigest()[:15], 16)
 
 
 def test_bh_known(spark):
@@ -63,14 +64,25 @@ def test_signed_rank_exact(spark, seed):
     assert row["w"] == w and row["p_wilcoxon"] == pytest.approx(p)
 
 
-def test_signed_rank_large_is_close_to_exact(spark, monkeypatch):
+def test_signed_rank_approximate_is_close_to_exact(spark):
     rnd = random.Random(4)
     b = [rnd.random() for _ in range(200)]
     t = [x + rnd.gauss(0.05, 0.3) for x in b]
     near = st.signed_rank(obs(spark, b, t), ["e"]).first()["p_wilcoxon"]
-    monkeypatch.setattr(st, "EXACT_LIMIT", 10)
-    far = st.signed_rank(obs(spark, b, t), ["e"]).first()["p_wilcoxon"]
+    far = st.signed_rank(obs(spark, b, t), ["e"], "approximate").first()["p_wilcoxon"]
     assert far == pytest.approx(near, rel=0.05)
+    with pytest.raises(ValueError, match="method"):
+        st.signed_rank(obs(spark, b, t), ["e"], "auto")
+
+
+def test_endpoints_without_differences_or_pairs(spark):
+    rows = [("same", 1, 2.0, 2.0), ("same", 2, 3.0, 3.0), ("none", 1, None, 2.0), ("some", 1, 1.0, 2.0), ("some", 2, 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "e string, ord bigint, b double, t double")
+    ranks = {r["e"]: (r["n_nonzero"], r["w"], r["r_rank_biserial"], r["p_wilcoxon"]) for r in st.signed_rank(df, ["e"]).collect()}
+    assert ranks["same"] == (0, 0.0, None, 1.0) and ranks["none"] == (None, None, None, None) and ranks["some"][0] == 2
+    got = {r["e"]: r for r in st.paired_stats(df, ["e"], "ord", 100, 50).collect()}
+    assert set(got) == {"same", "none", "some"} and got["none"]["n"] == 0 and got["none"]["median_delta"] is None
+    assert got["same"]["p_wilcoxon"] == 1.0 and got["same"]["n"] == 2
 
 
 def test_permutation(spark):
@@ -89,7 +101,7 @@ def test_permutation(spark):
     with pytest.raises(ValueError):
         st.permutation_test(spark, df.filter("grp = 'a'"))
     with pytest.raises(ValueError):
-        st.permutation_test(spark, df, max_assignments=83)
+        st.permutation_test(spark, df, tails="both")
 
 
 def test_chi2(spark):

@@ -44,6 +44,33 @@ def test_incremental_store(spark, recs, tmp_path):
         store.read_recording(spark, root, "spikes", "zzz")
 
 
+def test_rerun_after_a_failure(spark, recs, tmp_path, monkeypatch):
+    root, p = str(tmp_path / "store"), Params(spike=SpikeParams(sd_factor=4.0))
+    write = store.write_table
+
+    def breaks(df, root, name):
+        if name == "recordings":
+            raise RuntimeError("lost")
+        write(df, root, name)
+
+    monkeypatch.setattr(store, "write_table", breaks)
+    with pytest.raises(RuntimeError):
+        preprocess_and_store(samples(spark, ["a_#1"]), recs, root, p, filtered=False)
+    monkeypatch.setattr(store, "write_table", write)
+    preprocess_and_store(samples(spark, ["a_#1"]), recs, root, p, filtered=False)
+    assert store.read_table(spark, root, "spikes").count() == 1
+    summary = store.read_table(spark, root, "channel_summary").collect()
+    assert len(summary) == 60  # the layout's channels; those without samples have no counts
+    assert [r["n_spikes"] for r in summary if r["channel"] == 1] == [1]
+    assert all(r["n_spikes"] is None and r["burst_rate"] is None for r in summary if r["channel"] != 1)
+    kept = json.loads(spark.read.parquet(f"{root}/recordings").first()["parameters"])
+    assert kept["spike"]["sd_factor"] == 4.0 and kept["filtered"] is False
+    spikes = spark.read.parquet(f"{root}/spikes").drop("t_us")
+    spikes.write.partitionBy("study", "recording_id").parquet(f"{root}/broken/spikes")
+    with pytest.raises(ValueError, match="t_us"):
+        store.read_table(spark, f"{root}/broken", "spikes")
+
+
 def test_versions_and_columns(spark, recs):
     assert store.check_version(recs).count() == 3
     for bad in ("1.0", None):
@@ -62,6 +89,9 @@ def test_studies_and_pairs(spark, recs):
     assert sorted((r["pair_no"], r["status"]) for r in pairs.collect()) == [(1, "ok"), (2, "no treatment")]
     with pytest.raises(ValueError, match="2"):
         store.require_paired(pairs)
+    nameless = spark.createDataFrame([("x",)], "name string")
+    with pytest.raises(Exception, match="no #N suffix"):
+        store.pair_up(nameless, nameless).collect()
 
 
 def test_channel_trains(spark, recs, trains):

@@ -76,12 +76,11 @@ def test_refractory_known(trains):
     assert got == [0, 1200, 2500]
 
 
-@pytest.mark.parametrize("limit", [4096, 4])
-def test_refractory_random(trains, many, limit):
+def test_refractory_random(trains, many):
     data = {ch: ts + ts[:3] for ch, ts in many.items()}  # with repeated times
     spikes, _ = trains(data, 1000)
     got = {}
-    for r in tr.drop_refractory(spikes, 25, BLOCK, fold_limit=limit).collect():
+    for r in tr.drop_refractory(spikes, 25, BLOCK).collect():
         got.setdefault(r["channel"], []).append(r["t_us"])
     assert {c: sorted(v) for c, v in got.items()} == {c: thin(set(v), 25) for c, v in data.items()}
 
