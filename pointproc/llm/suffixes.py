@@ -13,9 +13,10 @@ windows lead with equal tokens, and one token leads about fourteen windows in a
    before it: all bytes of the windows it leads, as a key of fixed width.
 3. `sort_tokens`: sampled splitters range-partition these keys (ties split by id, so
    a passage in a third of all documents spreads over many tasks); a bucket is sorted
-   by multikey quicksort and compared row by row. Equal keys settle all windows at once.
-   Where keys with one token differ, or a token meets a bucket's edge, the first
-   row of each key goes on.
+   by multikey quicksort and compared row by row. Equal keys settle all windows at
+   once; the first rows of different keys with one token are compared with each other,
+   by how far they agree to the left and right. Where these are more than `NEAR`, or a
+   token meets a bucket's edge, its first rows go on.
 4. `sort_windows`: the single windows of those rows, sorted in the same way, bucket
    edges included: each bucket tells its last string and the least id that has it,
    a row per bucket, and the next one's first rows are compared with that.
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointproc.llm.common import Bytes, buckets, group_first, heads, pieces, sliding_min, text_bytes
+from pointproc.llm.common import Bytes, buckets, group_first, heads, mix, pieces, sliding_min, text_bytes
 from pointproc.session import discard, store
 
 WIDTH = 50
@@ -46,6 +47,8 @@ KEY = -(-(GRAM + 2 + 2 * SIDE) // 8) * 8
 SUFFIX = -(-WIDTH // 8) * 8
 #: Bytes of text for which one token is offered once, and that one hash bucket or range stands for.
 OFFER, BUCKET, RANGE = 8 << 20, 32 << 20, 16 << 20
+#: First rows of one token that are compared pair by pair.
+NEAR = 24
 _STEP, _PLACE = 1 << 19, np.uint64(21)
 
 
@@ -76,7 +79,11 @@ def leading(b: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def shared_tokens(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, hashes: the tokens of a document that another one has too, in one or more rows."""
+    """doc_id, hashes: the tokens of a document that another one has too.
+
+    Hashes travel in packets: to the bucket that compares them, then to the bucket of
+    their document, so rows follow the documents and not their tokens.
+    """
     n = buckets(docs.sparkSession, size, BUCKET)
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,14 +121,26 @@ def shared_tokens(docs: DataFrame, size: int) -> DataFrame:
             several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
             both = np.repeat(several, np.diff(np.append(at, len(h))))
             h, doc = h[both], doc[both]
+        home = (mix(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        h, doc, home = h[order], doc[order], home[order]
+        at = np.append(np.flatnonzero(heads(home)), len(home)) if len(home) else np.zeros(1, np.int64)
+        return pa.table({"home": pa.array(home[at[:-1]], pa.int64()),
+                         "hashes": pa.array([h[a:z].tobytes() for a, z in zip(at, at[1:])], pa.binary()),
+                         "docs": pa.array([doc[a:z].tobytes() for a, z in zip(at, at[1:])], pa.binary())})
+
+    def bring_home(t: pa.Table) -> pa.Table:
+        h = np.frombuffer(b"".join(t.column("hashes").to_pylist()), np.uint64)
+        doc = np.frombuffer(b"".join(t.column("docs").to_pylist()), np.int64)
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
-        at = np.append(np.flatnonzero(heads(doc)), len(doc)) if len(doc) else np.zeros(1, np.int64)
+        at = np.append(np.flatnonzero(heads(doc)), len(doc))
         return pa.table({"doc_id": pa.array(doc[at[:-1]], pa.int64()),
-                         "hashes": pa.array([h[a:z].tobytes() for a, z in zip(at, at[1:])], pa.binary())})
+                         "hashes": pa.array([np.unique(h[a:z]).tobytes() for a, z in zip(at, at[1:])], pa.binary())})
 
-    return docs.mapInArrow(offer, "bucket long, hashes binary, docs binary").groupBy("bucket") \
-        .applyInArrow(gather, "doc_id long, hashes binary")
+    return docs.mapInArrow(offer, "bucket long, hashes binary, docs binary") \
+        .groupBy("bucket").applyInArrow(gather, "home long, hashes binary, docs binary") \
+        .groupBy("home").applyInArrow(bring_home, "doc_id long, hashes binary")
 
 
 def take(data: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
@@ -145,7 +164,7 @@ def token_suffixes(docs: DataFrame, tokens: DataFrame) -> DataFrame:
             for lo, hi, b in pieces(batch.column("text"), 1 << 20):
                 place, first, last, h = leading(b)
                 row = np.searchsorted(b.offsets, place, side="right") - 1
-                want = [np.frombuffer(b"".join(x), np.uint64) + np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+                want = [np.frombuffer(x, np.uint64) + np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
                         for i, x in enumerate(known.slice(lo, hi - lo).to_pylist())]
                 hit = np.isin(h + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.concatenate(want))
                 place, first, last, row = place[hit], first[hit], last[hit], row[hit]
@@ -159,7 +178,7 @@ def token_suffixes(docs: DataFrame, tokens: DataFrame) -> DataFrame:
                 yield pa.record_batch([binary(key), pa.array(ids[lo:hi][row], pa.int64()),
                                        pa.array(first - b.offsets[row])], names=["key", "doc_id", "pos"])
 
-    known = tokens.groupBy("doc_id").agg(F.collect_list("hashes").alias("known"))
+    known = tokens.withColumnRenamed("hashes", "known")
     return docs.join(known, "doc_id").select("doc_id", "text", "known").mapInArrow(rows, "key binary, doc_id long, pos long")
 
 
@@ -197,6 +216,17 @@ def unlike(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def agreement(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes before and behind their token two keys agree on."""
+    side = np.arange(SIDE)
+    before = np.minimum(a[:, GRAM], b[:, GRAM]).astype(np.int64)[:, None]
+    behind = np.minimum(a[:, GRAM + 1], b[:, GRAM + 1]).astype(np.int64)[:, None]
+    same = a[:, GRAM + 2:GRAM + 2 + 2 * SIDE] == b[:, GRAM + 2:GRAM + 2 + 2 * SIDE]
+    left = (same[:, :SIDE] & (side >= SIDE - before))[:, ::-1]
+    right = same[:, SIDE:] & (side < behind)
+    return (np.where(left.all(1), SIDE, left.argmin(1)), np.where(right.all(1), SIDE, right.argmin(1)))
+
+
 def sort_tokens(suffixes: DataFrame, n: int) -> DataFrame:
     """doc_id, pos, end, key: bytes found to be covered (no key), and rows whose windows are still to be compared."""
 
@@ -210,11 +240,29 @@ def sort_tokens(suffixes: DataFrame, n: int) -> DataFrame:
         token, key = unlike(words[:, :GRAM // 8]), unlike(words)
         covered = doc > group_first(doc, key)
         at = np.flatnonzero(token)
-        differ = np.add.reduceat(key.astype(np.int64), at) > 1
-        differ[[0, -1]] = True  # the token may go on in the next bucket
-        going_on = ~covered & np.repeat(differ, np.diff(np.append(at, len(doc))))
+        many = np.add.reduceat((~covered).astype(np.int64), at)
+        many[[0, -1]] = NEAR + 1  # the token may go on in the next bucket
+        many = np.repeat(many, np.diff(np.append(at, len(doc))))
+        going_on = ~covered & (many > NEAR)
         raw = words.astype(">u8").view(np.uint8).reshape(-1, KEY)
         end = pos + raw[:, GRAM] + GRAM + raw[:, GRAM + 1]
+        near = np.flatnonzero(~covered & (many <= NEAR) & (many > 1))
+        run = np.cumsum(token)[near]
+        for shift in range(1, NEAR):
+            i = np.flatnonzero(run[shift:] == run[:-shift])
+            if not len(i):
+                break
+            for part in np.array_split(i, max(1, len(i) // 50_000)):
+                a, b = near[part], near[part + shift]
+                left, right = agreement(raw[a], raw[b])
+                for one, other in ((a, b), (b, a)):  # the later document loses what both have
+                    hit = (doc[one] < doc[other]) & (left + GRAM + right >= WIDTH)
+                    o = other[hit]
+                    if len(o):
+                        token_at = pos[o] + raw[o, GRAM]
+                        yield pa.record_batch([pa.array(doc[o]), pa.array(token_at - left[hit]),
+                                               pa.array(token_at + GRAM + right[hit]), pa.nulls(len(o), pa.binary())],
+                                              names=["doc_id", "pos", "end", "key"])
         for keep, with_key in ((covered, False), (going_on, True)):
             for i in np.array_split(np.flatnonzero(keep), max(1, keep.sum() // 50_000)):
                 if len(i):

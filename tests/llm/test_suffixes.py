@@ -63,6 +63,7 @@ def test_small_steps_and_buckets(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "RANGE", 600)
     monkeypatch.setattr(suffixes, "BUCKET", 900)
     monkeypatch.setattr(suffixes, "OFFER", 1000)
+    monkeypatch.setattr(suffixes, "NEAR", 2)
     rows = sample(3)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {}
