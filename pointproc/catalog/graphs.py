@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from pointproc.catalog import inputs as i
 from pointproc.catalog.base import DUR, HOUR, query
+from pointproc.catalog.statistics import _B1, _CI, _EXACT, _HG, _WX
 from pointproc.operators import connectivity as cn
 from pointproc.operators import graph as g
 from pointproc.operators import trains as tr
-from pointproc.params import ConnectivityParams, Params
+from pointproc.params import METRIC_LABELS, ConnectivityParams, Params
 from pointproc.plans import connectivity as cp
 from pointproc.session import cut_lineage
 from pointproc.sources import exports
@@ -20,7 +21,7 @@ R = ["recording_id"]
 PARAMS = Params(
     connectivity=ConnectivityParams(bin_us=td.BIN_US, max_lag_bins=td.MAX_LAG, sttc_delta_us=td.DELTA_US),
     block_us=td.BLOCK_US)
-NULLS, ITERATIONS = 5, 200
+NULLS, ITERATIONS = 100, 10_000
 
 
 # --- band joins -----------------------------------------------------------------
@@ -337,14 +338,33 @@ def _(s, d):
     return g.shape_metrics(nodes, edges, R)
 
 
-@query("N9_greedy_modularity")
+# greedy merging: the state is one list of labels per graph, a step joins the two communities of the largest gain
+_GREEDY = """gp AS (SELECT recording_id, list(node ORDER BY node) AS nodes, list(degree ORDER BY node) AS deg FROM gdeg GROUP BY ALL),
+    gl AS (SELECT recording_id, nodes, deg, list(list_position(nodes, src)) AS s, list(list_position(nodes, dst)) AS d, count(*) AS m
+    FROM gedges JOIN gp USING (recording_id) GROUP BY ALL),
+    gm AS (SELECT recording_id, range(1, len(nodes) + 1) AS lab, 0 AS step FROM gp UNION ALL
+    SELECT recording_id, list_transform(lab, lambda x: CASE WHEN x = -b.q THEN -b.p ELSE x END), step + 1 FROM (
+    SELECT recording_id, lab, step, max({'g': round(e / m::DOUBLE - kp * kq / (2.0::DOUBLE * m * m), 12), 'p': -p, 'q': -q}) AS b FROM (
+    SELECT recording_id, lab, step, m, p, q, e, list_sum(list_transform(range(1, len(lab) + 1), lambda k: CASE WHEN lab[k] = p THEN deg[k] ELSE 0 END)) AS kp,
+    list_sum(list_transform(range(1, len(lab) + 1), lambda k: CASE WHEN lab[k] = q THEN deg[k] ELSE 0 END)) AS kq FROM (
+    SELECT recording_id, lab, step, m, deg, least(lab[si], lab[di]) AS p, greatest(lab[si], lab[di]) AS q, count(*) AS e FROM (
+    SELECT w.recording_id, lab, step, m, deg, unnest(s) AS si, unnest(d) AS di FROM gm w JOIN gl ON gl.recording_id = w.recording_id)
+    WHERE lab[si] <> lab[di] GROUP BY ALL)) GROUP BY recording_id, lab, step) WHERE b.g > 0),
+    gc AS (SELECT recording_id, unnest(nodes) AS node, unnest(lab) AS c FROM (SELECT recording_id, arg_max(lab, step) AS lab FROM gm GROUP BY ALL) JOIN gp USING (recording_id)),
+    gq AS (SELECT recording_id, sum(coalesce(e, 0) / m - (k / (2.0 * m)) ** 2) AS modularity, count(*) AS n_communities FROM (SELECT recording_id, c, sum(degree) AS k
+    FROM gdeg JOIN gc USING (recording_id, node) GROUP BY ALL) LEFT JOIN (SELECT gedges.recording_id, a.c, count(*) AS e FROM gedges
+    JOIN gc a ON a.recording_id = gedges.recording_id AND a.node = src JOIN gc b ON b.recording_id = gedges.recording_id AND b.node = dst WHERE a.c = b.c GROUP BY ALL)
+    USING (recording_id, c) JOIN (SELECT recording_id, count(*) AS m FROM gedges GROUP BY ALL) USING (recording_id) GROUP BY ALL)"""
+
+
+@query("N9_greedy_modularity", "SELECT recording_id, modularity FROM gq", "modularity", extra=_GREEDY, recursive=True)
 def _(s, d):
     nodes, edges = i.graph(s, d)
     edges = cut_lineage(edges)
     return g.modularity(nodes, edges, cut_lineage(g.greedy_communities(nodes, edges, R)), R).select(*R, "modularity")
 
 
-@query("N10_communities")
+@query("N10_communities", "SELECT recording_id, n_communities FROM gq", extra=_GREEDY, recursive=True)
 def _(s, d):
     nodes, edges = i.graph(s, d)
     return g.greedy_communities(nodes, edges, R).groupBy("recording_id").agg(F.countDistinct("community").alias("n_communities"))
@@ -352,7 +372,7 @@ def _(s, d):
 
 @query("N11_random_graphs", f"""SELECT recording_id, replicate, src, dst FROM (SELECT m.recording_id, replicate, a.node AS src, b.node AS dst, m.m,
        row_number() OVER (PARTITION BY m.recording_id, replicate ORDER BY ('0x' || substr(md5('1|' || m.recording_id || '|' || replicate || '|' || a.node
-       || '|' || b.node), 1, 8))::BIGINT, a.node, b.node) AS r FROM (SELECT recording_id, count(*) AS m FROM gedges GROUP BY ALL) m
+       || '|' || b.node), 1, 15))::BIGINT, a.node, b.node) AS r FROM (SELECT recording_id, count(*) AS m FROM gedges GROUP BY ALL) m
        CROSS JOIN (SELECT unnest(range(1, {NULLS + 1})) AS replicate) JOIN gnodes a ON a.recording_id = m.recording_id
        JOIN gnodes b ON b.recording_id = m.recording_id AND a.node < b.node) WHERE r <= m""", ints="replicate src dst")
 def _(s, d):
@@ -362,13 +382,14 @@ def _(s, d):
 # the random graphs, their distances and their clustering
 _NULL = _TRI + f""", ng AS (SELECT recording_id, replicate, src, dst FROM (SELECT m.recording_id, replicate, a.node AS src, b.node AS dst, m.m,
     row_number() OVER (PARTITION BY m.recording_id, replicate ORDER BY ('0x' || substr(md5('1|' || m.recording_id || '|' || replicate || '|' || a.node
-    || '|' || b.node), 1, 8))::BIGINT, a.node, b.node) AS r FROM (SELECT recording_id, count(*) AS m FROM gedges GROUP BY ALL) m
+    || '|' || b.node), 1, 15))::BIGINT, a.node, b.node) AS r FROM (SELECT recording_id, count(*) AS m FROM gedges GROUP BY ALL) m
     CROSS JOIN (SELECT unnest(range(1, {NULLS + 1})) AS replicate) JOIN gnodes a ON a.recording_id = m.recording_id
     JOIN gnodes b ON b.recording_id = m.recording_id AND a.node < b.node) WHERE r <= m),
     nb AS (SELECT * FROM ng UNION ALL SELECT recording_id, replicate, dst, src FROM ng),
-    nw AS (SELECT recording_id, replicate, src AS source, dst AS node, 1 AS d FROM nb UNION SELECT w.recording_id, w.replicate, w.source, b.dst, w.d + 1
-    FROM nw w JOIN nb b ON b.recording_id = w.recording_id AND b.replicate = w.replicate AND b.src = w.node WHERE w.d < 59),
-    nd AS (SELECT recording_id, replicate, source, node, min(d) AS d FROM nw WHERE source <> node GROUP BY ALL),
+    nw(recording_id, replicate, source, node, d) USING KEY (recording_id, replicate, source, node) AS (SELECT recording_id, replicate, src, dst, 1 FROM nb UNION
+    SELECT DISTINCT w.recording_id, w.replicate, w.source, b.dst, w.d + 1 FROM nw w JOIN nb b ON b.recording_id = w.recording_id AND b.replicate = w.replicate AND b.src = w.node
+    LEFT JOIN recurring.nw k ON k.recording_id = w.recording_id AND k.replicate = w.replicate AND k.source = w.source AND k.node = b.dst WHERE k.d IS NULL),
+    nd AS (SELECT recording_id, replicate, source, node, d FROM nw WHERE source <> node),
     nn AS (SELECT n.recording_id, replicate, n.node FROM gnodes n JOIN (SELECT DISTINCT recording_id, replicate FROM ng) USING (recording_id)),
     nc AS (SELECT n.recording_id, n.replicate, n.node, least(n.node, min(x.node)) AS component, sum(x.d) AS sd, count(x.d) AS cd FROM nn n LEFT JOIN nd x
     ON x.recording_id = n.recording_id AND x.replicate = n.replicate AND x.source = n.node GROUP BY n.recording_id, n.replicate, n.node),
@@ -398,12 +419,42 @@ def _(s, d):
     return g.small_worldness(nodes, edges, cut_lineage(seen), R, NULLS, 1)
 
 
-@query("N13_graph_metrics")
-def _(s, d):
-    return cp.edge_metrics(i.edges(s, d), i.channels(s, d), [0.10], NULLS)
+# --- studies --------------------------------------------------------------------
 
+# all metrics of each recording's graph, then as pairs; a study's graphs are named by recording and density
+_GX = _NULL.replace("m.recording_id || '|' || replicate", "m.recording_id || '|0.1|' || replicate") + ", " + _GREEDY + """, gx AS (SELECT r.recording_id, r.study, r.pair_no, r.condition, coalesce(m, 0) / (n * (n - 1) / 2.0::DOUBLE) AS density,
+    degree_mean, degree_std, c_obs AS clustering_mean, l_obs AS path_length, CASE WHEN c_rand <> 0 AND l_rand <> 0 THEN (c_obs / c_rand) / (l_obs / l_rand) END AS small_worldness,
+    coalesce(e, 0) / (n * (n - 1)) AS efficiency, modularity, n_communities, n AS n_nodes, coalesce(m, 0) AS n_edges FROM recs r
+    JOIN (SELECT recording_id, count(*) AS n, avg(degree) AS degree_mean, stddev_samp(degree) AS degree_std FROM gdeg GROUP BY ALL) USING (recording_id)
+    LEFT JOIN (SELECT recording_id, count(*) AS m FROM gedges GROUP BY ALL) USING (recording_id) LEFT JOIN oc USING (recording_id) LEFT JOIN ol USING (recording_id)
+    LEFT JOIN nq USING (recording_id) LEFT JOIN nl USING (recording_id) LEFT JOIN (SELECT recording_id, sum(1.0::DOUBLE / d) AS e FROM bfs GROUP BY ALL) USING (recording_id)
+    LEFT JOIN gq USING (recording_id))"""
+_GP = _GX + """, gpair AS (SELECT study, pair_no, metric, max(v) FILTER (WHERE condition = 'baseline') AS b, max(v) FILTER (WHERE condition = 'treatment') AS t,
+    max(v) FILTER (WHERE condition = 'treatment') - max(v) FILTER (WHERE condition = 'baseline') AS delta FROM (SELECT study, pair_no, condition,
+    unnest(['density', 'clustering_mean', 'path_length', 'small_worldness', 'efficiency', 'modularity']) AS metric,
+    unnest([density, clustering_mean, path_length, small_worldness, efficiency, modularity]) AS v FROM gx) GROUP BY ALL)"""
+_NAMES = "CASE metric " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in METRIC_LABELS.items()) + " END"
+# the paired statistics' SQL over gpair in place of obs
+_FT = (_GP + ", gobs AS (SELECT * FROM gpair WHERE b IS NOT NULL AND t IS NOT NULL), "
+       + _B1.replace("ORDER BY pair_no, channel", "ORDER BY pair_no").replace("FROM obs)", "FROM gobs)") + ", "
+       + _WX.replace("FROM obs WHERE", "FROM gobs WHERE") + ", " + _EXACT + ", " + _HG.replace("FROM obs GROUP", "FROM gobs GROUP")
+       + """, ft AS (SELECT study, metric, median_baseline, median_treatment, median_delta, ci_lo, ci_hi, p,
+    CASE WHEN n > 0 AND n_nonzero IS NULL THEN 1 ELSE wex.p_w END AS p_wilcoxon, hedges_g FROM (SELECT DISTINCT study, metric FROM gpair)
+    LEFT JOIN (SELECT study, metric, count(*) AS n, median(b) AS median_baseline, median(t) AS median_treatment, median(t - b) AS median_delta FROM gobs GROUP BY ALL)
+    USING (study, metric) LEFT JOIN (""" + _CI + """) USING (study, metric) LEFT JOIN (SELECT study, metric, n_nonzero, ex.p AS p_w FROM ws JOIN ex USING (study, metric)) wex
+    USING (study, metric) LEFT JOIN hg USING (study, metric)),
+    fb AS (SELECT *, least(1, min(p * m / r) OVER (PARTITION BY study ORDER BY p DESC)) AS p_adj FROM (SELECT *, count(p) OVER (PARTITION BY study ORDER BY p) AS r,
+    count(*) OVER (PARTITION BY study) AS m FROM ft) WHERE p IS NOT NULL UNION ALL SELECT *, NULL, NULL, NULL FROM ft WHERE p IS NULL)""")
+
+
+@query("N13_graph_metrics", """SELECT recording_id, 0.1::DOUBLE AS target_density, n_nodes, n_edges, density, degree_mean, degree_std, clustering_mean, path_length, efficiency,
+       modularity, n_communities, small_worldness FROM gx""",
+       "target_density density degree_mean degree_std clustering_mean path_length efficiency modularity small_worldness", extra=_GX, recursive=True)
+def _(s, d):
+    m = cp.edge_metrics(i.edges(s, d), i.channels(s, d), [0.10], NULLS)
+    return m.select("recording_id", "target_density", "n_nodes", "n_edges", "density", "degree_mean", "degree_std", "clustering_mean",
+                    "path_length", "efficiency", "modularity", "n_communities", "small_worldness")
 
-# --- studies --------------------------------------------------------------------
 
 def _paired(s, d, method="xcorr"):
     _, m = cp.connectivity_study(i.spikes(s, d), i.channels(s, d), PARAMS, method, NULLS)
@@ -413,16 +464,17 @@ def _paired(s, d, method="xcorr"):
 @query("C8_density_sweep")
 def _(s, d):
     return exports.sweep_rows(cp.density_sweep(i.edges(s, d), i.channels(s, d), i.recordings(s, d),
-                                               PARAMS.connectivity.density_sweep, 0))
+                                               PARAMS.connectivity.density_sweep, NULLS))
 
 
 @query("A19_sweep_summary")
 def _(s, d):
-    sweep = cp.density_sweep(i.edges(s, d), i.channels(s, d), i.recordings(s, d), PARAMS.connectivity.density_sweep, 0)
+    sweep = cp.density_sweep(i.edges(s, d), i.channels(s, d), i.recordings(s, d), PARAMS.connectivity.density_sweep, NULLS)
     return cp.sweep_summary(cut_lineage(sweep))
 
 
-@query("C9_connectivity_study")
+@query("C9_connectivity_study", f"SELECT study, pair_no AS pair, {_NAMES} AS metric, b AS baseline, t AS treatment, delta FROM gpair", "baseline treatment delta",
+       extra=_GP, recursive=True)
 def _(s, d):
     return exports.method_rows(_paired(s, d))
 
@@ -437,23 +489,35 @@ def _(s, d):
     return cp.method_agreement(cut_lineage(cp.method_comparison(_paired(s, d), _paired(s, d, "sttc"))))
 
 
-@query("A20_condition_spread")
+@query("A20_condition_spread", """SELECT study, metric, condition, len(v) AS n, {pm:v:25} AS q1, {pm:v:50} AS median, {pm:v:75} AS q3 FROM (SELECT study, metric, condition,
+       list_sort(list(y)) AS v FROM (SELECT study, metric, 'baseline' AS condition, b AS y FROM gpair UNION ALL SELECT study, metric, 'treatment', t FROM gpair)
+       WHERE y IS NOT NULL GROUP BY ALL)""", "q1 median q3", extra=_GP, recursive=True)
 def _(s, d):
     return cp.condition_spread(_paired(s, d))
 
 
-@query("S16_pair_condition_table")
+@query("S16_pair_condition_table", """SELECT study, pair_no, condition, recording_id, density, degree_mean, clustering_mean, path_length, efficiency, modularity, n_communities,
+       small_worldness FROM gx""", "density degree_mean clustering_mean path_length efficiency modularity small_worldness", extra=_GX, recursive=True)
 def _(s, d):
     _, m = cp.connectivity_study(i.spikes(s, d), i.channels(s, d), PARAMS, "xcorr", NULLS)
     return cp.pair_condition_table(m, i.recordings(s, d))
 
 
-@query("P14_metric_family_test")
+@query("P14_metric_family_test", f"""SELECT study, metric, {_NAMES} AS label, median_baseline, median_treatment, median_delta, ci_lo AS ci_delta_lo, ci_hi AS ci_delta_hi,
+       p AS p_bootstrap, p_adj AS p_bh_fdr, p_wilcoxon, hedges_g AS hedges_g_av FROM fb""",
+       "median_baseline median_treatment median_delta ci_delta_lo ci_delta_hi p_bootstrap p_bh_fdr p_wilcoxon hedges_g_av", extra=_FT, recursive=True)
 def _(s, d):
     return cp.metric_table(cp.family_test(_paired(s, d), PARAMS, ITERATIONS))
 
 
-@query("P16_slope_test")
+_SLOPES = """sl AS (SELECT study, pair_no, max(s) FILTER (WHERE condition = 'baseline') AS b, max(s) FILTER (WHERE condition = 'treatment') AS t FROM (SELECT study,
+    pair_no, condition, regr_slope(abs(w), dist) AS s FROM edges JOIN epairs USING (i, j) GROUP BY ALL) GROUP BY ALL),
+    wd AS (SELECT study, 'slope' AS metric, b - t AS d FROM sl WHERE b <> t), """ + _WX[_WX.index("wr AS"):] + ", " + _EXACT
+
+
+@query("P16_slope_test", """SELECT study, n, median_diff, n_nonzero, wp AS w, (wp - wm) / (wp + wm) AS r_rank_biserial, ex.p AS p_wilcoxon FROM (SELECT study, count(*) AS n,
+       median(t - b) AS median_diff FROM sl WHERE b IS NOT NULL AND t IS NOT NULL GROUP BY ALL) JOIN ws USING (study) JOIN ex USING (study)""",
+       "median_diff w r_rank_biserial p_wilcoxon", extra=_SLOPES, recursive=True)
 def _(s, d):
     return cp.slope_test(cut_lineage(i.edges(s, d)), i.recordings(s, d))
 

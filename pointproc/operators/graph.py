@@ -8,14 +8,15 @@ over all graphs in one job per round, never graph by graph.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointproc.functions.resample import draw_word
 from pointproc.session import cut_lineage, wide
 
 
@@ -162,79 +163,70 @@ def path_metrics(nodes: DataFrame, distances: DataFrame, keys: Sequence[str]) ->
     )
 
 
-def _bit(b: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), b.cast("int"))
+def graph_rows(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per graph: keys, node, src, dst as arrays.
+
+    A graph is one electrode array: 60 nodes and at most 1,770 edges, whatever the
+    amount of data. Its metrics need its n * n adjacency in memory, for any numbering.
+    """
+    keys = list(keys)
+    n = nodes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("node").cast("bigint"))).alias("node"))
+    e = edges.groupBy(*keys).agg(F.collect_list(F.struct(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))).alias("e"))
+    none = F.expr("CAST(array() AS ARRAY<BIGINT>)")
+    return n.join(e, keys, "left").select(*keys, "node", F.coalesce(F.col("e.src"), none).alias("src"), F.coalesce(F.col("e.dst"), none).alias("dst"))
+
+
+def _shape(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[float, float | None, float | None]:
+    """Mean clustering, path length in the largest component and global efficiency of nodes 0..n-1."""
+    a = np.zeros((n, n), np.float32)
+    a[src, dst] = a[dst, src] = 1
+    k = a.sum(1)
+    links = ((a @ a) * a).sum(1)
+    local = np.where(k >= 2, links / np.maximum(k * (k - 1), 1), 0.0)
+    seen, front, d = np.eye(n, dtype=bool), np.eye(n, dtype=np.float32), 0
+    hops = np.zeros((n, n))
+    while True:
+        d += 1
+        fresh = (front @ a > 0) & ~seen
+        if not fresh.any():
+            break
+        hops[fresh] = d
+        seen |= fresh
+        front = fresh.astype(np.float32)
+    label = seen.argmax(1)
+    size = np.bincount(label, minlength=n)
+    big = label == size.argmax()
+    pairs = int((hops[big] > 0).sum())
+    path = hops[big].sum() / pairs if pairs else None
+    far = hops[hops > 0]
+    return float(local.mean()), path, float((1 / far).sum()) / (n * (n - 1)) if n >= 2 else None
 
 
-def fits_mask(nodes: DataFrame) -> bool:
-    """Whether all node numbers lie in 0..63, as those of an electrode array do."""
-    lo, hi = nodes.agg(F.min("node"), F.max("node")).first()
-    return lo is not None and lo >= 0 and hi <= 63
+def _placed(node: list[int], src: list[int], dst: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    order = np.array(node)
+    return np.searchsorted(order, np.array(src, np.int64)), np.searchsorted(order, np.array(dst, np.int64))
 
 
-def mask_metrics(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Clustering and path metrics of graphs whose nodes are numbered 0..63.
+def shape_metrics(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """clustering_mean, path_length and efficiency per graph, each graph in its row.
 
-    A neighbourhood is one 64-bit mask and a graph an array of 64 of them, so a
-    breadth-first search is a fold inside one (graph, source) row and a triangle count
-    a few bit counts: no joins or rounds, whatever the number of graphs. Same values as
-    ``clustering`` and ``path_metrics``, which take any node numbers.
+    Same values as ``clustering`` and ``path_metrics``, which join instead.
     """
     keys = list(keys)
-    near = both_ways(edges, keys).groupBy(*keys, "src").agg(F.bit_or(_bit(F.col("dst"))).alias("m"))
-    zero = F.lit(0).cast("bigint")
-    # at most 64 entries per graph
-    graphs = near.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("src", "m"))).alias("_m")).select(
-        *keys, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.coalesce(F.element_at("_m", b), zero)).alias("adj"))
-    rows = nodes.select(*keys, "node").join(graphs, keys, "left").withColumn(
-        "adj", F.coalesce("adj", F.array_repeat(zero, 64)))
-
-    def has(mask: Column, b: Column) -> Column:
-        return F.call_function("shiftright", mask, b.cast("int")).bitwiseAND(F.lit(1)) == 1
-
-    def around(front: Column) -> Column:
-        picked = F.transform("adj", lambda m, b: F.when(has(front, b), m).otherwise(zero))
-        return F.aggregate(picked, zero, lambda a, m: a.bitwiseOR(m))
-
-    def state(seen, front, sum_d, n, inv) -> Column:
-        return F.struct(seen.alias("seen"), front.alias("front"), sum_d.cast("bigint").alias("sum_d"),
-                        n.cast("bigint").alias("n"), inv.cast("double").alias("inv"))
-
-    def step(acc: Column, d: Column) -> Column:
-        fresh = F.transform(F.array(around(acc["front"]).bitwiseAND(F.bitwise_not(acc["seen"]))), lambda new: state(
-            acc["seen"].bitwiseOR(new), new, acc["sum_d"] + d * F.bit_count(new), acc["n"] + F.bit_count(new),
-            acc["inv"] + F.bit_count(new) / d))
-        return F.when(acc["front"] == 0, acc).otherwise(F.get(fresh, F.lit(0)))
-
-    me = _bit(F.col("node"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(63)), state(me, me, zero, zero, F.lit(0.0)), step)
-    mine = F.get("adj", F.col("node"))
-    shared = F.transform("adj", lambda m, b: F.when(has(mine, b), F.bit_count(m.bitwiseAND(mine))).otherwise(F.lit(0)))
-    k = F.bit_count(mine)
-    links = F.aggregate(shared, F.lit(0), lambda a, x: a + x)  # every link twice
-    local = F.when(k >= 2, links / (k * (k - 1)).cast("double")).otherwise(0.0)
-    per = rows.select(*keys, "node", local.alias("local"), walk.alias("w")).select(*keys, "node", "local", "w.*")
-    comp = per.groupBy(*keys, "seen").agg(
-        F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.sum("sum_d").alias("sum_d"),
-        F.sum("n").alias("n_d"), F.sum("inv").alias("inv"), F.sum("local").alias("local"))
-    n = F.col("n_nodes")
-    return (
-        comp.groupBy(*keys).agg(
-            F.max(F.struct("size", (-F.col("least")).alias("first"), "sum_d", "n_d")).alias("big"),
-            F.sum("size").alias("n_nodes"), F.sum("inv").alias("inv"), F.sum("local").alias("local"))
-        .select(*keys, (F.col("local") / n).alias("clustering_mean"),
-                F.when(F.col("big.n_d") > 0, F.col("big.sum_d") / F.col("big.n_d")).alias("path_length"),
-                F.when(n >= 2, F.col("inv") / (n * (n - 1))).alias("efficiency"))
-    )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_shape(len(n), *_placed(n, s, d)) for n, s, d in zip(*(batch.column(c).to_pylist() for c in ("node", "src", "dst")))]
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.record_batch([*(batch.column(k) for k in keys), *(pa.array(c, pa.float64()) for c in cols)],
+                                  names=[*keys, "clustering_mean", "path_length", "efficiency"])
 
-def shape_metrics(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """clustering_mean, path_length and efficiency per graph, by the fitting method."""
-    if fits_mask(nodes):
-        return mask_metrics(nodes, edges, keys)
-    edges = cut_lineage(edges)
-    paths = path_metrics(nodes, hop_distances(edges, keys), keys)
-    return clustering(nodes, edges, keys).join(paths.select(*keys, "path_length", "efficiency"), list(keys))
+    return wide(graph_rows(nodes, edges, keys), *keys).mapInArrow(run, _keyed(nodes, keys, "clustering_mean double, path_length double, efficiency double"))
+
+
+def _keyed(df: DataFrame, keys: Sequence[str], rest: str) -> str:
+    """Schema text of the key columns and some others."""
+    return ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), rest])
 
 
 def modularity(nodes: DataFrame, edges: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -301,41 +293,62 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame, keys: Sequence[str])
     return rows.groupBy(*keys).applyInPandas(solve, schema)
 
 
+def _random_edges(name: str, seed: int, replicate: int, node: list[int], m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The m node pairs of lowest hash, as places: a uniform draw without replacement."""
+    x, y = np.triu_indices(len(node), 1)
+    head = f"{seed}|{name}|{replicate}"
+    h = np.array([int(md5(f"{head}|{node[p]}|{node[q]}".encode()).hexdigest()[:15], 16) for p, q in zip(x.tolist(), y.tolist())], np.int64)
+    pick = np.argsort(h, kind="stable")[:m]
+    return x[pick], y[pick]
+
+
+def _replicates(nodes: DataFrame, edges: DataFrame, keys: list[str], replicates: int) -> DataFrame:
+    """A row per graph and replicate, spread over the cluster; graphs without edges have none."""
+    name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    rows = graph_rows(nodes, edges, keys).filter(F.size("src") > 0).select(*keys, name.alias("_name"), "node", F.size("src").alias("m"))
+    return wide(rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(int(replicates))))), *keys, "replicate")
+
+
 def random_graphs(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], replicates: int,
                   seed: int) -> DataFrame:
-    """Random graphs with the same nodes and edge count: keys, replicate, src, dst.
-
-    The m pairs of lowest hash are a uniform draw without replacement. A window group
-    holds the node pairs of one 60-electrode graph.
-    """
+    """Random graphs with the same nodes and edge count: keys, replicate, src, dst. Each is drawn in its row."""
     keys = list(keys)
-    name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    m = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
-    reps = wide(m.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(int(replicates))))), *keys, "replicate")
-    later = nodes.select(*keys, F.col("node").alias("dst"))
-    rows = (reps.join(nodes.withColumnRenamed("node", "src"), keys).join(later, keys).filter("src < dst")
-            .withColumn("_h", draw_word(F.lit(seed), name, F.col("replicate"), F.col("src"), F.col("dst"))))
-    order = Window.partitionBy(*keys, "replicate").orderBy("_h", "src", "dst")
-    return (rows.withColumn("_r", F.row_number().over(order)).filter("_r <= m")
-            .select(*keys, "replicate", "src", "dst"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, (name, node, m, r) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_name", "node", "m", "replicate")))):
+                x, y = _random_edges(name, seed, r, node, m)
+                node = np.array(node)
+                same = pa.array(np.full(len(x), at))
+                yield pa.record_batch([*(batch.column(k).take(same) for k in [*keys, "replicate"]), pa.array(node[x]), pa.array(node[y])],
+                                      names=[*keys, "replicate", "src", "dst"])
+
+    return _replicates(nodes, edges, keys, replicates).mapInArrow(run, _keyed(nodes, keys, "replicate int, src bigint, dst bigint"))
 
 
 def small_worldness(nodes: DataFrame, edges: DataFrame, observed: DataFrame, keys: Sequence[str],
                     replicates: int, seed: int) -> DataFrame:
-    """(C / mean C of the random graphs) / (L / mean L of the random graphs)."""
+    """(C / mean C of the random graphs) / (L / mean L of the random graphs).
+
+    A random graph is drawn and measured in its row and only its two values leave it.
+    """
     keys = list(keys)
-    fine = [*keys, "replicate"]
-    # the replicates feed both the node lists and the adjacency: write them once
-    null_edges = cut_lineage(random_graphs(nodes, edges, keys, replicates, seed))
-    null_nodes = null_edges.select(*fine).distinct().join(nodes, keys)
-    rand = shape_metrics(null_nodes, null_edges, fine).groupBy(*keys).agg(
-        F.avg("clustering_mean").alias("c_rand"), F.avg("path_length").alias("l_rand"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_shape(len(node), *_random_edges(name, seed, r, node, m))[:2]
+                    for name, node, m, r in zip(*(batch.column(c).to_pylist() for c in ("_name", "node", "m", "replicate")))]
+            cols = list(zip(*rows)) or [(), ()]
+            yield pa.record_batch([*(batch.column(k) for k in keys), *(pa.array(c, pa.float64()) for c in cols)], names=[*keys, "c", "l"])
+
+    rand = _replicates(nodes, edges, keys, replicates).mapInArrow(run, _keyed(nodes, keys, "c double, l double")).groupBy(*keys).agg(
+        F.avg("c").alias("c_rand"), F.avg("l").alias("l_rand"))
     ok = (F.col("c_rand") != 0) & (F.col("l_rand") != 0)
     sigma = F.when(ok, (F.col("clustering_mean") / F.col("c_rand")) / (F.col("path_length") / F.col("l_rand")))
     return observed.join(rand, keys, "left").select(*keys, sigma.alias("small_worldness"))
 
 
-def graph_metrics(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], null_n: int = 50,
+def graph_metrics(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], null_n: int = 100,
                   null_seed: int = 1) -> DataFrame:
     """All graph metrics, one row per graph."""
     keys = list(keys)

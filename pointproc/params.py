@@ -85,3 +85,9 @@ class Params:
 
 
 DEFAULTS = Params()
+
+
+#: The names of network metrics in output tables.
+METRIC_LABELS = {
+    "density": "Edge density", "clustering_mean": "Clustering coeff.", "path_length": "Char. path length",
+    "small_worldness": "Small-worldness sigma", "efficiency": "Global efficiency", "modularity": "Modularity Q"}

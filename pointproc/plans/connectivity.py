@@ -11,14 +11,11 @@ from pointproc.operators.connectivity import density_thresholds, distance_slopes
 from pointproc.operators.graph import graph_metrics, long_metrics, paired_metrics, threshold_graph
 from pointproc.operators.stats import bh_fdr, effect_interval, paired_stats, signed_rank
 from pointproc.functions.quantile import percentile_mid
-from pointproc.params import DEFAULTS, Params
+from pointproc.params import DEFAULTS, METRIC_LABELS, Params
 from pointproc.session import cut_lineage
 
 GRAPH = ["recording_id", "density"]
 GRAPH_SWEEP = ["recording_id", "target_density"]
-LABELS = {
-    "density": "Edge density", "clustering_mean": "Clustering coeff.", "path_length": "Char. path length",
-    "small_worldness": "Small-worldness sigma", "efficiency": "Global efficiency", "modularity": "Modularity Q"}
 
 
 def graphs_at(edges: DataFrame, channels: DataFrame, densities: Sequence[float], explicit: float | None = None):
@@ -78,7 +75,7 @@ def family_test(observations: DataFrame, params: Params = DEFAULTS, iterations:
 
 def metric_table(tests: DataFrame) -> DataFrame:
     """The tidy table: one row per metric with medians, interval, p-values and effect."""
-    label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[F.col("metric")]
+    label = F.create_map(*[F.lit(x) for kv in METRIC_LABELS.items() for x in kv])[F.col("metric")]
     return tests.select(
         "study", "metric", label.alias("label"), "median_baseline", "median_treatment", "median_delta",
         F.col("ci_lo").alias("ci_delta_lo"), F.col("ci_hi").alias("ci_delta_hi"), F.col("p").alias("p_bootstrap"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointproc.operators.connectivity import dead_channels, symmetric
+from pointproc.params import METRIC_LABELS
 from pointproc.sources.electrodes import electrodes
 
 SHORT_VECTOR = 8
@@ -62,13 +63,19 @@ def write_csv(df: DataFrame, path: str) -> None:
      .option("nanValue", "NaN").option("nullValue", "NaN").option("emptyValue", "").csv(path))
 
 
+def _label(metric: str = "metric") -> Column:
+    """The metric's name for output; a metric without one keeps its key."""
+    names = F.create_map(*[F.lit(x) for kv in METRIC_LABELS.items() for x in kv])
+    return F.coalesce(names[F.col(metric)], F.col(metric)).alias("metric")
+
+
 def sweep_rows(sweep: DataFrame) -> DataFrame:
-    return sweep.select("study", F.col("pair_no").alias("pair"), "target_density", "metric",
+    return sweep.select("study", F.col("pair_no").alias("pair"), "target_density", _label(),
                         F.col("b").alias("baseline"), F.col("t").alias("treatment"), "delta")
 
 
 def method_rows(observations: DataFrame) -> DataFrame:
-    return observations.select("study", F.col("pair_no").alias("pair"), "metric",
+    return observations.select("study", F.col("pair_no").alias("pair"), _label(),
                                F.col("b").alias("baseline"), F.col("t").alias("treatment"), "delta")
 
 

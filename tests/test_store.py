@@ -120,5 +120,5 @@ def test_tables_to_csv(spark, tmp_path):
                                  "study string, pair_no bigint, target_density double, metric string, b double, t double, delta double")
     exports.write_csv(exports.sweep_rows(rows), str(tmp_path / "s"))
     back = spark.read.option("header", True).csv(str(tmp_path / "s")).first()
-    assert back.asDict() == {"study": "doi", "pair": "1", "target_density": "0.1", "metric": "density", "baseline": "0.5",
+    assert back.asDict() == {"study": "doi", "pair": "1", "target_density": "0.1", "metric": "Edge density", "baseline": "0.5",
                              "treatment": "0.75", "delta": "0.25"}
