@@ -147,7 +147,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.nd
         n1, n0 = q.sum(), (1 - q).sum()
         p1 = (v.T @ q + 0.5) / (n1 + 1)
         p0 = (v.T @ (1 - q) + 0.5) / (n0 + 1)
-        if step in (0, rounds // 2):
+        if step == 0:  # later the guess may follow repeated votes, and their correlation hides
             rest = v - np.outer(q, p1) - np.outer(1 - q, p0)
             c = rest.T @ rest / len(v)
             d = np.sqrt(np.maximum(np.diag(c), 1e-9))
