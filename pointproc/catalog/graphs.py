@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pointproc.catalog import inputs as i
-from pointproc.catalog.base import DUR, HOUR, query
+from pointproc.catalog.base import CTES, DUR, HOUR, query
 from pointproc.catalog.statistics import _B1, _CI, _EXACT, _HG, _WX
 from pointproc.operators import connectivity as cn
 from pointproc.operators import graph as g
@@ -447,6 +449,35 @@ _FT = (_GP + ", gobs AS (SELECT * FROM gpair WHERE b IS NOT NULL AND t IS NOT NU
     count(*) OVER (PARTITION BY study) AS m FROM ft) WHERE p IS NOT NULL UNION ALL SELECT *, NULL, NULL, NULL FROM ft WHERE p IS NULL)""")
 
 
+# the same expressions over other graphs: every name of the chain gets a suffix
+_CHAIN = "edges chans recs thr gedges gboth gnodes gdeg walk bfs comp tri ng nb nw nd nn nc nl nt nk nq oc ol gp gl gm gc gq gx gpair".split()
+
+
+def _over(suffix: str, edges: str, chans: str, recs: str, thr: str, tail: str) -> str:
+    """The graph expressions with their sources replaced, then ``tail``."""
+    parts = [f"edges AS ({edges})", f"chans AS ({chans})", f"recs AS ({recs})", f"thr AS ({thr})"]
+    parts += [f"{n} AS ({CTES[n]})" for n in ("gedges", "gboth", "gnodes", "gdeg", "walk", "bfs", "comp")]
+    text = re.sub(rf"\b({'|'.join(_CHAIN)})\b", rf"\1_{suffix}", ", ".join([*parts, tail]))
+    return text.replace("source_", "")
+
+
+_DENS = [str(x) for x in PARAMS.connectivity.density_sweep]
+_DV = "CROSS JOIN (SELECT unnest([" + ", ".join(f"'{x}'" for x in _DENS) + "]) AS dens)"
+# graphs of the sweep are named by recording and density, which is what their random draws are made from
+_SW = _over("sw", f"SELECT recording_id || '|' || dens AS recording_id, i, j, w FROM source_edges {_DV}",
+            f"SELECT recording_id || '|' || dens AS recording_id, channel FROM source_chans {_DV}",
+            f"SELECT recording_id || '|' || dens AS recording_id, study, condition, pair_no, dens FROM source_recs {_DV}",
+            " UNION ALL ".join(f"SELECT recording_id || '|{x}' AS recording_id, {{pm:w:{100 - 100 * float(x):g}}} AS thr FROM "
+                               "(SELECT recording_id, list_sort(list(w)) AS w FROM source_edges GROUP BY ALL)" for x in _DENS),
+            _NULL + ", " + _GP[len(_NULL.replace("m.recording_id || '|' || replicate", "m.recording_id || '|0.1|' || replicate")) + 2:]
+            .replace("r.condition,", "r.condition, r.dens,").replace("study, pair_no, metric, max", "study, pair_no, dens, metric, max")
+            .replace("study, pair_no, condition,", "study, pair_no, dens, condition,"))
+_ST = _STTC + ", " + _over(
+    "st", "SELECT recording_id, study, pair_no, condition, i, j, w FROM sttc", "SELECT * FROM source_chans", "SELECT * FROM source_recs",
+    "SELECT recording_id, {pm:w:90} AS thr FROM (SELECT recording_id, list_sort(list(w)) AS w FROM sttc GROUP BY ALL)", _GP)
+_BOTH = _GP + ", " + _ST + """, cmp AS (SELECT study, pair_no, metric, a.delta AS pearson_delta, b.delta AS sttc_delta FROM gpair a JOIN gpair_st b USING (study, pair_no, metric))"""
+
+
 @query("N13_graph_metrics", """SELECT recording_id, 0.1::DOUBLE AS target_density, n_nodes, n_edges, density, degree_mean, degree_std, clustering_mean, path_length, efficiency,
        modularity, n_communities, small_worldness FROM gx""",
        "target_density density degree_mean degree_std clustering_mean path_length efficiency modularity small_worldness", extra=_GX, recursive=True)
@@ -461,13 +492,15 @@ def _paired(s, d, method="xcorr"):
     return cut_lineage(g.paired_metrics(g.long_metrics(m, R), i.recordings(s, d)))
 
 
-@query("C8_density_sweep")
+@query("C8_density_sweep", f"SELECT study, pair_no AS pair, dens::DOUBLE AS target_density, {_NAMES} AS metric, b AS baseline, t AS treatment, delta FROM gpair_sw",
+       "target_density baseline treatment delta", extra=_SW, recursive=True)
 def _(s, d):
     return exports.sweep_rows(cp.density_sweep(i.edges(s, d), i.channels(s, d), i.recordings(s, d),
                                                PARAMS.connectivity.density_sweep, NULLS))
 
 
-@query("A19_sweep_summary")
+@query("A19_sweep_summary", """SELECT study, dens::DOUBLE AS target_density, metric, count(delta) AS n, median(delta) AS median_delta FROM gpair_sw
+       WHERE delta IS NOT NULL GROUP BY ALL""", "target_density median_delta", extra=_SW, recursive=True)
 def _(s, d):
     sweep = cp.density_sweep(i.edges(s, d), i.channels(s, d), i.recordings(s, d), PARAMS.connectivity.density_sweep, NULLS)
     return cp.sweep_summary(cut_lineage(sweep))
@@ -479,12 +512,13 @@ def _(s, d):
     return exports.method_rows(_paired(s, d))
 
 
-@query("J12_method_join")
+@query("J12_method_join", "SELECT study, pair_no, metric, pearson_delta, sttc_delta FROM cmp", "pearson_delta sttc_delta", extra=_BOTH, recursive=True)
 def _(s, d):
     return cp.method_comparison(_paired(s, d), _paired(s, d, "sttc"))
 
 
-@query("A18_method_agreement")
+@query("A18_method_agreement", """SELECT study, metric, median(pearson_delta) AS pearson_median, median(sttc_delta) AS sttc_median,
+       sign(median(pearson_delta)) = sign(median(sttc_delta)) AS same_sign FROM cmp GROUP BY ALL""", "pearson_median sttc_median", extra=_BOTH, recursive=True)
 def _(s, d):
     return cp.method_agreement(cut_lineage(cp.method_comparison(_paired(s, d), _paired(s, d, "sttc"))))
 

@@ -408,13 +408,13 @@ def _(s, d):
 
 
 _REF = f"""keep AS (SELECT recording_id, channel, idx, t_us, t_us AS last FROM seq WHERE idx = 1 UNION ALL
-    SELECT s.recording_id, s.channel, s.idx, s.t_us, CASE WHEN s.t_us - k.last >= {2 * HOUR} THEN s.t_us ELSE k.last END
+    SELECT s.recording_id, s.channel, s.idx, s.t_us, CASE WHEN s.t_us - k.last >= {td.REFRACTORY_US} THEN s.t_us ELSE k.last END
     FROM keep k JOIN seq s ON s.recording_id = k.recording_id AND s.channel = k.channel AND s.idx = k.idx + 1)"""
 
 
 @query("W2_refractory", "SELECT recording_id, channel, t_us FROM keep WHERE t_us = last", extra=_REF, recursive=True)
 def _(s, d):
-    return tr.drop_refractory(i.spikes(s, d), 2 * HOUR, td.BLOCK_US).drop("duration_us")
+    return tr.drop_refractory(i.spikes(s, d), td.REFRACTORY_US, td.BLOCK_US).drop("duration_us")
 
 
 _STATE = f"""st AS (SELECT recording_id, channel, idx, next - t_us <= {4 * HOUR} AS inb,

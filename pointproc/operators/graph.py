@@ -180,8 +180,8 @@ def _shape(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[float, float | Non
     """Mean clustering, path length in the largest component and global efficiency of nodes 0..n-1."""
     a = np.zeros((n, n), np.float32)
     a[src, dst] = a[dst, src] = 1
-    k = a.sum(1)
-    links = ((a @ a) * a).sum(1)
+    k = a.sum(1).astype(float)
+    links = ((a @ a) * a).sum(1).astype(float)
     local = np.where(k >= 2, links / np.maximum(k * (k - 1), 1), 0.0)
     seen, front, d = np.eye(n, dtype=bool), np.eye(n, dtype=np.float32), 0
     hops = np.zeros((n, n))
