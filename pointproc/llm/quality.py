@@ -29,8 +29,8 @@ COMMON = {
     "es": "de la que el en y los se del las un por con una para su es al lo".split(),
 }
 WORDS = list(dict.fromkeys(w for words in COMMON.values() for w in words))
-#: Characters by class; what no class matches is a letter in lower case.
-CLASSES = {"blank": r"[\x20\x09-\x0D]", "upper": r"\p{Lu}", "digit": r"[0-9]", "stop": r"[.,;:!?]",
+#: Characters by class; blanks are what words leave, and what no class matches is a letter in lower case.
+CLASSES = {"upper": r"\p{Lu}", "digit": r"[0-9]", "stop": r"[.,;:!?]",
            "sign": r"[^\p{L}\p{M}0-9.,;:!?\x20\x09-\x0D]"}
 SYMBOLS = r"[#*$%&|<>]"
 #: Guards and greatest distances.
@@ -45,10 +45,9 @@ def _sum(values: Column) -> Column:
 
 def repeated_words(docs: DataFrame) -> DataFrame:
     """Adds n_repeat_words to rows with the array `words`: words in windows of five that occur twice or more."""
-    h = docs.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
-    window = F.when(F.size("words") >= WINDOW, F.transform(
-        F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(WINDOW)])))
-    g = h.withColumn("_g", F.coalesce(window, F.array().cast("array<bigint>"))).drop("_h")
+    windows = F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))
+    g = docs.withColumn("_g", F.transform(F.slice("words", F.lit(1), windows), lambda w, i: F.xxhash64(
+        w, *[F.get("words", i + k) for k in range(1, WINDOW)])))
     some = F.size(F.array_distinct("_g")) < F.size("_g")
     s = g.withColumn("_s", F.when(some, F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("_g")
 
@@ -69,28 +68,29 @@ def measures(docs: DataFrame) -> DataFrame:
     d = d.select("*", F.length("_t").cast("long").alias("all_chars"), count(SYMBOLS).alias("n_symbols"), lines.alias("_lines"),
                  *[count(p).alias(f"_{c}") for c, p in CLASSES.items()])
     d = d.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines", "_t")
-    rest = reduce(lambda a, c: a - F.col(f"_{c}"), CLASSES, F.col("all_chars"))
+    d = d.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+    rest = reduce(lambda a, c: a - F.col(f"_{c}"), CLASSES, F.col("word_chars"))
     known = F.array(*[F.lit(w) for w in WORDS])
-    codes = F.filter(F.transform("words", lambda w: F.array_position(known, w)), lambda c: c > 0)
-    d = d.withColumn("_codes", F.array_join(F.transform(codes, lambda c: F.chr(c + 47)), ""))
+    codes = F.transform(F.filter("words", lambda w: w.isin(WORDS)), lambda w: F.chr(F.array_position(known, w) + 47))
+    d = d.withColumn("_codes", F.array_join(codes, ""))
     each = [(F.length("_codes") - F.length(F.replace("_codes", F.lit(chr(48 + k)), F.lit("")))).cast("long") for k in range(len(WORDS))]
     d = repeated_words(d)
     return d.select(
         "doc_id", "lang", "all_chars", F.size("words").cast("long").alias("n_words"),
-        (F.col("all_chars") - F.col("_blank")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.array(*[F.col(f"_{c}") for c in CLASSES], rest).alias("chars"),
+        "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.array(F.col("all_chars") - F.col("word_chars"), *[F.col(f"_{c}") for c in CLASSES], rest).alias("chars"),
         F.array(*each, (F.size("words") - F.length("_codes")).cast("long")).alias("common"))
 
 
 def references(rows: DataFrame) -> list[dict]:
     """Histograms of each language that has a hundredth of the rows naming one: at most a hundred."""
-    sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
+    sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 2)]
     sums += [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(len(WORDS) + 1)]
     per = store(rows.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"), *sums))
     total = per.agg(F.sum("n")).first()[0] or 0
     found = per.where(F.col("n") * 100 >= total).orderBy("lang").collect()
     discard(per)
-    return [{"lang": r["lang"], "chars": [r[f"c{i}"] for i in range(len(CLASSES) + 1)],
+    return [{"lang": r["lang"], "chars": [r[f"c{i}"] for i in range(len(CLASSES) + 2)],
              "common": [r[f"w{i}"] for i in range(len(WORDS) + 1)]} for r in found]
 
 
