@@ -120,16 +120,6 @@ def test_bootstrap_is_repeatable_and_sane(spark):
     assert a["p"] == 0.0 and a["n"] == 6 and a["hedges_g"] > 0 and 0 <= a["p_wilcoxon"] <= 1
 
 
-def test_bootstrap_same_by_either_median(spark, monkeypatch):
-    rnd = random.Random(2)
-    o = obs(spark, [rnd.random() for _ in range(40)], [rnd.random() for _ in range(40)])
-    small = st.bootstrap_one_level(o, ["e"], "ord", 8, 20, 3).orderBy("iteration").collect()
-    monkeypatch.setattr(st, "MEDIAN_LIMIT", 0)
-    large = st.bootstrap_one_level(o, ["e"], "ord", 8, 20, 3).orderBy("iteration").collect()
-    for x, y in zip(small, large):
-        assert x["delta"] == pytest.approx(y["delta"]) and x["pct"] == pytest.approx(y["pct"])
-
-
 def test_two_level_draw_sizes(spark):
     rows = [("e", c, k, 0.0, float(c * 100 + k)) for c in (1, 2, 3) for k in range(c * 3)]
     o = spark.createDataFrame(rows, "e string, c bigint, ord bigint, b double, t double")
