@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pointproc.functions.quantile import array_percentile, percentile_mid, small_percentile
 from pointproc.operators.bandjoin import band_join, point_in_intervals
-from pointproc.operators.trains import TRAIN, bin_counts, bin_moments, cover_intervals, coverage
+from pointproc.operators.trains import TRAIN, bin_counts, bin_moments, cover_intervals, coverage, inferred_duration
 from pointproc.session import wide
 from pointproc.sources.electrodes import electrode_pairs, electrodes
 
@@ -24,6 +24,14 @@ def channel_pairs(channels: DataFrame) -> DataFrame:
     return first.join(second, "recording_id").filter("i < j").select(*PAIR, "duration_us")
 
 
+def with_durations(spikes: DataFrame, channels: DataFrame, at_least_us: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with ``duration_us``: where one does not have it, the latest spike of the recording stands in."""
+    if "duration_us" in spikes.columns and "duration_us" in channels.columns:
+        return spikes, channels
+    length = inferred_duration(spikes, at_least_us)
+    return tuple(df if "duration_us" in df.columns else df.join(length, "recording_id") for df in (spikes, channels))
+
+
 def coincidences(bins: DataFrame, max_lag: int) -> DataFrame:
     """Sum of x_i(u) * x_j(u + lag) over non-zero bins: recording_id, i, j, lag, c.
 
@@ -61,6 +69,7 @@ def _edge_counts(bins: DataFrame, max_lag: int) -> DataFrame:
 def _pair_rows(spikes: DataFrame, channels: DataFrame, bin_us: int, max_lag: int,
                pairs: DataFrame | None) -> DataFrame:
     """One row per pair with all its scores need: moments, edge counts, coincidences."""
+    spikes, channels = with_durations(spikes, channels, bin_us)
     bins = bin_counts(spikes, bin_us)
     cells = coincidences(bins, max_lag)
     if pairs is None:
@@ -161,6 +170,7 @@ def near_counts(spikes: DataFrame, delta_us: int, block_us: int) -> DataFrame:
 
 def sttc_edges(spikes: DataFrame, channels: DataFrame, delta_us: int, block_us: int) -> DataFrame:
     """Spike time tiling coefficient of every pair: recording_id, i, j, w."""
+    spikes, channels = with_durations(spikes, channels, delta_us)
     trains = coverage(spikes, delta_us, block_us)
     near = near_counts(spikes, delta_us, block_us)
 

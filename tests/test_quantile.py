@@ -55,3 +55,11 @@ def test_infinite_values(spark):
     df = spark.createDataFrame([(v,) for v in [1.0, float("inf"), float("inf"), float("-inf"), 2.0]], "y double")
     row = percentile_mid(df, [], "y", {"lo": 1, "mid": 50, "hi": 90}).first()
     assert (row["lo"], row["mid"], row["hi"]) == (float("-inf"), 2.0, float("inf"))
+
+
+def test_close_values_spread_over_buckets(spark):
+    start = 1_700_000_000_000_000.0  # microseconds: all in one bucket of magnitude
+    df = spark.range(20_000).selectExpr(f"{start!r}D + id * 7 AS y")
+    got = cumulative(df, [], "y")
+    assert got.filter("below != (y - 1.7e15) / 7 OR total != 20000 OR cnt != 1").isEmpty() and got.count() == 20_000
+    assert percentile_mid(df, [], "y", {"m": 50}).first()["m"] == start + 9999.5 * 7
