@@ -128,12 +128,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """
     rows = store(sized(docs))
     plan = thresholds(rows, store(source_targets(rows, weights, most)), most)
-    d = docs.withColumn("_h", draw("doc_id"))
-    times = F.col("s.full") + (F.col("d._h") < F.col("s.cut")).cast("long")
+    d = docs.withColumn("_mix_draw", draw("doc_id"))
+    times = F.col("s.full") + (F.col("d._mix_draw") < F.col("s.cut")).cast("long")
     out = d.alias("d").join(plan.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     return out.where(times > 0).select(
         *[F.col(f"d.`{c}`") for c in docs.columns],
-        F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("_copy")).drop("_copy")
+        F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("_mix_copy")).drop("_mix_copy")
 
 
 QUERY_COLUMNS = ("doc_id", "size", "source_size", "target", "taken", "times")
