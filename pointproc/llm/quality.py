@@ -13,6 +13,7 @@ Missing text counts as empty. Rows are judged one by one, repeated or not.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -94,21 +95,30 @@ def references(rows: DataFrame) -> list[dict]:
              "common": [r[f"w{i}"] for i in range(len(WORDS) + 1)]} for r in found]
 
 
-def distance(histogram: str, reference: list[int]) -> Column:
-    """Jensen-Shannon distance of an array of counts to a reference; missing if either is empty."""
+def _entropy(values: Column) -> Column:
+    """Bits of an array of shares."""
+    bits = F.transform(values, lambda x: F.when(x > 0, -x * F.log2(F.greatest(x, F.lit(1e-300)))).otherwise(0.0))
+    return F.aggregate(bits, F.lit(0.0), lambda s, x: s + x)
+
+
+def with_shares(df: DataFrame, histogram: str) -> DataFrame:
+    """Adds a histogram's shares and their entropy, which all its distances use; missing for an empty one."""
     total = _sum(F.col(histogram))
+    shares = F.when(total > 0, F.transform(histogram, lambda x: x / F.greatest(total, F.lit(1))))
+    # a generator of one row keeps the costly column from being copied into each distance
+    df = df.select("*", F.explode(F.array(shares)).alias(f"{histogram}_p"))
+    return df.select("*", F.explode(F.array(_entropy(F.col(f"{histogram}_p")))).alias(f"{histogram}_h"))
+
+
+def distance(histogram: str, reference: list[int]) -> Column:
+    """Jensen-Shannon distance of shares to a reference: entropy of the mean less mean entropy; missing if either is empty."""
     whole = float(sum(reference))
     if not whole:
         return F.lit(None).cast("double")
-    q = F.array(*[F.lit(x / whole) for x in reference])
-
-    def term(a: Column) -> Column:
-        return F.when(a > 0, a * F.log2(F.greatest(a, F.lit(1e-300)))).otherwise(0.0)
-
-    p = F.transform(histogram, lambda x: x / F.greatest(total, F.lit(1)))
-    parts = F.zip_with(p, q, lambda a, b: (term(a) + term(b)) / 2 - term((a + b) / 2))
-    sum_ = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
-    return F.when(total > 0, F.sqrt(F.greatest(sum_, F.lit(0.0))))
+    q = [x / whole for x in reference]
+    own = -sum(x * math.log2(x) for x in q if x)
+    mean = F.zip_with(f"{histogram}_p", F.array(*[F.lit(x) for x in q]), lambda a, b: (a + b) / 2)
+    return F.when(F.col(f"{histogram}_h").isNotNull(), F.sqrt(F.greatest(_entropy(mean) - (F.col(f"{histogram}_h") + own) / 2, F.lit(0.0))))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -120,7 +130,7 @@ def judge(docs: DataFrame) -> DataFrame:
         found = [distance(name, r[name]) for r in known]
         return F.least(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast("double")
 
-    out = rows.select("*", nearest("chars").alias("chars_distance"), nearest("common").alias("words_distance"))
+    out = with_shares(with_shares(rows, "chars"), "common").select("*", nearest("chars").alias("chars_distance"), nearest("common").alias("words_distance"))
     far = ((F.col("all_chars") >= LEAST_CHARS) & (F.coalesce("chars_distance", F.lit(0.0)) > FAR_CHARS)) | (
         (F.col("n_words") >= LEAST_WORDS) & (F.coalesce("words_distance", F.lit(0.0)) > FAR_WORDS))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
