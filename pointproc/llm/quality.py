@@ -4,8 +4,10 @@ Everything is DataFrame expressions. A text's characters are counted by class an
 words by a list of common words (the rest as one more class). Summed over all
 documents of a language these make the language's reference. A document is compared
 with every reference by Jensen-Shannon distance (base 2, so 0 to 1) and fails if it
-is too far from all of them. Texts shorter than a guard are not judged by that
-histogram. A language is a reference if it has a hundredth of all documents that name
+is too far from all of them: by its characters beyond a fixed distance, by its words
+if it is nearly as far as a text without any common word. Words are looked up in lower
+case without their punctuation. Texts shorter than a guard are not judged by that
+histogram, nor texts of a language by words of which the list has too few. A language is a reference if it has a hundredth of all documents that name
 one or more, so there are at most a hundred; without any, the base rules alone decide.
 
 Missing text counts as empty. Rows are judged one by one, repeated or not.
@@ -36,7 +38,12 @@ CLASSES = {"upper": r"\p{Lu}", "digit": r"[0-9]", "stop": r"[.,;:!?]",
 SYMBOLS = r"[#*$%&|<>]"
 #: Guards and greatest distances.
 LEAST_CHARS, LEAST_WORDS = 200, 40
-FAR_CHARS, FAR_WORDS = 0.28, 0.50
+FAR_CHARS = 0.28
+#: Share of the distance that a text without any common word has from a reference; the least share of common words
+#: in a reference that tells by them.
+FAR_WORDS, TELLING = 0.95, 0.05
+#: Taken from words before they are looked up, after folding their case.
+MARKS = ".,;:!?\"'()[]{}«»“”‘’„¿¡…*_"
 WINDOW = 5
 
 
@@ -69,10 +76,12 @@ def measures(docs: DataFrame) -> DataFrame:
     d = d.select("*", F.length("_t").cast("long").alias("all_chars"), count(SYMBOLS).alias("n_symbols"), lines.alias("_lines"),
                  *[count(p).alias(f"_{c}") for c, p in CLASSES.items()])
     d = d.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines", "_t")
-    d = d.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+    d = d.withColumn("_joined", F.array_join("words", " "))
+    d = d.withColumn("word_chars", (F.length("_joined") - F.greatest(F.size("words") - 1, F.lit(0))).cast("long"))
+    d = d.withColumn("_folded", F.split(F.translate(F.lower("_joined"), MARKS, ""), " ")).drop("_joined")
     rest = reduce(lambda a, c: a - F.col(f"_{c}"), CLASSES, F.col("word_chars"))
     known = F.array(*[F.lit(w) for w in WORDS])
-    codes = F.transform(F.filter("words", lambda w: w.isin(WORDS)), lambda w: F.chr(F.array_position(known, w) + 47))
+    codes = F.transform(F.filter("_folded", lambda w: w.isin(WORDS)), lambda w: F.chr(F.array_position(known, w) + 47))
     d = d.withColumn("_codes", F.array_join(codes, ""))
     each = [(F.length("_codes") - F.length(F.replace("_codes", F.lit(chr(48 + k)), F.lit("")))).cast("long") for k in range(len(WORDS))]
     d = repeated_words(d)
@@ -121,18 +130,31 @@ def distance(histogram: str, reference: list[int]) -> Column:
     return F.when(F.col(f"{histogram}_h").isNotNull(), F.sqrt(F.greatest(_entropy(mean) - (F.col(f"{histogram}_h") + own) / 2, F.lit(0.0))))
 
 
+def without_common(reference: list[int]) -> float:
+    """Distance of a text without any common word to a reference."""
+    q = [x / sum(reference) for x in reference]
+    p = [0.0] * (len(q) - 1) + [1.0]
+    bits = lambda v: -sum(x * math.log2(x) for x in v if x)
+    return math.sqrt(max(0.0, bits([(x + y) / 2 for x, y in zip(p, q)]) - (bits(p) + bits(q)) / 2))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_distance, words_distance."""
     rows = store(measures(docs))
     known = references(rows)
 
-    def nearest(name: str) -> Column:
-        found = [distance(name, r[name]) for r in known]
-        return F.least(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast("double")
-
-    out = with_shares(with_shares(rows, "chars"), "common").select("*", nearest("chars").alias("chars_distance"), nearest("common").alias("words_distance"))
+    # a generator of one row keeps the distances from being computed for each use
+    each = F.array(*[distance("common", r["common"]) for r in known]).cast("array<double>")
+    out = with_shares(with_shares(rows, "chars"), "common").select("*", F.explode(F.array(each)).alias("_each"))
+    found = [distance("chars", r["chars"]) for r in known]
+    out = out.withColumn("chars_distance", F.least(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast("double"))
+    out = out.withColumn("words_distance", F.array_min("_each"))
+    telling = [(k, r) for k, r in enumerate(known) if sum(r["common"]) - r["common"][-1] >= TELLING * sum(r["common"]) > 0]
+    near = reduce(lambda x, y: x | y, [F.get("_each", F.lit(k)) < FAR_WORDS * without_common(r["common"]) for k, r in telling], F.lit(False))
+    # a language without common words of its own in the list is not judged by them
+    judged = F.col("lang").isNull() | F.col("lang").isin([r["lang"] for _, r in telling]) if telling else F.lit(False)
     far = ((F.col("all_chars") >= LEAST_CHARS) & (F.coalesce("chars_distance", F.lit(0.0)) > FAR_CHARS)) | (
-        (F.col("n_words") >= LEAST_WORDS) & (F.coalesce("words_distance", F.lit(0.0)) > FAR_WORDS))
+        judged & (F.col("n_words") >= LEAST_WORDS) & ~F.coalesce(near, F.lit(True)))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       base.alias("base_failed"), (~base & ~far).alias("kept"), "chars_distance", "words_distance")

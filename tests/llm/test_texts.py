@@ -1,6 +1,7 @@
 """SentencePiece round trips and the quality rules against plain Python."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -87,3 +88,20 @@ def test_distance(spark):
     m = [(a + b) / 2 for a, b in zip(p, q)]
     kl = lambda x: sum(a * math.log2(a / c) for a, c in zip(x, m) if a)
     assert got[2].words_distance == pytest.approx(math.sqrt((kl(p) + kl(q)) / 2))
+
+
+def prose(lang, n, seed, common=0.3):
+    r = random.Random(f"{lang}{seed}")
+    own = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(3, 9))) for _ in range(400)]
+    words = [r.choice(quality.COMMON[lang]) if r.random() < common else r.choice(own) for _ in range(n)]
+    return " ".join(w.capitalize() + "," if k % 12 == 0 else w for k, w in enumerate(words))
+
+
+def test_long_text_without_common_words_fails(spark):
+    rows = [(k * 100 + i, prose(lang, n, i), lang) for k, lang in enumerate(quality.COMMON) for i in range(20) for n in [40 + 20 * i]]
+    rows += [(1000 + k, prose(lang, 120, 99, 0.0), lang) for k, lang in enumerate(quality.COMMON)]
+    rows += [(2000, prose("en", 120, 98, 0.0), None), (2001, prose("en", 30, 97, 0.0), "en"), (2002, prose("en", 90, 96).upper(), None)]
+    rows += [(3000 + i, prose("en", 100, i, 0.0), "xx") for i in range(20)]  # no common words of it are known
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept or r.base_failed for r in quality.judge(docs).collect() if r.doc_id != 2002}
+    assert {i for i, kept in got.items() if not kept} == {1000, 1001, 1002, 1003, 2000}
