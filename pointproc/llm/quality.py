@@ -7,8 +7,9 @@ with every reference by Jensen-Shannon distance (base 2, so 0 to 1) and fails if
 is too far from all of them: by its characters beyond a fixed distance, by its words
 if it is nearly as far as a text without any common word. Words are looked up in lower
 case without their punctuation. Texts shorter than a guard are not judged by that
-histogram, nor texts of a language by words of which the list has too few. A language is a reference if it has a hundredth of all documents that name
-one or more, so there are at most a hundred; without any, the base rules alone decide.
+histogram, nor texts of a language by words of which the list has too few. A language is a reference for all documents if it has a hundredth of those that name
+one, so there are at most a hundred; documents of rarer languages are compared with
+their own language's characters as well. Without any, the base rules alone decide.
 
 Missing text counts as empty. Rows are judged one by one, repeated or not.
 """
@@ -92,16 +93,17 @@ def measures(docs: DataFrame) -> DataFrame:
         F.array(*each, (F.size("words") - F.length("_codes")).cast("long")).alias("common"))
 
 
-def references(rows: DataFrame) -> list[dict]:
-    """Histograms of each language that has a hundredth of the rows naming one: at most a hundred."""
+def references(rows: DataFrame) -> tuple[list[dict], DataFrame]:
+    """Histograms of each language that has a hundredth of the rows naming one: at most a hundred; lang and own_chars of the rest."""
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 2)]
     sums += [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(len(WORDS) + 1)]
     per = store(rows.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"), *sums))
     total = per.agg(F.sum("n")).first()[0] or 0
     found = per.where(F.col("n") * 100 >= total).orderBy("lang").collect()
+    rest = store(per.where(F.col("n") * 100 < total).select("lang", F.array(*[f"c{i}" for i in range(len(CLASSES) + 2)]).alias("own_chars")))
     discard(per)
     return [{"lang": r["lang"], "chars": [r[f"c{i}"] for i in range(len(CLASSES) + 2)],
-             "common": [r[f"w{i}"] for i in range(len(WORDS) + 1)]} for r in found]
+             "common": [r[f"w{i}"] for i in range(len(WORDS) + 1)]} for r in found], rest
 
 
 def _entropy(values: Column) -> Column:
@@ -130,6 +132,15 @@ def distance(histogram: str, reference: list[int]) -> Column:
     return F.when(F.col(f"{histogram}_h").isNotNull(), F.sqrt(F.greatest(_entropy(mean) - (F.col(f"{histogram}_h") + own) / 2, F.lit(0.0))))
 
 
+def own_distance() -> Column:
+    """Jensen-Shannon distance of the shares chars_p to the histogram own_chars; missing without one."""
+    total = _sum(F.col("own_chars"))
+    q = F.transform("own_chars", lambda x: x / F.greatest(total, F.lit(1)))
+    mean = F.zip_with("chars_p", q, lambda a, b: (a + b) / 2)
+    return F.when(F.col("own_chars").isNotNull() & (total > 0) & F.col("chars_h").isNotNull(),
+                  F.sqrt(F.greatest(_entropy(mean) - (F.col("chars_h") + _entropy(q)) / 2, F.lit(0.0))))
+
+
 def without_common(reference: list[int]) -> float:
     """Distance of a text without any common word to a reference."""
     q = [x / sum(reference) for x in reference]
@@ -141,13 +152,18 @@ def without_common(reference: list[int]) -> float:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_distance, words_distance."""
     rows = store(measures(docs))
-    known = references(rows)
+    known, rest = references(rows)
+    names = [r["lang"] for r in known]
+    rare = F.col("lang").isNotNull() & ~F.col("lang").isin(names)
+    # only rows of rare languages are joined, none of which has more than a hundredth of the table
+    common = rows.where(~F.coalesce(rare, F.lit(False))).withColumn("own_chars", F.lit(None).cast("array<long>"))
+    rows = common.unionByName(rows.where(rare).join(rest, "lang", "left"))
 
     # a generator of one row keeps the distances from being computed for each use
     each = F.array(*[distance("common", r["common"]) for r in known]).cast("array<double>")
     out = with_shares(with_shares(rows, "chars"), "common").select("*", F.explode(F.array(each)).alias("_each"))
     found = [distance("chars", r["chars"]) for r in known]
-    out = out.withColumn("chars_distance", F.least(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast("double"))
+    out = out.withColumn("chars_distance", F.least(own_distance(), F.lit(None).cast("double"), *found))
     out = out.withColumn("words_distance", F.array_min("_each"))
     telling = [(k, r) for k, r in enumerate(known) if sum(r["common"]) - r["common"][-1] >= TELLING * sum(r["common"]) > 0]
     near = reduce(lambda x, y: x | y, [F.get("_each", F.lit(k)) < FAR_WORDS * without_common(r["common"]) for k, r in telling], F.lit(False))

@@ -105,3 +105,13 @@ def test_long_text_without_common_words_fails(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r.kept or r.base_failed for r in quality.judge(docs).collect() if r.doc_id != 2002}
     assert {i for i, kept in got.items() if not kept} == {1000, 1001, 1002, 1003, 2000}
+
+
+def test_rare_language_is_compared_with_its_own(spark):
+    r = random.Random(1)
+    rare = lambda: "".join("".join(chr(0x4E00 + r.randrange(3000)) for _ in range(3)) + "，。"[k % 2] + " " for k in range(45))
+    rows = [(i, prose("en", 150, i), "en") for i in range(497)] + [(1000 + i, rare(), "zh") for i in range(3)]
+    docs = spark.createDataFrame([*rows, (2000, rare(), None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(docs).where("doc_id >= 1000").collect()}
+    assert all(got[i].kept and got[i].chars_distance < 0.1 for i in (1000, 1001, 1002))
+    assert got[2000].chars_distance > quality.FAR_CHARS and not got[2000].kept
