@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pointproc.llm import embeddings, language, licenses, mixing, ngram_join, passages, quality, sentencepieces, suffixes, toxicity
+from pointproc.llm import (bpe, divergence, embeddings, infill, language, licenses, mixing, ngram_join, passages, quality,
+                           sentencepieces, suffixes, toxicity)
 from pointproc.llm.common import table
 
 
@@ -52,6 +53,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(docs, suffixes.removed_spans(docs))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     found = dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -59,4 +72,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": embeddings.SQL, "op2_source_mix": mixing.SQL}
+    return {"op1_embedding_near_dedup": embeddings.SQL, "op2_source_mix": mixing.SQL,
+            "op11_source_divergence": divergence.SQL, "op13_fill_in_middle": infill.SQL}
