@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointproc.operators.ordered import div_floor, with_islands, with_neighbours
+from pointproc.operators.thinning import thin
 
 TRAIN = ["recording_id", "channel"]
 
@@ -21,28 +19,8 @@ def intervals(spikes: DataFrame, block_us: int) -> DataFrame:
 
 
 def drop_refractory(spikes: DataFrame, refractory_us: int, block_us: int) -> DataFrame:
-    """Keep a spike only when the last *kept* one is at least ``refractory_us`` back.
-
-    A spike after a gap of at least the refractory time is always kept, so the
-    islands between such gaps are independent: each goes to one task in time order
-    and is thinned as it streams by, holding nothing but the last kept time.
-    """
-    # equal times: all but one fall to the rule, so merge them before the shuffle
-    base = spikes.groupBy(*TRAIN, "t_us").agg(F.max("duration_us").alias("duration_us"))
-    key = [*TRAIN, "island"]
-    rows = with_islands(base, TRAIN, "t_us", block_us, int(refractory_us) - 1).select(*key, "t_us", "duration_us")
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last = None, 0
-        for batch in batches:
-            keep = []
-            for *island, t in zip(*(batch.column(c).to_pylist() for c in (*key, "t_us"))):
-                keep.append(island != now or t - last >= refractory_us)
-                if keep[-1]:
-                    now, last = island, t
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return rows.repartition(*key).sortWithinPartitions(*key, "t_us").mapInArrow(thin, rows.schema).drop("island")
+    """Keep a spike only when the last *kept* one is at least ``refractory_us`` back."""
+    return thin(spikes, TRAIN, refractory_us, block_us)
 
 
 def bursts(spikes: DataFrame, isi_max_us: int, isi_end_us: int, min_spikes: int,

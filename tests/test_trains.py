@@ -121,3 +121,32 @@ def test_silent_channels_are_zero(trains):
     got = {r["channel"]: r for r in tr.channel_summary(used, spikes, tr.bursts(spikes, 5, 5, 2, BLOCK)).collect()}
     assert (got[1]["n_spikes"], got[1]["spike_rate"], got[1]["n_bursts"]) == (3, 3.0, 1)
     assert (got[2]["n_spikes"], got[2]["spike_rate"], got[2]["n_bursts"]) == (0, 0.0, 0)
+
+
+@pytest.mark.parametrize("refractory,width", [(7, 10), (7, 3), (1, 10), (30, 50), (0, 10), (100, 10)])
+def test_refractory_over_blocks(spark, refractory, width):
+    rnd = random.Random(refractory * width)
+    data = {ch: [rnd.randint(-200, rnd.choice([50, 1000, 20000])) for _ in range(rnd.choice([1, 2, 50, 2000]))] for ch in range(20)}
+    rows = [("r", c, t, 9, i) for c, ts in data.items() for i, t in enumerate(ts)]
+    spikes = spark.createDataFrame(rows, "recording_id string, channel int, t_us bigint, duration_us bigint, extra int").repartition(5)
+    got = {}
+    for r in tr.drop_refractory(spikes, refractory, width).collect():
+        got.setdefault(r["channel"], []).append(r["t_us"])
+    assert {c: sorted(v) for c, v in got.items()} == {c: thin(set(v), refractory) for c, v in data.items()}
+    assert tr.drop_refractory(spikes.limit(0), refractory, width).count() == 0
+
+
+def test_dense_train_is_thinned_by_many_tasks(spark):
+    """One train without any gap: no task sees more than a fair share of it."""
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    spikes = spark.range(n).select(F.lit("r").alias("recording_id"), F.lit(1).alias("channel"), (F.col("id") * 3).alias("t_us"),
+                                   F.lit(3 * n).cast("bigint").alias("duration_us"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kept = tr.drop_refractory(spikes, 10, 1000).withColumn("task", F.spark_partition_id())
+        shares = [r["count"] for r in kept.groupBy("task").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(shares) == n // 4 and len(shares) >= 4 and max(shares) < n // 4 / 2
