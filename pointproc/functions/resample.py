@@ -1,11 +1,19 @@
 """Counter-based random numbers: a hash of (seed, counters), so any task can
-recompute any draw and a retried task repeats its own draws exactly."""
+recompute any draw and a retried task repeats its own draws exactly.
+
+``draw_word`` and ``draw_index`` are expressions; ``draw_words`` gives the same
+numbers for whole arrays of counters inside a task.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Digests worked out together, so that a numpy call costs little against its work.
+CHUNK = 1 << 16
+
 
 def draw_word(*parts: Column | int | str) -> Column:
     """A 60-bit word (as BIGINT) from the joined counter parts."""
@@ -18,3 +26,74 @@ def draw_index(n: Column | int, *parts: Column | int | str) -> Column:
     """0-based index in [0, n)."""
     n = n if isinstance(n, Column) else F.lit(n)
     return F.pmod(draw_word(*parts), n.cast("bigint"))
+
+
+# MD5 (RFC 1321): rotations of the four rounds, the sine rule for the added constants,
+# and the word of the message that each step takes.
+_ROTATE = [r for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for r in four * 4]
+_ADD = (np.abs(np.sin(np.arange(1, 65))) * 2.0**32).astype(np.uint32)
+_WORD = [(a * i + b) % 16 for a, b in ((1, 0), (5, 1), (3, 5), (7, 0)) for i in range(16)]
+_START = np.array([0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476], np.uint32)
+
+
+def first_halves(messages: np.ndarray) -> np.ndarray:
+    """First 8 bytes of the MD5 digests of equally long messages (rows of bytes, at most 55) as big-endian numbers."""
+    rows, length = messages.shape
+    if length > 55:
+        raise ValueError("a message must fit one block")
+    block = np.zeros((rows, 64), np.uint8)
+    block[:, :length] = messages
+    block[:, length] = 0x80
+    words = np.ascontiguousarray(block.view("<u4").T)
+    words[14] = 8 * length
+    a, b, c, d = (np.full(rows, v, np.uint32) for v in _START)
+    for step in range(64):
+        if step < 16:
+            f = d ^ (b & (c ^ d))
+        elif step < 32:
+            f = c ^ (d & (b ^ c))
+        elif step < 48:
+            f = b ^ c ^ d
+        else:
+            f = c ^ (b | ~d)
+        f += a
+        f += words[_WORD[step]]
+        f += _ADD[step]
+        turn = np.uint32(_ROTATE[step])
+        a, d, c, b = d, c, b, b + ((f << turn) | (f >> (np.uint32(32) - turn)))
+    a, b = a + _START[0], b + _START[1]
+    return a.byteswap().astype(np.uint64) << np.uint64(32) | b.byteswap()
+
+
+def _digits(x: np.ndarray, width: int) -> np.ndarray:
+    """Decimal digits of numbers that have so many."""
+    return (x[:, None] // 10 ** np.arange(width - 1, -1, -1) % 10 + 48).astype(np.uint8)
+
+
+def draw_words(*parts: np.ndarray | int | str) -> np.ndarray:
+    """The words of ``draw_word`` for arrays of whole numbers >= 0 (all of one length) and fixed parts.
+
+    Parts are joined by bars, but for those around a comma, which make one counter.
+    """
+    n = len(next(p for p in parts if isinstance(p, np.ndarray)))
+    out = np.empty(n, np.int64)
+    for lo in range(0, n, CHUNK):
+        now = [p[lo:lo + CHUNK] if isinstance(p, np.ndarray) else str(p) for p in parts]
+        widths = [np.searchsorted(10 ** np.arange(1, 19), p, side="right") + 1 if isinstance(p, np.ndarray) else None for p in now]
+        shape = np.zeros(min(CHUNK, n - lo), np.int64)
+        for w in widths:
+            if w is not None:
+                shape = shape * 20 + w
+        for s in np.unique(shape):
+            rows = np.flatnonzero(shape == s)
+            bytes_ = []
+            for k, (p, w) in enumerate(zip(now, widths)):
+                text = p if isinstance(p, str) else ""
+                joined = k == 0 or text == "," or isinstance(now[k - 1], str) and now[k - 1] == ","
+                bar = "" if joined else "|"
+                fixed = np.frombuffer((bar + text).encode(), np.uint8)
+                bytes_.append(np.broadcast_to(fixed, (len(rows), len(fixed))))
+                if w is not None:
+                    bytes_.append(_digits(p[rows], int(w[rows[0]])))
+            out[lo + rows] = (first_halves(np.concatenate(bytes_, axis=1)) >> np.uint64(4)).astype(np.int64)
+    return out

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from pointproc.functions.quantile import array_median, cumulative, percentile_mid, small_percentile
 from pointproc.functions.resample import draw_index
 from pointproc.functions.scalar import safe_pct
+from pointproc.operators import bootstrap
+from pointproc.operators.bootstrap import resampled
 from pointproc.operators.ordered import with_neighbours
 from pointproc.session import cut_lineage, wide
 
@@ -180,19 +182,46 @@ def bootstrap_one_level(obs: DataFrame, keys: Sequence[str], order: str, width:
     Observations are numbered per endpoint; each replicate draws its indices by hash,
     so draws are made where they are used and are the same after a task is retried.
     """
-    keys = list(keys)
-    rows = with_neighbours(complete(obs), keys, order, width).select(*keys, "idx", "b", "t")
+    rows = complete(obs)
+    small, large = _by_size(rows, list(keys))
+    if large is None:
+        return resampled(small, keys, None, order, iterations, seed)
+    return resampled(small, keys, None, order, iterations, seed).unionByName(
+        _joined_one_level(large, list(keys), order, width, iterations, seed))
+
+
+def bootstrap_two_level(obs: DataFrame, keys: Sequence[str], cluster: str, order: str, width: int,
+                        iterations: int, seed: int) -> DataFrame:
+    """Replicate medians after drawing clusters, then observations inside each."""
+    rows = complete(obs)
+    small, large = _by_size(rows, list(keys))
+    if large is None:
+        return resampled(small, keys, cluster, order, iterations, seed)
+    return resampled(small, keys, cluster, order, iterations, seed).unionByName(
+        _joined_two_level(large, list(keys), cluster, order, width, iterations, seed))
+
+
+def _by_size(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Observations of endpoints that fit a task, and of the others if there are any."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= bootstrap.MOST:
+        return rows, None
+    sized = rows.join(sizes, keys)
+    return sized.filter(F.col("_n") <= bootstrap.MOST).drop("_n"), sized.filter(F.col("_n") > bootstrap.MOST).drop("_n")
+
+
+def _joined_one_level(obs: DataFrame, keys: list[str], order: str, width: int, iterations: int, seed: int) -> DataFrame:
+    """The same draws joined with the observations, for endpoints of any size."""
+    rows = with_neighbours(obs, keys, order, width).select(*keys, "idx", "b", "t")
     sizes = cut_lineage(rows.groupBy(*keys).agg(F.max("idx").alias("n")))
     slots = _slots(sizes.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))), "n")
     draws = slots.withColumn("idx", draw_index(F.col("n"), F.lit(seed), F.col("iteration"), F.lit(0), F.col("slot")) + 1)
     return _replicates(draws.join(rows, [*keys, "idx"]), keys)
 
 
-def bootstrap_two_level(obs: DataFrame, keys: Sequence[str], cluster: str, order: str, width: int,
-                        iterations: int, seed: int) -> DataFrame:
-    """Replicate medians after drawing clusters, then observations inside each."""
-    keys = list(keys)
-    rows = with_neighbours(complete(obs), [*keys, cluster], order, width).select(
+def _joined_two_level(obs: DataFrame, keys: list[str], cluster: str, order: str, width: int,
+                      iterations: int, seed: int) -> DataFrame:
+    rows = with_neighbours(obs, [*keys, cluster], order, width).select(
         *keys, cluster, "idx", "b", "t")
     sizes = cut_lineage(rows.groupBy(*keys, cluster).agg(F.max("idx").alias("n")))
     ranked = with_neighbours(sizes, keys, cluster, 1 << 16).select(*keys, cluster, "n", F.col("idx").alias("c_idx"))
@@ -217,21 +246,23 @@ def _slots(df: DataFrame, n: str) -> DataFrame:
 
 
 def _replicates(drawn: DataFrame, keys: list[str]) -> DataFrame:
-    """Medians per replicate; drawn values merge to (value, count) before the shuffle."""
+    """Medians per replicate."""
     b, t = F.col("b"), F.col("t")
     return drawn.groupBy(*keys, "iteration").agg(F.median(t - b).alias("delta"), F.median(safe_pct(b, t)).alias("pct"))
 
 
-def interval_and_p(reps: DataFrame, keys: Sequence[str], value: str, prefix: str = "") -> DataFrame:
-    """95 % interval and two-sided tail p of replicate values.
+def interval_and_p(reps: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:
+    """95 % interval and two-sided tail p of replicate values; columns of a second value carry its name in front.
 
     A group holds one value per bootstrap iteration, a number the caller sets.
     """
-    v = F.col(value)
-    tail = F.least(F.avg(F.when(v >= 0, 1.0).when(v < 0, 0.0)), F.avg(F.when(v <= 0, 1.0).when(v > 0, 0.0)))
-    return reps.groupBy(*keys).agg(
-        small_percentile(v, 2.5).alias(f"{prefix}ci_lo"), small_percentile(v, 97.5).alias(f"{prefix}ci_hi"),
-        F.when(F.count(v) > 0, F.least(2 * tail, F.lit(1.0))).alias(f"{prefix}p"))
+    columns = []
+    for k, value in enumerate(values):
+        v, prefix = F.col(value), f"{value}_" if k else ""
+        tail = F.least(F.avg(F.when(v >= 0, 1.0).when(v < 0, 0.0)), F.avg(F.when(v <= 0, 1.0).when(v > 0, 0.0)))
+        columns += [small_percentile(v, 2.5).alias(f"{prefix}ci_lo"), small_percentile(v, 97.5).alias(f"{prefix}ci_hi"),
+                    F.when(F.count(v) > 0, F.least(2 * tail, F.lit(1.0))).alias(f"{prefix}p")]
+    return reps.groupBy(*keys).agg(*columns)
 
 
 # --- exact permutation test -----------------------------------------------------
@@ -316,11 +347,12 @@ def paired_stats(obs: DataFrame, keys: Sequence[str], order: str, width: int, it
     the BIGINT column the observations are numbered by and its block length.
     """
     keys = list(keys)
+    obs = cut_lineage(obs.select(*keys, *([cluster] if cluster else []), order, "b", "t"))  # read by each part
     if cluster is None:
         reps = bootstrap_one_level(obs, keys, order, width, iterations, seed)
     else:
         reps = bootstrap_two_level(obs, keys, cluster, order, width, iterations, seed)
-    boot = interval_and_p(reps, keys, "delta").join(interval_and_p(reps, keys, "pct", "pct_"), keys)
+    boot = interval_and_p(reps, keys, "delta", "pct")
     n_sets = (complete(obs).groupBy(*keys).agg(F.countDistinct(cluster).alias("n_datasets")) if cluster else
               complete(obs).groupBy(*keys).agg(F.lit(None).cast("bigint").alias("n_datasets")))
     out = _endpoints(obs, keys)
