@@ -222,6 +222,13 @@ def density_thresholds(edges: DataFrame, densities: Sequence[float], keys: Seque
     return weights.select(*keys, F.inline(picks))
 
 
+def median_thresholds(edges: DataFrame, keys: Sequence[str] = ("recording_id",)) -> DataFrame:
+    """The default threshold of a graph: its median weight, 0 where no weight is known. Graphs may be of any size."""
+    keys = list(keys)
+    found = percentile_mid(edges, keys, "w", {"threshold": 50}).drop("n")
+    return edges.select(*keys).distinct().join(found, keys, "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
+
+
 def display_edges(edges: DataFrame, mode: str = "weight", pct: float = 20.0,
                   threshold: float | None = None, keys: Sequence[str] = ("recording_id",)) -> DataFrame:
     """Edges a network drawing keeps: the top ``pct`` percent by weight or |weight|."""

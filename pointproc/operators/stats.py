@@ -20,6 +20,8 @@ from pointproc.operators.ordered import with_neighbours
 from pointproc.session import cut_lineage, wide
 
 SLOT_CHUNK = 10_000
+#: Splits of a permutation test under one row before they are numbered.
+SPLITS = 4096
 
 
 # --- summaries ------------------------------------------------------------------
@@ -271,13 +273,31 @@ def median_difference(a: Column, b: Column) -> Column:
     return array_median(a) - array_median(b)
 
 
+def _combination(number: Column, n: int, k: int) -> Column:
+    """The members, ascending, of the k-of-n combination with this number in lexicographic order.
+
+    Place by place: of the combinations that are left, C(n - 1 - place, missing - 1) hold the place.
+    """
+    table = F.array(*[F.lit(math.comb(rest, r)).cast("bigint") for rest in range(n) for r in range(k)])
+    start = F.struct(number.cast("bigint").alias("left"), F.lit(k).alias("missing"), F.expr("CAST(array() AS ARRAY<INT>)").alias("members"))
+
+    def step(s: Column, place: Column) -> Column:
+        holding = F.when(s["missing"] > 0, F.get(table, (F.lit(n - 1) - place) * k + s["missing"] - 1)).otherwise(F.lit(0).cast("bigint"))
+        inside = s["left"] < holding
+        return F.struct(F.when(inside, s["left"]).otherwise(s["left"] - holding).alias("left"),
+                        (s["missing"] - inside.cast("int")).alias("missing"),
+                        F.when(inside, F.concat(s["members"], F.array(place))).otherwise(s["members"]).alias("members"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, step)["members"]
+
+
 def permutation_test(spark: SparkSession, values: DataFrame, statistic: Callable[[Column, Column], Column] = median_difference,
                      tails: str = "two") -> DataFrame:
     """Exact two-sample test over every split of the pooled values.
 
     ``values`` has ``grp`` ('a' or 'b') and ``y``, a handful of rows: the number of
-    splits, C(n, n_a), is what limits the sample. Splits grow one member at a time
-    by ``explode`` and are spread over the cluster once there are enough; ``statistic`` maps two array columns to one.
+    splits, C(n, n_a), is what limits the sample. A split is made from its number, so
+    tasks take equal ranges of numbers; ``statistic`` maps two array columns to one.
     """
     if tails not in ("two", "right", "left"):
         raise ValueError("tails must be two, right or left")
@@ -291,17 +311,15 @@ def permutation_test(spark: SparkSession, values: DataFrame, statistic: Callable
     sample = good.agg(F.array_sort(F.collect_list(F.when(F.col("grp") == "a", F.col("y")))).alias("a"),
                       F.array_sort(F.collect_list(F.when(F.col("grp") == "b", F.col("y")))).alias("b"))
     sample = sample.withColumn("observed", statistic(F.col("a"), F.col("b"))).withColumn("pooled", F.concat("a", "b"))
-    # the smaller group is enumerated; the other is its complement
+    # the smaller group is enumerated by number; the other is its complement
     k = min(n_a, n_b)
-    picks = sample.withColumn("member", F.expr("CAST(array() AS ARRAY<INT>)"))
-    for depth in range(k):
-        after = F.coalesce(F.try_element_at("member", F.lit(-1)), F.lit(-1)) + 1
-        room = n - (k - depth)  # leave places for the members still to come
-        picks = picks.filter(after <= room).withColumn(
-            "_next", F.explode(F.sequence(after, F.lit(room)))).withColumn(
-            "member", F.concat("member", F.array("_next"))).drop("_next")
-        if depth == min(2, k - 1):  # up to n^3 / 6 rows: near-equal shares of all splits
-            picks = wide(picks, "member")
+    total = math.comb(n, k)
+    if total >= 1 << 62:
+        raise ValueError(f"{total} splits cannot be enumerated")
+    # the one row becomes one per range of numbers, and a range its numbers
+    ranges = wide(sample.withColumn("_range", F.explode(F.sequence(F.lit(0), F.lit((total - 1) // SPLITS).cast("bigint")))), "_range")
+    number = F.explode(F.sequence(F.col("_range") * SPLITS, F.least(F.col("_range") * SPLITS + SPLITS, F.lit(total)) - 1))
+    picks = ranges.withColumn("_number", number).withColumn("member", _combination(F.col("_number"), n, k))
     positions = F.sequence(F.lit(0), F.lit(n - 1))
 
     def values_at(inside: bool) -> Column:

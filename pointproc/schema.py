@@ -41,6 +41,14 @@ TABLES = {
     "edges": EDGES,
 }
 
+#: Columns that are never NULL in a stored row; the keys are folder names.
+REQUIRED = {
+    "recordings": ["duration_us", "schema_version"], "spikes": ["channel", "t_us", "duration_us"],
+    "channels": ["channel", "duration_us"], "samples": ["channel", "chunk_no", "start_idx", "fs", "v"],
+    "channel_summary": ["channel"], "bursts": ["channel", "burst_no", "start_idx", "end_idx", "start_us", "end_us", "n_spikes"],
+    "edges": ["i", "j"],
+}
+
 
 def require_columns(df: DataFrame, *names: str, what: str = "input") -> DataFrame:
     """Return ``df`` unchanged, or raise when a needed column is absent."""

@@ -4,6 +4,7 @@ recording, with explicit schemas."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,23 +32,35 @@ def write_table(df: DataFrame, root: str, name: str) -> None:
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A store table with its declared schema (plus ``study``).
 
-    The stored files must hold every declared column: a missing one is an error, not NULLs.
+    The stored files must hold every declared column. A column that all of them lack is
+    an error here; one that a single file lacks would be read as NULL there, so columns
+    that are never NULL fail the query where they are. Each column is checked only
+    where it is used, and scans stay pruned.
     """
     kind = S.TABLES[name]
     if "study" not in kind.names:
         kind = S.T.StructType([*kind.fields, S.T.StructField("study", S.STR)])
-    # column names only; they are merged over all files, so one that lacks a column does not hide
-    stored = spark.read.option("mergeSchema", "false").parquet(f"{root}/{name}")
+    stored = spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}")  # columns of all files, read by tasks
     S.require_columns(stored, *kind.names, what=f"stored table {name}")
-    return spark.read.schema(kind).parquet(f"{root}/{name}")
+    rows = spark.read.schema(kind).parquet(f"{root}/{name}")
+    absent = {c: F.raise_error(F.lit(f"stored table {name} has a file without values of {c}")).cast(kind[c].dataType)
+              for c in S.REQUIRED[name]}
+    return rows.select([F.coalesce(F.col(c), absent[c]).alias(c) if c in absent else F.col(c) for c in rows.columns])
 
 
 def read_recording(spark: SparkSession, root: str, name: str, recording_id: str) -> DataFrame:
-    """One recording's rows of a table; only its partition is listed and read."""
+    """One recording's rows of a table; only its partition is listed and read.
+
+    Each of its files must hold every declared column.
+    """
     meta = check_version(read_table(spark, root, "recordings").filter(F.col("recording_id") == recording_id))
     if meta.isEmpty():
         raise ValueError(f"no recording {recording_id!r}")
-    return read_table(spark, root, name).filter(F.col("recording_id") == recording_id)
+    rows = read_table(spark, root, name).filter(F.col("recording_id") == recording_id)
+    own = spark.read.parquet(f"{root}/{name}").filter(F.col("recording_id") == recording_id).select("_metadata.file_path").distinct()
+    for file in (r[0] for r in own.collect()):  # the files of one recording
+        S.require_columns(spark.read.parquet(unquote(file)), *[c for c in S.TABLES[name].names if c not in PARTS], what=file)
+    return rows
 
 
 def check_version(recordings: DataFrame, version: str = DEFAULTS.schema_version) -> DataFrame:

@@ -140,3 +140,9 @@ def test_safe_percent_rules(spark):
     df = spark.createDataFrame([(p,) for p in ps], "p double")
     want = ["n/a" if p != p else "<0.001" if p < 0.001 else f"{p:.3f}" for p in ps]
     assert [r[0] for r in df.select(p_text(F.col("p"))).collect()] == want
+
+
+@pytest.mark.parametrize("n,k", [(1, 1), (5, 2), (7, 7), (9, 4)])
+def test_combinations_by_number(spark, n, k):
+    got = spark.range(math.comb(n, k)).select(st._combination(F.col("id"), n, k).alias("m")).collect()
+    assert [tuple(r["m"]) for r in got] == list(itertools.combinations(range(n), k))

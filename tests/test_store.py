@@ -122,3 +122,37 @@ def test_tables_to_csv(spark, tmp_path):
     back = spark.read.option("header", True).csv(str(tmp_path / "s")).first()
     assert back.asDict() == {"study": "doi", "pair": "1", "target_density": "0.1", "metric": "Edge density", "baseline": "0.5",
                              "treatment": "0.75", "delta": "0.25"}
+
+
+def test_a_file_without_a_column_is_found(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.createDataFrame([("doi", "r1", 1, 5, 10), ("doi", "r1", 2, 6, 10)], "study string, recording_id string, channel int, t_us bigint, duration_us bigint")
+    store.write_table(rows, root, "spikes")
+    lacking = spark.createDataFrame([("doi", "r2", 1, 10)], "study string, recording_id string, channel int, duration_us bigint")
+    lacking.write.partitionBy("study", "recording_id").mode("append").parquet(f"{root}/spikes")
+    recs = spark.createDataFrame([("doi", r, "baseline", 1, 1.0, 10, store.DEFAULTS.schema_version) for r in ("r1", "r2")],
+                                 "study string, recording_id string, condition string, pair_no bigint, fs double, duration_us bigint, schema_version string")
+    store.write_table(recs, root, "recordings")
+    assert store.read_recording(spark, root, "spikes", "r1").count() == 2
+    with pytest.raises(ValueError, match="t_us"):
+        store.read_recording(spark, root, "spikes", "r2")
+    table = store.read_table(spark, root, "spikes")
+    assert table.select("channel").count() == 3  # columns that are not used are not read
+    with pytest.raises(Exception, match="t_us"):
+        table.select("t_us").collect()
+
+
+def test_edges_of_both_methods_come_back(spark, tmp_path):
+    from pointproc.sources import exports
+
+    recs = spark.createDataFrame([("a1", "doi", 1, "baseline"), ("a2", "doi", 1, "treatment")],
+                                 "recording_id string, study string, pair_no bigint, condition string")
+    for method, shift in (("xcorr", 0.0), ("sttc", 0.5)):
+        edges = spark.createDataFrame([("a1", 1, 2, 0.1 + shift, 5), ("a2", 1, 3, None, None)],
+                                      "recording_id string, i int, j int, w double, peak_lag_us bigint")
+        path = f"{tmp_path}/{method}"
+        exports.write_edges(edges, recs, path)
+        exports.write_edges(edges, recs, path)  # a second run replaces the first
+        back = spark.read.parquet(path)
+        assert sorted(map(tuple, back.select(edges.columns).collect())) == sorted(map(tuple, edges.collect()))
+        assert {(r["study"], r["pair_no"], r["condition"]) for r in back.collect()} == {("doi", 1, "baseline"), ("doi", 1, "treatment")}
