@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,22 @@ def draw(*columns: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def lean(run: Callable) -> Callable:
+    """A task function that gives freed memory back when it ends: a worker serves many tasks, and what it keeps of one
+    stage is missing in the next."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of text in the table: the measure from which bucket numbers are taken."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointproc.llm.common import Bytes, buckets, group_first, heads, mix, pieces, sliding_min, text_bytes
+from pointproc.llm.common import Bytes, buckets, group_first, heads, lean, mix, pieces, sliding_min, text_bytes
 from pointproc.session import discard, store
 
 WIDTH = 50
@@ -138,7 +138,7 @@ def shared_tokens(docs: DataFrame, size: int) -> DataFrame:
         return pa.table({"doc_id": pa.array(doc[at[:-1]], pa.int64()),
                          "hashes": pa.array([np.unique(h[a:z]).tobytes() for a, z in zip(at, at[1:])], pa.binary())})
 
-    return docs.mapInArrow(offer, "bucket long, hashes binary, docs binary") \
+    return docs.mapInArrow(lean(offer), "bucket long, hashes binary, docs binary") \
         .groupBy("bucket").applyInArrow(gather, "home long, hashes binary, docs binary") \
         .groupBy("home").applyInArrow(bring_home, "doc_id long, hashes binary")
 
@@ -179,7 +179,7 @@ def token_suffixes(docs: DataFrame, tokens: DataFrame) -> DataFrame:
                                        pa.array(first - b.offsets[row])], names=["key", "doc_id", "pos"])
 
     known = tokens.withColumnRenamed("hashes", "known")
-    return docs.join(known, "doc_id").select("doc_id", "text", "known").mapInArrow(rows, "key binary, doc_id long, pos long")
+    return docs.join(known, "doc_id").select("doc_id", "text", "known").mapInArrow(lean(rows), "key binary, doc_id long, pos long")
 
 
 def multikey_order(words: np.ndarray, *ties: np.ndarray) -> np.ndarray:
@@ -270,7 +270,7 @@ def sort_tokens(suffixes: DataFrame, n: int) -> DataFrame:
                                            binary(raw[i]) if with_key else pa.nulls(len(i), pa.binary())],
                                           names=["doc_id", "pos", "end", "key"])
 
-    return suffixes.repartitionByRange(n, "key", "doc_id").mapInArrow(compare, "doc_id long, pos long, end long, key binary")
+    return suffixes.repartitionByRange(n, "key", "doc_id").mapInArrow(lean(compare), "doc_id long, pos long, end long, key binary")
 
 
 def windows(rows: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def windows(rows: DataFrame) -> DataFrame:
                                        part.column("doc_id").take(pa.array(row)),
                                        pa.array(part.column("pos").to_numpy()[row] + step)], names=["suffix", "doc_id", "pos"])
 
-    return rows.select("key", "doc_id", "pos").mapInArrow(spread, "suffix binary, doc_id long, pos long")
+    return rows.select("key", "doc_id", "pos").mapInArrow(lean(spread), "suffix binary, doc_id long, pos long")
 
 
 def sort_windows(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -318,7 +318,7 @@ def sort_windows(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
                                binary(ends[:1]), binary(ends[1:])], names=["part", "kind", "doc_id", "pos", "first", "last"])
 
     found = store(rows.repartitionByRange(n, "suffix", "doc_id").mapInArrow(
-        compare, "part long, kind string, doc_id long, pos long, first binary, last binary"))
+        lean(compare), "part long, kind string, doc_id long, pos long, first binary, last binary"))
     carry, before = [], (None, None)
     for r in found.where("kind = 'ends'").orderBy("part").collect():  # one row for each bucket
         same = before[0] is not None and bytes(r["first"]) == before[0]
@@ -360,7 +360,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                                   names=["doc_id", "spans"])
 
     out = store(spans.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "end")).alias("all")).mapInArrow(
-        merge, "doc_id long, spans array<struct<start:long,end:long>>"))
+        lean(merge), "doc_id long, spans array<struct<start:long,end:long>>"))
     discard(first, table)
     return out
 
@@ -389,19 +389,22 @@ def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
                                   names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(
-        digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        lean(digest), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The documents with their spans cut out, all columns kept; a character cut in two goes whole."""
     names = docs.columns
+    own = "_spans"
+    while own in names:
+        own += "_"
 
     def cut(batches):
         for batch in batches:
             text = [t if not s else kept_bytes(t, s).decode(errors="ignore")
-                    for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
+                    for t, s in zip(batch.column("text").to_pylist(), batch.column(own).to_pylist())]
             yield pa.record_batch([pa.array(text, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
-    joined = docs.join(spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")),
-                       docs["doc_id"] == F.col("_id"), "left").select(*names, "_spans")
-    return joined.mapInArrow(cut, docs.schema)
+    d, s = docs.alias("d"), spans.select("doc_id", F.col("spans").alias(own)).alias("s")
+    joined = d.join(s, F.col("d.doc_id") == F.col("s.doc_id"), "left").select(*[F.col(f"d.`{c}`") for c in names], f"s.{own}")
+    return joined.mapInArrow(lean(cut), docs.schema)

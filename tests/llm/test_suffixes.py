@@ -80,3 +80,11 @@ def test_empty_and_missing_ids(spark):
     assert got == {None: 0, 1: 0, 2: 80}
     cut = suffixes.without_spans(docs, suffixes.removed_spans(docs))
     assert {(r.doc_id, r.text) for r in cut.collect()} == {(None, "b" * 80), (1, "b" * 80), (2, "")}
+
+
+def test_cut_texts_keep_columns_of_any_name(spark):
+    same = "a passage of more than fifty bytes that both of the documents hold, word for word"
+    docs = spark.createDataFrame([(1, same, "x", 1), (2, "b " + same, "y", 2), (3, None, "z", 3)], "doc_id long, text string, _spans string, _id int")
+    spans = suffixes.removed_spans(docs)
+    got = sorted(tuple(r) for r in suffixes.without_spans(docs, spans).collect())
+    assert got == [(1, same, "x", 1), (2, "b ", "y", 2), (3, None, "z", 3)]
