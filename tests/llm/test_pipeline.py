@@ -42,6 +42,6 @@ def test_stages(spark):
 
 def test_registry():
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names[:-1]] == list(range(1, 11)) and names[-1] == "pipeline"
+    assert [int(n[2:].split("_")[0]) for n in names[:-1]] == list(range(1, 14)) and names[-1] == "pipeline"
     assert set(queries.oracles()) <= set(names)
     assert mixing.MOST == 3 and importlib.util.find_spec("__spark_entry__") is not None
