@@ -77,7 +77,8 @@ def _pair_rows(spikes: DataFrame, channels: DataFrame, bin_us: int, max_lag: int
     else:
         cells = cells.join(pairs.select(*PAIR), PAIR, "left_semi")
     # at most 2*max_lag+1 entries per pair
-    hits = cells.groupBy(*PAIR).agg(F.map_from_entries(F.collect_list(F.struct("lag", "c"))).alias("hits"))
+    hits = cells.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("lag", "c"))).alias("_cells")).select(
+        *PAIR, _dense("_cells", max_lag).alias("hits"))
     zeros = F.array_repeat(F.lit(0).cast("bigint"), max_lag + 1)
     trains = bin_moments(bins, channels, bin_us).join(_edge_counts(bins, max_lag), TRAIN, "left").select(
         *TRAIN, "n_bins", "s", "s2", "mean", "sd",
@@ -92,14 +93,26 @@ def _pair_rows(spikes: DataFrame, channels: DataFrame, bin_us: int, max_lag: int
     return wide(both, *PAIR).join(wide(hits, *PAIR), PAIR, "left")
 
 
-def _score(k: Column, norm: str) -> Column:
-    """Score of a pair row at lag ``k``.
+def _dense(cells: str, max_lag: int) -> Column:
+    """Counts at lags -max_lag..max_lag in order, from (lag, c) sorted by lag: the gaps between are filled with zeros."""
+    none = F.lit(0).cast("bigint")
+
+    def filled(x: Column, at: Column) -> Column:
+        before = F.when(at == 0, F.lit(-max_lag - 1)).otherwise(F.get(cells, at - 1)["lag"])
+        return F.concat(F.array_repeat(none, (x["lag"] - before - 1).cast("int")), F.array(x["c"]))
+
+    rest = F.array_repeat(none, (F.lit(max_lag) - F.element_at(cells, -1)["lag"]).cast("int"))
+    return F.flatten(F.concat(F.transform(cells, filled), F.array(rest)))
+
+
+def _score(k: Column, norm: str, max_lag: int) -> Column:
+    """Score of a pair row at lag ``k``, within ``max_lag``.
 
     ``pearson`` z-scores the binned counts and divides by N - |k|; expanding the
     product leaves only coincidence counts, totals and the counts in the edge bins,
     so zero bins are never materialised.
     """
-    c = F.coalesce(F.element_at("hits", k.cast("bigint")), F.lit(0))
+    c = F.coalesce(F.get("hits", (k + max_lag).cast("int")), F.lit(0))
     if norm == "none":
         r = c.cast("double")
     elif norm == "coeff":
@@ -129,7 +142,7 @@ def lagged_scores(spikes: DataFrame, channels: DataFrame, bin_us: int, max_lag:
     if norm not in NORMS:
         raise ValueError(f"norm must be one of {NORMS}")
     rows = _pair_rows(spikes, channels, bin_us, max_lag, pairs).withColumn("lag", F.explode(_lags(max_lag)))
-    return rows.select(*PAIR, "lag", _score(F.col("lag"), norm).alias("r"))
+    return rows.select(*PAIR, "lag", _score(F.col("lag"), norm, max_lag).alias("r"))
 
 
 def xcorr_edges(spikes: DataFrame, channels: DataFrame, bin_us: int, max_lag: int,
@@ -143,7 +156,7 @@ def xcorr_edges(spikes: DataFrame, channels: DataFrame, bin_us: int, max_lag: in
         raise ValueError(f"norm must be one of {NORMS}")
 
     rows = _pair_rows(spikes, channels, bin_us, max_lag, None).withColumn(
-        "r", F.transform(_lags(max_lag), lambda k: _score(k, norm)))
+        "r", F.transform(_lags(max_lag), lambda k: _score(k, norm, max_lag)))
     w = F.array_max("r")
     first = F.when(w.isNotNull(), F.array_position("r", w)).otherwise(1)  # the position of the first maximum
     return rows.select(*PAIR, w.alias("w"), ((first - 1 - max_lag) * F.lit(int(bin_us))).cast("bigint").alias("peak_lag_us"))

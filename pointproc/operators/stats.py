@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointproc.functions.quantile import array_median, cumulative, percentile_mid, small_percentile
+from pointproc.functions.ranksum import two_sided
 from pointproc.functions.resample import draw_index
 from pointproc.functions.scalar import safe_pct
 from pointproc.operators import bootstrap
@@ -82,9 +83,9 @@ def signed_rank(obs: DataFrame, keys: Sequence[str], method: str = "exact") -> D
 
     Zero differences are dropped; where nothing else remains W is 0, p is 1 and r is
     missing. Endpoints without a complete pair have missing results. Ranks come per
-    distinct |difference|. The p-value is the caller's choice: "exact" builds the
-    distribution of the rank sums in the endpoint's row, which takes its ranks and
-    n * n / 2 sums in memory; "approximate" is the tie-corrected normal tail, for
+    distinct |difference|. The p-value is the caller's choice: "exact" holds the
+    distinct ranks of an endpoint in a row and takes memory in proportion to them
+    (`functions/ranksum.py`); "approximate" is the tie-corrected normal tail, for
     endpoints of any size.
     """
     if method not in ("exact", "approximate"):
@@ -95,7 +96,7 @@ def signed_rank(obs: DataFrame, keys: Sequence[str], method: str = "exact") -> D
         *keys, F.abs("d").alias("size"), F.when(F.col("d") > 0, 1).otherwise(0).alias("up"))
     r = tied_ranks(d, keys, "size", {"up": F.col("up")})
     cnt, rank, total = F.col("cnt"), F.col("rank"), F.col("total")
-    ranks = F.collect_list(F.struct((rank * 2).cast("int").alias("r2"), cnt.cast("int").alias("cnt")))
+    ranks = F.collect_list(F.struct((rank * 2).cast("bigint").alias("r2"), cnt.alias("cnt")))
     agg = r.groupBy(*keys).agg(
         F.max(total).alias("n_nonzero"), F.sum(rank * F.col("up")).alias("w_plus"),
         F.sum(rank * (cnt - F.col("up"))).alias("w_minus"),
@@ -124,17 +125,7 @@ def _endpoints(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
 @F.pandas_udf(T.DoubleType())
 def _exact_p(r2: pd.Series, cnt: pd.Series, w: pd.Series) -> pd.Series:
     """Tail of the rank-subset sums, one row per endpoint."""
-    out = []
-    for ranks, counts, wp in zip(r2, cnt, w):
-        prob = np.ones(1)
-        for step in np.repeat(ranks, counts):
-            grown = np.zeros(len(prob) + step)
-            grown[:len(prob)] += prob / 2
-            grown[step:] += prob / 2
-            prob = grown
-        at = int(round(2 * wp))
-        out.append(min(1.0, float(2 * min(prob[:at + 1].sum(), prob[at:].sum()))))
-    return pd.Series(out)
+    return pd.Series([two_sided(ranks, counts, int(round(2 * wp))) for ranks, counts, wp in zip(r2, cnt, w)])
 
 
 @F.pandas_udf(T.DoubleType())
