@@ -7,9 +7,9 @@ is at least `THRESHOLD`. Documents of equal sets form a class and go on as one.
   tree picks a few coordinates by its own dice (each with a chance that makes 1 /
   threshold on average), and a class goes on to a child for each, named by the token
   it has there: classes that share tokens meet again. Nodes of up to `SMALL` classes
-  are compared outright. In a larger node each class is first compared with the
-  node's least one, which settles a large group of copies without pairs; the others
-  split again. What is still large at the last level is compared in tiles.
+  are compared outright. In a larger node each class is first compared with one
+  that a hash picks there, which settles a large group of copies without pairs; the
+  others split again. Each node picks its own: a pair parted by one is met by another. What is still large at the last level is compared in tiles.
   Runs with other dice repeat this until the recall aimed at is met.
 * These comparisons use sketches and a threshold lowered by `SLACK`; they only say
   which classes belong to one candidate group.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointproc.llm.common import BYTE_CODE, heads, mix, pieces
+from pointproc.llm.common import BYTE_CODE, heads, lean, mix, pieces
 from pointproc.llm.components import components
 from pointproc.llm.tiles import roots, tile_rows
 from pointproc.session import discard, store
@@ -99,7 +99,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                                        pa.array([x.tobytes() for x in sig], pa.binary())],
                                       names=["doc_id", "n", "set_key", "tokens"])
 
-    return docs.mapInArrow(sketch, "doc_id long, n long, set_key binary, tokens binary")
+    return docs.mapInArrow(lean(sketch), "doc_id long, n long, set_key binary, tokens binary")
 
 
 def runs_for(recall: float, levels: int) -> int:
@@ -138,7 +138,7 @@ def _split(rows: DataFrame, threshold: float, runs: int = 0) -> DataFrame:
                     row, child = chosen(part.column("node").to_numpy().astype(np.uint64), sig, threshold)
                 yield pa.record_batch([part.column("rep").take(pa.array(row)), pa.array(child.astype(np.int64))], names=["rep", "node"])
 
-    return rows.mapInArrow(split, "rep long, node long")
+    return rows.mapInArrow(lean(split), "rep long, node long")
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,7 +180,7 @@ def _compare_small(rows: DataFrame, least: float) -> DataFrame:
         if held:
             yield from flush(*held)
 
-    return rows.sortWithinPartitions("node").select("node", "rep", "sketch").mapInArrow(compare, "a long, b long")
+    return rows.sortWithinPartitions("node").select("node", "rep", "sketch").mapInArrow(lean(compare), "a long, b long")
 
 
 def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -198,12 +198,12 @@ def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float
             yield pa.record_batch([batch.column("rep"), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())],
                                   names=["rep", "sketch"])
 
-    sketched = store(reps.select("rep", "tokens").mapInArrow(cut, "rep long, sketch binary"))
+    sketched = store(reps.select("rep", "tokens").mapInArrow(lean(cut), "rep long, sketch binary"))
     paths = _split(reps, threshold, runs_for(recall, LEVELS))
     found = []
     for level in range(1, LEVELS + 1):
         paths = store(paths)
-        sizes = paths.groupBy("node").agg(F.count("*").alias("m"), F.min("rep").alias("pivot")).where("m > 1")
+        sizes = paths.groupBy("node").agg(F.count("*").alias("m"), F.min_by("rep", F.xxhash64("node", "rep")).alias("pivot")).where("m > 1")
         sizes = store(sizes)
         rows = paths.join(sizes, "node").join(sketched, "rep")
         small = rows.where(F.col("m") <= SMALL).repartition(width, "node")
@@ -229,7 +229,10 @@ def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def _pivot(rows: DataFrame, least: float) -> DataFrame:
-    """node, rep, pivot, linked: whether a class agrees with the least one of its node."""
+    """node, rep, pivot, linked: whether a class agrees with the one that a hash picks in its node.
+
+    Each node picks its own, so a pair that one pivot parts meets in other nodes, with or by another pivot.
+    """
 
     def compare(batches):
         for batch in batches:
@@ -240,7 +243,7 @@ def _pivot(rows: DataFrame, least: float) -> DataFrame:
                                   names=["node", "rep", "pivot", "linked"])
 
     return rows.select("node", "rep", "pivot", "tokens", "pivot_tokens").mapInArrow(
-        compare, "node long, rep long, pivot long, linked boolean")
+        lean(compare), "node long, rep long, pivot long, linked boolean")
 
 
 def _tiles(rows: DataFrame, least: float, width: int) -> DataFrame:
@@ -325,9 +328,9 @@ def verify(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
 
     texts = docs.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
     rows = members.join(texts, "rep").select("component", "rep", "copies", "text").mapInArrow(
-        sets, "component long, rep long, copies long, shingles binary")
+        lean(sets), "component long, rep long, copies long, shingles binary")
     return tile_rows(rows, "component", "rep", TILE).repartition(width, "component", "i", "j") \
-        .sortWithinPartitions("component", "i", "j").mapInArrow(compare, "rep long, other long, links long")
+        .sortWithinPartitions("component", "i", "j").mapInArrow(lean(compare), "rep long, other long, links long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

@@ -64,6 +64,30 @@ def test_equals_all_pairs(spark, monkeypatch):
         assert got == brute(rows)
 
 
+def off_centre(pairs, crowd, seed=5):
+    """A crowd around one class, and pairs of similar classes of which only one is near that class: tokens by id."""
+    r = np.random.default_rng(seed)
+
+    def like(sig, share):
+        return np.where(r.random(ngram_join.TOKENS) < share, sig, r.integers(0, 1 << 32, ngram_join.TOKENS)).astype(np.uint32)
+
+    centre = r.integers(0, 1 << 32, ngram_join.TOKENS).astype(np.uint32)
+    rows = [centre] + [like(centre, 0.92) for _ in range(crowd)]
+    for _ in range(pairs):
+        near = like(centre, 0.80)
+        rows += [near, like(near, 0.82)]
+    return rows
+
+
+def test_pairs_beside_a_crowd_meet(spark):
+    rows = off_centre(300, 400)
+    reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(rows)], "rep long, tokens binary").repartition(4)
+    group = {r.node: r.component for r in components(ngram_join.candidate_links(reps)).collect()}
+    alike = [(b, b + 1) for b in range(401, len(rows), 2) if (rows[b] == rows[b + 1]).mean() >= 0.8]
+    lost = [b for b, c in alike if group.get(b, b) != group.get(c, c)]
+    assert len(alike) > 150 and len(lost) <= 0.01 * len(alike)
+
+
 def test_one_of_each_and_empty(spark):
     rows = sample(3, 4, 5)
     docs = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, lang string")
