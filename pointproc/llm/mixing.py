@@ -123,13 +123,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: each document's row as often as it is taken, all columns kept.
 
-    Documents of no words weigh nothing; they come once for each full pass and so do
-    not change any source's words.
+    Documents of no words weigh nothing; they come once for each pass that takes them, at most
+    `most` times, and so do not change any source's words.
     """
     rows = store(sized(docs))
     plan = thresholds(rows, store(source_targets(rows, weights, most)), most)
     d = docs.withColumn("_mix_draw", draw("doc_id"))
-    times = F.col("s.full") + (F.col("d._mix_draw") < F.col("s.cut")).cast("long")
+    times = F.least(F.col("s.full") + (F.col("d._mix_draw") < F.col("s.cut")).cast("long"), F.lit(most).cast("long"))
     out = d.alias("d").join(plan.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     return out.where(times > 0).select(
         *[F.col(f"d.`{c}`") for c in docs.columns],

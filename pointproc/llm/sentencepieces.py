@@ -23,14 +23,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from pointproc.llm.common import pieces
+from pointproc.llm.common import lean, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Distinct words that a task remembers before it starts anew.
-REMEMBER = 400_000
+#: Distinct words, and characters of them, that a task remembers before it starts anew.
+REMEMBER, REMEMBER_CHARS = 200_000, 4 << 20
 #: Texts are encoded about so many bytes at a time.
-STEP = 2 << 20
+STEP = 1 << 20
 
 
 class Vocabulary:
@@ -115,6 +115,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.start, self.length, self.flat = (np.empty(0, np.int64) for _ in range(3))
 
     def places(self, words: list[str]) -> np.ndarray:
@@ -127,13 +128,14 @@ class Encoder:
             self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int64, int(length.sum()))])
             n = len(self.place)
             self.place.update(zip(new, range(n, n + len(new))))
+            self.chars += sum(map(len, new))
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def encode(self, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """Rows lo..hi: ids of all rows in a line, where each row's begin, and whether decoding gives the row's bytes."""
         text = text.cast(pa.large_string())
         for lo, hi, b in pieces(text, STEP):
-            if len(self.place) > REMEMBER:
+            if len(self.place) > REMEMBER or self.chars > REMEMBER_CHARS:
                 self.clear()
             part = text.slice(lo, hi - lo).fill_null("")
             split = pc.split_pattern(part, " ")
@@ -185,7 +187,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                                                   mask=pa.array(none) if none.any() else None)
                 yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), column], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
@@ -199,11 +201,14 @@ def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
                      for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(lean(run), f"doc_id {kind}, text string")
 
 
 def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids as 4-byte numbers, low byte first), round_trip (decoding gives the text)."""
+    """doc_id, n_tokens, ids_sha256 (of the ids as 4-byte numbers, low byte first), round_trip (decoding gives the text).
+
+    A missing text counts as an empty one here.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -215,4 +220,4 @@ def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(begin)), pa.array(sha), pa.array(good)],
                                       names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean")
