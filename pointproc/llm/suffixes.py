@@ -21,13 +21,16 @@ windows lead with equal tokens, and one token leads about fourteen windows in a
    edges included: each bucket tells its last string and the least id that has it,
    a row per bucket, and the next one's first rows are compared with that.
 
-Rows without an id are left alone and compared with nothing; missing text is empty;
-rows with equal ids are taken as repeats of one document and never remove from each other.
+Rows without an id are left alone and compared with nothing; missing text is empty.
+Rows with equal ids never remove from each other, and each loses its own spans: where ids
+repeat, a row's places start at a number of its text's own (`base`), so rows of one id are
+told apart by a checksum of 31 bits. Where none repeats, all places start at 0.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,12 +157,21 @@ def binary(m: np.ndarray) -> pa.Array:
                                                   pa.py_buffer(np.ascontiguousarray(m).tobytes())])
 
 
-def token_suffixes(docs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """key, doc_id, pos: a row for each place of a shared token, pos being its first window."""
+def text_number(raw: bytes) -> int:
+    """What tells rows of one id apart, from 1 to 2 ** 31."""
+    return (zlib.crc32(raw) & 0x7FFFFFFF) + 1
+
+
+def token_suffixes(docs: DataFrame, tokens: DataFrame, repeated: bool = False) -> DataFrame:
+    """key, doc_id, pos: a row for each place of a shared token, pos being its first window.
+
+    With `repeated` ids, pos is counted from the text's number times 2 ** 31.
+    """
 
     def rows(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
+            base = np.array([text_number(t.encode()) << 31 for t in batch.column("text").to_pylist()] if repeated else [0] * len(ids), np.int64)
             known = batch.column("known")
             for lo, hi, b in pieces(batch.column("text"), 1 << 20):
                 place, first, last, h = leading(b)
@@ -176,7 +188,7 @@ def token_suffixes(docs: DataFrame, tokens: DataFrame) -> DataFrame:
                 key[:, GRAM + 2:GRAM + 2 + SIDE] = take(b.data, place - SIDE, SIDE) * (side >= SIDE - before[:, None])
                 key[:, GRAM + 2 + SIDE:GRAM + 2 + 2 * SIDE] = take(b.data, place + GRAM, SIDE) * (side < behind[:, None])
                 yield pa.record_batch([binary(key), pa.array(ids[lo:hi][row], pa.int64()),
-                                       pa.array(first - b.offsets[row])], names=["key", "doc_id", "pos"])
+                                       pa.array(first - b.offsets[row] + base[lo:hi][row])], names=["key", "doc_id", "pos"])
 
     known = tokens.withColumnRenamed("hashes", "known")
     return docs.join(known, "doc_id").select("doc_id", "text", "known").mapInArrow(lean(rows), "key binary, doc_id long, pos long")
@@ -334,13 +346,17 @@ def sort_windows(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (array of start, end in bytes, maximal and ascending) of documents that lose bytes."""
+    """doc_id, text_no, spans (array of start, end in bytes, maximal and ascending) of rows that lose bytes.
+
+    text_no is 0, or, where ids repeat, the `text_number` of the row that loses them.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    repeated = not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     size = text_bytes(docs)
     n = buckets(spark, size, RANGE)
     tokens = store(shared_tokens(docs, size))
-    first = store(sort_tokens(token_suffixes(docs, tokens), n))
+    first = store(sort_tokens(token_suffixes(docs, tokens, repeated), n))
     discard(tokens)
     second, table = sort_windows(windows(first.where("key IS NOT NULL")), n)
     spans = first.where("key IS NULL").select("doc_id", "pos", "end").unionAll(
@@ -350,17 +366,19 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.column("all").to_pylist():
-                a = np.array([(x["pos"], x["end"]) for x in row], np.int64)
+                a = np.array([(x["pos"], x["end"]) for x in row], np.int64) & 0x7FFFFFFF
                 a = a[np.argsort(a[:, 0], kind="stable")]
                 reach = np.maximum.accumulate(a[:, 1])
                 new = np.append(True, a[1:, 0] > reach[:-1])
                 out.append([{"start": s, "end": e} for s, e in
                             zip(a[new, 0].tolist(), reach[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)].tolist())])
-            yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                                  names=["doc_id", "spans"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_no"),
+                                   pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                                  names=["doc_id", "text_no", "spans"])
 
-    out = store(spans.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "end")).alias("all")).mapInArrow(
-        lean(merge), "doc_id long, spans array<struct<start:long,end:long>>"))
+    text_no = F.shiftright("pos", 31).alias("text_no")
+    out = store(spans.groupBy("doc_id", text_no).agg(F.collect_list(F.struct("pos", "end")).alias("all")).mapInArrow(
+        lean(merge), "doc_id long, text_no long, spans array<struct<start:long,end:long>>"))
     discard(first, table)
     return out
 
@@ -373,6 +391,14 @@ def kept_bytes(text: str | None, spans: list[dict] | None) -> bytes:
     return b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2]))
 
 
+def with_spans(docs: DataFrame, spans: DataFrame, columns: list[str], own: str) -> DataFrame:
+    """The named columns of all rows and, as `own`, the spans of the row (NULL if it loses nothing)."""
+    d, s = docs.alias("d"), spans.select("doc_id", "text_no", F.col("spans").alias(own)).alias("s")
+    number = F.crc32(F.encode(F.col("d.text"), "UTF-8")).bitwiseAND(F.lit(0x7FFFFFFF)) + 1  # as `text_number`
+    mine = (F.col("d.doc_id") == F.col("s.doc_id")) & ((F.col("s.text_no") == 0) | (F.col("s.text_no") == number))
+    return d.join(s, mine, "left").select(*[F.col(f"d.`{c}`") for c in columns], f"s.{own}")
+
+
 def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -388,7 +414,7 @@ def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()])]],
                                   names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(
+    return with_spans(docs.select("doc_id", "text"), spans, ["doc_id", "text"], "spans").mapInArrow(
         lean(digest), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -405,6 +431,4 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     for t, s in zip(batch.column("text").to_pylist(), batch.column(own).to_pylist())]
             yield pa.record_batch([pa.array(text, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
-    d, s = docs.alias("d"), spans.select("doc_id", F.col("spans").alias(own)).alias("s")
-    joined = d.join(s, F.col("d.doc_id") == F.col("s.doc_id"), "left").select(*[F.col(f"d.`{c}`") for c in names], f"s.{own}")
-    return joined.mapInArrow(lean(cut), docs.schema)
+    return with_spans(docs, spans, names, own).mapInArrow(lean(cut), docs.schema)

@@ -88,3 +88,18 @@ def test_cut_texts_keep_columns_of_any_name(spark):
     spans = suffixes.removed_spans(docs)
     got = sorted(tuple(r) for r in suffixes.without_spans(docs, spans).collect())
     assert got == [(1, same, "x", 1), (2, "b ", "y", 2), (3, None, "z", 3)]
+
+
+def test_rows_of_one_id_lose_their_own_bytes(spark):
+    """Also with a text that several rows have, and one repeated inside one id only."""
+    r = random.Random(9)
+    a, b, c = ("".join(r.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    rows = [(1, a), (5, a + "tail"), (5, b), (5, b), (5, None), (5, ""), (6, c + b[:90]), (6, a[100:200] + c), (7, c[40:140]), (-3, "é" + c[:60])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = suffixes.removed_spans(docs)
+    got = {}
+    for x in suffixes.digests(docs, spans).collect():
+        got.setdefault(x.doc_id, set()).add((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256))
+    assert got == brute(rows)
+    cut = [tuple(x) for x in suffixes.without_spans(docs, spans).collect()]
+    assert len(cut) == len(rows) and cut.count((5, b)) == 2 and (5, "tail") in cut and (5, a + "tail") not in cut
