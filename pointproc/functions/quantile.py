@@ -7,7 +7,7 @@ Two forms. ``array_percentile`` is an expression over a sorted array, for groups
 of proven small size (the edges of one 60-electrode graph, the replicates of one
 bootstrap). ``percentile_mid`` and ``cumulative`` work on groups of any size:
 equal values are merged before the first shuffle, the distinct values of a group
-are spread over magnitude buckets, which are cut by their own range where many
+are spread over magnitude buckets, which are cut at sketched quantiles where many
 values lie close together, and only bucket totals are scanned per group.
 """
 
@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STEPS = 1024  # buckets per factor of two
-_FILL = 4096   # distinct values a bucket is cut to hold
+_FILL = 4096   # distinct values beyond which a bucket is cut
+_CUTS = 256    # cuts of such a bucket, a power of two
 
 
 def _magnitude_bucket(v: Column) -> Column:
@@ -32,6 +33,25 @@ def _magnitude_bucket(v: Column) -> Column:
     return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, level).otherwise(-level)
 
 
+def _splitters(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, _splits: ``_CUTS`` - 1 ascending values that share out each group of more than ``_FILL`` rows.
+
+    They come from a mergeable quantile sketch and only place cuts, so its error moves
+    no result. Groups are counted first: the many small ones get no sketch.
+    """
+    full = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > _FILL).drop("_rows")
+    shares = F.array(*[F.lit(k / _CUTS) for k in range(1, _CUTS)])
+    return values.select(*keys, value).join(full, list(keys)).groupBy(*keys).agg(
+        F.percentile_approx(value, shares, 10 * _CUTS).alias("_splits"))
+
+
+def _place(splits: Column, v: Column) -> Column:
+    """How many of the splitters are at most ``v``, by bisection."""
+    steps = F.array(*[F.lit(_CUTS >> k) for k in range(1, _CUTS.bit_length())])
+    return F.when(splits.isNotNull(), F.aggregate(
+        steps, F.lit(0), lambda at, step: at + F.when(F.get(splits, at + step - 1) <= v, step).otherwise(0)))
+
+
 def cumulative(df: DataFrame, keys: Sequence[str], value: str,
                sums: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per (keys, distinct value) with ``cnt``, ``below`` and ``total``.
@@ -50,13 +70,8 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str,
         .withColumn(value, F.col(value) + F.lit(0.0))
         .withColumn("_bucket", _magnitude_bucket(F.col(value)))
     )
-    spans = merged.groupBy(*coarse).agg(F.min(value).alias("_min"), F.max(value).alias("_max"),
-                                        F.ceil(F.count(F.lit(1)) / _FILL).alias("_cuts"))
-    span = F.col("_max") - F.col("_min")
-    at = F.floor((F.col(value) - F.col("_min")) / span * F.col("_cuts"))
-    vals = merged.join(spans, coarse).withColumn(
-        "_cut", F.when((F.col("_cuts") > 1) & (span > 0) & (span < float("inf")), F.least(at, F.col("_cuts") - 1)).otherwise(0)
-    ).drop("_min", "_max", "_cuts")
+    vals = merged.join(_splitters(merged, coarse, value), coarse, "left").withColumn(
+        "_cut", F.coalesce(_place(F.col("_splits"), F.col(value)), F.lit(0))).drop("_splits")
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     past = group.orderBy("_bucket", "_cut").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (

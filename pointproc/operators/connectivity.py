@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointproc.functions.quantile import array_percentile, percentile_mid, small_percentile
+from pointproc.functions.quantile import percentile_mid, small_percentile
 from pointproc.operators.bandjoin import band_join, point_in_intervals
 from pointproc.operators.trains import TRAIN, bin_counts, bin_moments, cover_intervals, coverage, inferred_duration
 from pointproc.session import wide
@@ -223,16 +223,18 @@ def density_thresholds(edges: DataFrame, densities: Sequence[float], keys: Seque
                        explicit: float | None = None) -> DataFrame:
     """Weight threshold per graph and density; an explicit threshold wins.
 
-    A graph has at most 1,770 weights, so the array percentile is in bounds.
+    The order statistics of all densities are selected in one pass over the weights of
+    graphs of any size; a graph without known weights gets 0.
     """
-    weights = edges.groupBy(*keys).agg(F.collect_list("w").alias("_w"))
-    # threshold of an edgeless graph is 0
+    keys = list(keys)
+    graphs = edges.select(*keys).distinct()
+    if explicit is None:
+        graphs = graphs.join(percentile_mid(edges, keys, "w", {f"_t{k}": 100 * (1 - d) for k, d in enumerate(densities)}), keys, "left")
     picks = F.array(*[
         F.struct(F.lit(float(d)).alias("density"),
-                 (F.lit(float(explicit)) if explicit is not None else
-                  F.coalesce(array_percentile(F.col("_w"), 100 * (1 - d)), F.lit(0.0))).alias("threshold"))
-        for d in densities])
-    return weights.select(*keys, F.inline(picks))
+                 (F.lit(float(explicit)) if explicit is not None else F.coalesce(f"_t{k}", F.lit(0.0))).alias("threshold"))
+        for k, d in enumerate(densities)])
+    return graphs.select(*keys, F.inline(picks))
 
 
 def median_thresholds(edges: DataFrame, keys: Sequence[str] = ("recording_id",)) -> DataFrame:
@@ -249,9 +251,9 @@ def display_edges(edges: DataFrame, mode: str = "weight", pct: float = 20.0,
         raise ValueError("mode must be weight or delta")
     w = F.col("w") if mode == "weight" else F.abs(F.col("w"))
     if threshold is None:
-        cuts = edges.groupBy(*keys).agg(
-            F.coalesce(small_percentile(w, 100 - pct), F.lit(0.0)).alias("threshold"))
-        rows = edges.join(cuts, list(keys))
+        keys = list(keys)
+        cuts = percentile_mid(edges.select(*keys, w.alias("w")), keys, "w", {"threshold": 100 - pct}).drop("n")
+        rows = edges.join(cuts, keys, "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
     else:
         rows = edges.withColumn("threshold", F.lit(float(threshold)))
     shown = F.coalesce(w, F.lit(0.0))
@@ -323,7 +325,7 @@ def on_grid(values: DataFrame, value: str, keys: Sequence[str] = ("recording_id"
 def node_metrics(edges: DataFrame, channels: DataFrame, pct: float = 20.0) -> DataFrame:
     """Degree per channel above the display threshold (missing weights count as 0)."""
     filled = edges.withColumn("w", F.coalesce("w", F.lit(0.0)))
-    cuts = filled.groupBy("recording_id").agg(small_percentile(F.col("w"), 100 - pct).alias("threshold"))
+    cuts = percentile_mid(filled, ["recording_id"], "w", {"threshold": 100 - pct}).drop("n")
     strong = filled.join(cuts, "recording_id").filter("w > threshold")
     deg = symmetric(strong).groupBy("recording_id", "channel").agg(F.count(F.lit(1)).alias("degree"))
     return channels.select("recording_id", "channel").join(deg, TRAIN, "left").withColumn(

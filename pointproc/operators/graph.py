@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from hashlib import md5
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -86,47 +87,76 @@ def clustering(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataF
 def hop_distances(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All-pairs hop counts between different connected nodes: keys, source, node, d.
 
-    One frontier round serves every source of every graph; the rounds stop when no
-    frontier is left, that is after the largest diameter.
+    A bit-parallel search: a row (node, block) holds one bit for each of the 64
+    sources whose number lies in the block, so a hop moves words, not pairs, and
+    what is new is a word with the bits known before taken out. All graphs advance
+    in one round; the rounds stop after the largest diameter. A node's words number
+    as many as there are blocks with sources; pairs are only listed in the result.
     """
     keys = list(keys)
     step = cut_lineage(both_ways(edges, keys))
     onward = step.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next"))
-    frontier = step.select(*keys, F.col("src").alias("source"), F.col("dst").alias("node"), F.lit(1).alias("d"))
-    seen = frontier
-    d = 1
+    word = F.expr("shiftleft(1L, CAST(pmod(node, 64) AS INT))")
+    none = F.lit(0).cast("bigint")
+    state = step.select(*keys, F.col("src").alias("node")).distinct().select(
+        *keys, "node", F.shiftright(F.col("node").cast("bigint"), 6).alias("block"), word.alias("seen"), word.alias("fresh"))
+    levels, d = [], 0
     while True:
         d += 1
-        reached = (frontier.join(onward, [*keys, "node"]).filter("source != next")
-                   .select(*keys, "source", F.col("next").alias("node")).distinct())
-        frontier = cut_lineage(
-            reached.join(seen.select(*keys, "source", "node"), [*keys, "source", "node"], "left_anti")
-            .withColumn("d", F.lit(d)))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+        sent = state.filter("fresh <> 0").join(onward, [*keys, "node"]).select(
+            *keys, F.col("next").alias("node"), "block", none.alias("seen"), F.col("fresh").alias("heard"))
+        heard = state.select(*keys, "node", "block", "seen", none.alias("heard")).unionAll(sent).groupBy(
+            *keys, "node", "block").agg(F.bit_or("seen").alias("seen"), F.bit_or("heard").alias("heard"))
+        state = cut_lineage(heard.select(*keys, "node", "block", F.col("seen").bitwiseOR(F.col("heard")).alias("seen"),
+                                         F.col("heard").bitwiseAND(F.bitwise_not("seen")).alias("fresh")))
+        level = state.filter("fresh <> 0")
+        if levels and level.isEmpty():
+            break
+        levels.append(level.select(*keys, "node", "block", "fresh", F.lit(d).alias("d")))
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionAll(level)
+    kind = edges.schema["src"].dataType
+    bits = F.expr("explode(filter(sequence(0, 63), b -> shiftright(fresh, b) & 1L = 1L))")
+    return found.select(*keys, "block", bits.alias("bit"), "node", "d").select(
+        *keys, (F.col("block") * 64 + F.col("bit")).cast(kind).alias("source"), F.col("node").cast(edges.schema["dst"].dataType).alias("node"), "d")
+
+
+#: Ways in which the links of one node are split, so that a node of very many is not met by one task.
+SPLIT = 64
+
+
+def _least_linked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, a, b) with m, the least b of their a. A hot a is met by ``SPLIT`` tasks, in the join too."""
+    cells = rows.withColumn("_cell", F.pmod(F.xxhash64("b"), F.lit(SPLIT)))
+    part = cells.groupBy(*keys, "a", "_cell").agg(F.min("b").alias("m"))
+    whole = part.groupBy(*keys, "a").agg(F.min("m").alias("m"))
+    told = part.drop("m").join(whole, [*keys, "a"])  # at most SPLIT rows for a node
+    return cells.join(told, [*keys, "a", "_cell"]).drop("_cell")
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Connected components: keys, node, component (its lowest node).
 
-    Every round a node takes the least label around it and then the label of that
-    label, so labels travel twice as far each round.
+    Alternating large and small stars: links run from a node to a lower one; a node
+    first hands its higher neighbours to its least one, then its lower ones. Rounds
+    end when one changes no link. Nodes without links are their own component.
     """
     keys = list(keys)
-    step = cut_lineage(both_ways(edges, keys))
-    label = nodes.select(*keys, "node", F.col("node").alias("component"))
-    while True:
-        heard = step.join(label.select(*keys, F.col("node").alias("dst"), "component"), [*keys, "dst"]).groupBy(
-            *keys, F.col("src").alias("node")).agg(F.min("component").alias("heard"))
-        near = label.join(heard, [*keys, "node"], "left").select(
-            *keys, "node", F.col("component").alias("old"), F.least("component", "heard").alias("near"))
-        far = near.select(*keys, F.col("node").alias("near"), F.col("near").alias("far"))
-        now = cut_lineage(near.join(far, [*keys, "near"]).select(
-            *keys, "node", F.least("near", "far").alias("component"), "old"))
-        label = now.drop("old")
-        if now.filter("component != old").isEmpty():
-            return label
+    links = cut_lineage(edges.filter("src <> dst").select(
+        *keys, F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    mark = F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))
+    before, now = None, links.agg(F.count(F.lit(1)), mark).first()
+    while now != before and now[0]:
+        both = links.unionAll(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+        large = _least_linked(both, keys).filter("b > a").select(
+            *keys, F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = _least_linked(large, keys).select(
+            *keys, F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
+        links = cut_lineage(small.distinct())
+        before, now = now, links.agg(F.count(F.lit(1)), mark).first()
+    found = links.select(*keys, F.col("a").alias("node"), F.col("b").alias("component"))
+    return nodes.select(*keys, "node").join(found, [*keys, "node"], "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def numbered_components(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -166,8 +196,8 @@ def path_metrics(nodes: DataFrame, distances: DataFrame, keys: Sequence[str]) ->
 def graph_rows(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per graph: keys, node, src, dst as arrays.
 
-    A graph is one electrode array: 60 nodes and at most 1,770 edges, whatever the
-    amount of data. Its metrics need its n * n adjacency in memory, for any numbering.
+    A graph is one electrode array, whatever the amount of data; its metrics take
+    memory in proportion to its nodes and edges, for any numbering.
     """
     keys = list(keys)
     n = nodes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("node").cast("bigint"))).alias("node"))
@@ -177,29 +207,52 @@ def graph_rows(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def _shape(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[float, float | None, float | None]:
-    """Mean clustering, path length in the largest component and global efficiency of nodes 0..n-1."""
-    a = np.zeros((n, n), np.float32)
-    a[src, dst] = a[dst, src] = 1
-    k = a.sum(1).astype(float)
-    links = ((a @ a) * a).sum(1).astype(float)
+    """Mean clustering, path length in the largest component and global efficiency of nodes 0..n-1.
+
+    A word of 64 sources at a time, one word a node: memory goes with nodes and edges. A
+    node's bits after the first hop are its neighbours among the sources, so two
+    ends of an edge count their common neighbours by AND and popcount.
+    """
+    if not len(src):
+        return 0.0, None, 0.0 if n >= 2 else None
+    tail, head = np.concatenate([src, dst]), np.concatenate([dst, src])
+    order = np.argsort(tail, kind="stable")
+    tail, head = tail[order], head[order]
+    at = np.flatnonzero(np.append(True, tail[1:] != tail[:-1]))
+    linked = tail[at]
+    k = np.bincount(tail, minlength=n).astype(float)
+    common, sum_d, n_d = np.zeros(len(tail), np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    label, reached = np.full(n, -1), []
+    for first in range(0, n, 64):
+        own = np.arange(first, min(first + 64, n))
+        seen = np.zeros(n, np.uint64)
+        seen[own] = np.uint64(1) << (own - first).astype(np.uint64)
+        front, d = seen.copy(), 0
+        while True:
+            d += 1
+            heard = np.zeros(n, np.uint64)
+            heard[linked] = np.bitwise_or.reduceat(front[head], at)
+            if d == 1:
+                common += np.bitwise_count(heard[tail] & heard[head])
+            front = heard & ~seen
+            count = np.bitwise_count(front).astype(np.int64)
+            total = int(count.sum())
+            if not total:
+                break
+            seen |= front
+            sum_d += d * count
+            n_d += count
+            if d > len(reached):
+                reached.append(0)
+            reached[d - 1] += total
+        here = (label < 0) & (seen != 0)
+        label[here] = first + np.bitwise_count((seen[here] & -seen[here]) - np.uint64(1)).astype(np.int64)
+    links = np.bincount(tail, common, minlength=n)
     local = np.where(k >= 2, links / np.maximum(k * (k - 1), 1), 0.0)
-    seen, front, d = np.eye(n, dtype=bool), np.eye(n, dtype=np.float32), 0
-    hops = np.zeros((n, n))
-    while True:
-        d += 1
-        fresh = (front @ a > 0) & ~seen
-        if not fresh.any():
-            break
-        hops[fresh] = d
-        seen |= fresh
-        front = fresh.astype(np.float32)
-    label = seen.argmax(1)
-    size = np.bincount(label, minlength=n)
-    big = label == size.argmax()
-    pairs = int((hops[big] > 0).sum())
-    path = hops[big].sum() / pairs if pairs else None
-    far = hops[hops > 0]
-    return float(local.mean()), path, float((1 / far).sum()) / (n * (n - 1)) if n >= 2 else None
+    big = label == np.bincount(label, minlength=n).argmax()
+    pairs = int(n_d[big].sum())
+    inverse = float((np.array(reached) / np.arange(1, len(reached) + 1)).sum())
+    return float(local.mean()), int(sum_d[big].sum()) / pairs if pairs else None, inverse / (n * (n - 1)) if n >= 2 else None
 
 
 def _placed(node: list[int], src: list[int], dst: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -246,25 +299,48 @@ def modularity(nodes: DataFrame, edges: DataFrame, labels: DataFrame, keys: Sequ
 
 
 def _merge_communities(src: np.ndarray, dst: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Greedy merging of one graph; returns each node's community (its lowest node)."""
-    n, pos = len(node), {v: p for p, v in enumerate(node)}
-    a = np.zeros((n, n))
-    for s, d in zip(src, dst):
-        a[pos[s], pos[d]] = a[pos[d], pos[s]] = 1.0
-    m, k = a.sum() / 2, a.sum(1)
-    owner = np.arange(n)
-    upper = np.triu(np.ones((n, n), bool), 1)
-    while m > 0:
-        gain = np.where(upper, np.round(a / m - np.outer(k, k) / (2 * m * m), 12), -1.0)
-        p, q = np.unravel_index(np.argmax(gain), gain.shape)
-        if gain[p, q] <= 0:
-            break
-        a[p] += a[q]
-        a[:, p] += a[:, q]
+    """Greedy merging of one graph; returns each node's community (its lowest node).
+
+    Only linked communities can gain, so links between communities are kept as one
+    dictionary a community and the gains in a heap whose outdated entries are passed
+    over. Equal gains (to 1e-12) go to the pair of lowest places.
+    """
+    n = len(node)
+    links: list[dict[int, float]] = [{} for _ in range(n)]
+    for s, d in zip(np.searchsorted(node, src).tolist(), np.searchsorted(node, dst).tolist()):
+        links[s][d] = links[d][s] = 1.0
+    k = [float(len(x)) for x in links]
+    m = sum(k) / 2
+    owner, version, heap = list(range(n)), [0] * n, []
+
+    def offer(p: int, q: int) -> None:
+        gain = np.rint((links[p][q] / m - k[p] * k[q] / (2 * m * m)) * 1e12)
+        if gain > 0:
+            p, q = min(p, q), max(p, q)
+            heappush(heap, (-gain, p, q, version[p], version[q]))
+
+    for p in range(n):
+        for q in links[p]:
+            if p < q:
+                offer(p, q)
+    while heap:
+        _, p, q, at_p, at_q = heappop(heap)
+        if version[p] != at_p or version[q] != at_q:
+            continue
+        del links[p][q]
+        for x, w in links[q].items():
+            if x != p:
+                links[p][x] = links[x][p] = links[p].get(x, 0.0) + w
+                del links[x][q]
+        links[q] = {}
         k[p] += k[q]
-        k[q] = 0
-        a[q] = a[:, q] = 0
-        owner[owner == q] = p
+        version[p] += 1
+        version[q] += 1
+        owner[q] = p
+        for x in links[p]:
+            offer(p, x)
+    for v in range(n):  # an owner is lower than what it took, so it is settled already
+        owner[v] = owner[owner[v]]
     return node[owner]
 
 
@@ -272,8 +348,8 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame, keys: Sequence[str])
     """Greedy modularity merging: keys, node, community.
 
     Merge by merge and order-dependent within a graph, so no set operation speeds it
-    up; across graphs it is one grouped map. A group is one electrode array, 60 nodes
-    and at most 1,770 edges, whatever the amount of data.
+    up; across graphs it is one grouped map. A group is one electrode array, whatever
+    the amount of data, and takes memory in proportion to its nodes and edges.
     """
     keys = list(keys)
     rows = nodes.select(*keys, F.col("node").alias("a"), F.lit(None).cast("int").alias("b")).unionByName(

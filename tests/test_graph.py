@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -145,3 +146,46 @@ def test_rows_agree_with_joins(build):
         assert (m["path_length"] is None) == (paths[name]["path_length"] is None)
         if m["path_length"] is not None:
             assert m["path_length"] == pytest.approx(paths[name]["path_length"])
+
+
+def test_a_star_and_a_chain_are_components(build, spark):
+    n = 20_000
+    nodes = spark.range(1, 2 * n + 4).select(g.F.lit("g").alias("gid"), g.F.col("id").cast("int").alias("node"))
+    star = spark.range(2, n + 1).select(g.F.lit("g").alias("gid"), g.F.lit(1).alias("src"), g.F.col("id").cast("int").alias("dst"))
+    chain = spark.range(n + 1, n + 200).select(g.F.lit("g").alias("gid"), g.F.col("id").cast("int").alias("src"), (g.F.col("id") + 1).cast("int").alias("dst"))
+    labels = g.components(nodes, star.unionAll(chain), K)
+    sizes = {r["component"]: r["count"] for r in labels.groupBy("component").count().collect()}
+    assert sizes.pop(1) == n and sizes.pop(n + 1) == 200
+    assert len(sizes) == n - 197 and set(sizes.values()) == {1}
+    assert labels.count() == 2 * n + 3
+    # the hub's links are met in shares of about equal size
+    met = star.select("gid", g.F.col("src").alias("a"), g.F.col("dst").alias("b"))
+    shares = [r["count"] for r in met.groupBy(g.F.pmod(g.F.xxhash64("b"), g.F.lit(g.SPLIT))).count().collect()]
+    assert len(shares) == g.SPLIT and max(shares) < 3 * sorted(shares)[len(shares) // 2]
+    assert g._least_linked(met, K).filter("m <> 2").isEmpty() and g._least_linked(met, K).count() == n - 1
+
+
+def test_hops_with_any_node_numbers(spark):
+    rows = [("x", -70, 5), ("x", 5, 1000), ("x", 64, 1000), ("y", 63, 64)]
+    edges = spark.createDataFrame(rows, "gid string, src int, dst int")
+    got = {(r["gid"], r["source"], r["node"]): r["d"] for r in g.hop_distances(edges, K).collect()}
+    path = [-70, 5, 1000, 64]
+    want = {("x", a, b): abs(i - j) for i, a in enumerate(path) for j, b in enumerate(path) if i != j}
+    assert got == {**want, ("y", 63, 64): 1, ("y", 64, 63): 1}
+    assert g.hop_distances(edges.limit(0), K).count() == 0
+
+
+def test_large_graphs_take_memory_by_their_edges():
+    n, rnd = 5000, random.Random(3)
+    pairs = {tuple(sorted(rnd.sample(range(n), 2))) for _ in range(4 * n)}
+    src, dst = np.array(sorted(pairs)).T
+    tracemalloc.start()
+    found = g._merge_communities(src, dst, np.arange(n))
+    merging = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    clustering, path, efficiency = g._shape(n, src, dst)
+    shape = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert merging < 60e6 and shape < 60e6  # a matrix of doubles has 200e6 bytes
+    assert 2 < len(set(found.tolist())) < n / 10 and (found <= np.arange(n)).all()
+    assert 0 < clustering < 0.01 and 3 < path < 6 and 0.1 < efficiency < 0.5

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pointproc.functions import quantile
 from pointproc.functions.quantile import array_percentile, cumulative, percentile_mid
 
 
@@ -63,3 +64,15 @@ def test_close_values_spread_over_buckets(spark):
     got = cumulative(df, [], "y")
     assert got.filter("below != (y - 1.7e15) / 7 OR total != 20000 OR cnt != 1").isEmpty() and got.count() == 20_000
     assert percentile_mid(df, [], "y", {"m": 50}).first()["m"] == start + 9999.5 * 7
+
+
+def test_close_values_beside_an_outlier_are_cut_evenly(spark):
+    near = spark.range(200_000).select((F.lit(1.7e15) + F.col("id")).alias("y"))
+    df = near.unionAll(spark.createDataFrame([(1.7e15 + 1e12,)], "y double")).withColumn("_bucket", F.lit(1))
+    cuts = df.join(quantile._splitters(df, ["_bucket"], "y"), "_bucket").groupBy(quantile._place(F.col("_splits"), F.col("y")).alias("cut"))
+    sizes = sorted(r["count"] for r in cuts.count().collect())
+    assert len(sizes) == quantile._CUTS and sizes[-1] < 3 * sizes[len(sizes) // 2]
+    got = percentile_mid(df, [], "y", {"a": 0, "b": 50, "c": 100}).first()
+    assert (got["a"], got["b"], got["c"]) == (1.7e15, 1.7e15 + 100_000, 1.7e15 + 1e12)
+    ranked = cumulative(df, [], "y")
+    assert ranked.count() == 200_001 and ranked.filter("y < 1.7e15 + 1e11 AND below <> y - 1.7e15").isEmpty()
