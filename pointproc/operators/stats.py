@@ -100,14 +100,15 @@ def signed_rank(obs: DataFrame, keys: Sequence[str], method: str = "exact") -> D
     agg = r.groupBy(*keys).agg(
         F.max(total).alias("n_nonzero"), F.sum(rank * F.col("up")).alias("w_plus"),
         F.sum(rank * (cnt - F.col("up"))).alias("w_minus"),
-        F.sum(cnt * cnt * cnt - cnt).alias("ties"),
+        F.sum(_cube(cnt) - cnt).alias("ties"),
         (ranks if method == "exact" else F.expr("array()")).alias("ranks"))
     w_p, w_m, n = F.col("w_plus"), F.col("w_minus"), F.col("n_nonzero")
     if method == "exact":
         p = _exact_p(F.transform("ranks", lambda x: x["r2"]), F.transform("ranks", lambda x: x["cnt"]), w_p)
     else:
-        var = (n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24
-        p = F.least(_normal_tails((n * (n + 1) / 4 - F.least(w_p, w_m)) / F.sqrt(var)), F.lit(1.0))
+        m = n.cast("double")
+        var = (m * (m + 1) * (2 * m + 1) - F.col("ties") / 2) / 24
+        p = F.least(_normal_tails((m * (m + 1) / 4 - F.least(w_p, w_m)) / F.sqrt(var)), F.lit(1.0))
     scored = agg.select(*keys, n, w_p.alias("w"), F.when(w_p + w_m > 0, (w_p - w_m) / (w_p + w_m)).alias("r_rank_biserial"),
                         p.alias("p_wilcoxon"))
     sizes = _endpoints(obs, keys).join(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "left")
@@ -117,6 +118,11 @@ def signed_rank(obs: DataFrame, keys: Sequence[str], method: str = "exact") -> D
         "r_rank_biserial", F.when(flat, 1.0).otherwise(F.col("p_wilcoxon")).alias("p_wilcoxon"))
 
 
+def _cube(n: Column) -> Column:
+    """The cube of a count as a double: as BIGINT it ends at 2,097,151."""
+    return n.cast("double") * n * n
+
+
 def _endpoints(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every endpoint there is an observation of, complete or not."""
     return obs.select(*keys).distinct()

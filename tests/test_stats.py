@@ -146,3 +146,13 @@ def test_safe_percent_rules(spark):
 def test_combinations_by_number(spark, n, k):
     got = spark.range(math.comb(n, k)).select(st._combination(F.col("id"), n, k).alias("m")).collect()
     assert [tuple(r["m"]) for r in got] == list(itertools.combinations(range(n), k))
+
+
+def test_normal_signed_rank_of_millions(spark):
+    # a count of differences, and of equal ones, whose cube is beyond BIGINT
+    n, up = 5_000_000, 2_502_000
+    rows = spark.range(n).select(F.lit("e").alias("e"), F.lit(0.0).alias("b"), F.when(F.col("id") < up, 1.0).otherwise(-1.0).alias("t"))
+    got = st.signed_rank(rows, ["e"], "approximate").first()
+    z = (2 * up - n) / math.sqrt(n)
+    assert got["n_nonzero"] == n and got["w"] == up * (n + 1) / 2
+    assert got["p_wilcoxon"] == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-6)
