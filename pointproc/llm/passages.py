@@ -10,17 +10,19 @@ five-word shingles have a Jaccard similarity of at least `THRESHOLD`.
    the runs of window minima give exactly the compact windows needed, without
    building the rest of the tree.
 2. Interval join: runs of one function with one value group windows that share a
-   signature. Within a piece of text a value's runs join all runs of its first document,
-   and pieces' first documents join the least one over all. Links are kept by cells of
-   both documents' places; a group makes as many as it has runs, times the cells in
-   which its one first document has the value, not pairs of all documents.
+   signature. Runs whose surroundings are equal as far as a window reaches are copies: they
+   join the runs of the first document of their class only. The classes of a value, each
+   by its first document, join one another all. The text is read again for the places whose
+   value another document has: pairs whose bitmaps of the shingles beside the one and
+   around the other rule out every window with the value go, the rest are kept by cells
+   of both documents' places. Pairs leave a group some million at a time.
 3. Verification: around each linked pair of places the shingles of both texts are
    compared, every window of the one against all stretches of the other, with every
    occurrence of its shingles there. Windows that pass are joined into maximal passages.
 
-With the first document of a value the join is complete up to the chance that no
-function agrees, (1 - J) ** HASHES for similarity J: below 0.0001 at 0.8. Two later
-documents are not compared by a value whose first document has no such passage. Words are runs of anything but blanks. Missing and
+The join is complete up to the chance that no function agrees, (1 - J) ** HASHES for
+similarity J: below 0.0001 at 0.8. Of several earlier documents with one equal window
+a passage that resembles it names the first; they are linked with each other. Words are runs of anything but blanks. Missing and
 short texts have no passage; rows without an id take no part; rows with equal ids
 count as one document.
 """
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointproc.llm.common import Bytes, buckets, heads, mix, pieces, sliding_min, text_bytes
+from pointproc.llm.common import BASE, INVERSE, Bytes, buckets, heads, mix, pieces, powers, sliding_min, text_bytes
 from pointproc.session import discard, store
 
 WORDS, SHINGLE, THRESHOLD, HASHES = 50, 5, 0.8, 6
@@ -43,6 +45,8 @@ WORDS, SHINGLE, THRESHOLD, HASHES = 50, 5, 0.8, 6
 SPAN = WORDS - SHINGLE + 1
 CELL, STRETCH = 2 * SPAN, int(SPAN / THRESHOLD) + 1
 OFFER, BUCKET = 4 << 20, 32 << 20
+#: Bits of a sketch of shingles, and how many of a window's shingles a resembling stretch may lack.
+SKETCH, STRANGE = 512, int(SPAN * (1 - THRESHOLD) + 1e-9)
 
 _rng = np.random.default_rng(11)
 _PLACE = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -78,26 +82,54 @@ def compact_windows(h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray
         yield v[at] ^ np.uint64(k), at
 
 
-def meetings(value: np.ndarray, of: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """Rows (document, cell, other document, its cell): all cells of a value with all that its least document has."""
-    if not len(value):
-        return np.empty((0, 4), np.int64)
-    order = np.lexsort((cell, of, value))
-    value, of, cell = value[order], of[order], cell[order]
-    new = heads(value) | heads(of) | heads(cell)
-    value, of, cell = value[new], of[new], cell[new]
-    start = np.flatnonzero(heads(value))
-    group = np.cumsum(heads(value)) - 1
-    least = of == of[start[group]]
-    times = np.bincount(group[least], minlength=len(start))
-    later = np.flatnonzero(~least)
-    out, size = [], np.cumsum(times[group[later]])
-    for lo, hi in chunks(size, 1 << 20):
-        many = times[group[later[lo:hi]]]
-        a = np.repeat(later[lo:hi], many)
-        b = start[group[a]] + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
-        out.append(distinct(np.stack([of[a], cell[a], of[b], cell[b]], 1)))
-    return distinct(np.concatenate(out)) if out else np.empty((0, 4), np.int64)
+def by_class(value: np.ndarray, of: np.ndarray, cell: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows by value, surroundings, document and cell, without repeats; where a class (value, surroundings) begins; rows of its least document."""
+    order = np.lexsort((cell, of, near, value))
+    rows = [x[order] for x in (value, of, cell, near)]
+    head = heads(rows[0]) | heads(rows[3])
+    new = head | heads(rows[1]) | heads(rows[2])
+    value, of, cell, near, head = (x[new] for x in (*rows, head))
+    return value, of, cell, near, head, of == of[begins(head)] if len(of) else head
+
+
+def begins(head: np.ndarray) -> np.ndarray:
+    """For each row the place of its group's head."""
+    return np.flatnonzero(head)[np.cumsum(head) - 1]
+
+
+def pairs_with(start: np.ndarray, times: np.ndarray, of: np.ndarray, cell: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows (document, cell, other document, its cell): each row with the `times` rows from `start` on, some million at once."""
+    rows = np.flatnonzero(times)
+    start, times = start[rows], times[rows]
+    for lo, hi in chunks(np.cumsum(times), 1 << 20):
+        many = times[lo:hi]
+        a = np.repeat(rows[lo:hi], many)
+        b = np.repeat(start[lo:hi] - (np.cumsum(many) - many), many) + np.arange(len(a))
+        yield distinct(np.stack([of[a], cell[a], of[b], cell[b]], 1))
+
+
+def copies(of: np.ndarray, cell: np.ndarray, head: np.ndarray, own: np.ndarray) -> Iterator[np.ndarray]:
+    """Links of the rows of a class with those of its least document."""
+    if len(of):
+        start = begins(head)
+        yield from pairs_with(start, np.where(own, 0, np.bincount(start[own], minlength=len(of))[start]), of, cell)
+
+
+def between(value: np.ndarray, of: np.ndarray, cell: np.ndarray, doc: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Links of all rows with those of every earlier document that has the value; `doc`: their documents, if `of` is not."""
+    if len(value):
+        order = np.lexsort((cell, of, value))
+        value, of, cell = value[order], of[order], cell[order]
+        head = heads(value)
+        start = begins(head)
+        yield from pairs_with(start, begins(head | heads(of if doc is None else doc[order])) - start, of, cell)
+
+
+def meetings(value: np.ndarray, of: np.ndarray, cell: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
+    """All links of a table of values; without surroundings no two rows are copies."""
+    value, of, cell, _, head, own = by_class(value, of, cell, (of << 32) + cell if near is None else near)
+    out = [np.empty((0, 4), np.int64), *copies(of, cell, head, own), *between(value[own], of[own], cell[own])]
+    return distinct(np.concatenate(out))
 
 
 def chunks(running: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -118,7 +150,7 @@ def distinct(rows: np.ndarray) -> np.ndarray:
 
 
 def linked_places(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, other_id, other_cell, cells: cells of places that share a value, the other document being the earlier one."""
+    """doc_id, other_id, other_cell, cells: cells of places that share a value, the other document being an earlier one."""
     n = buckets(docs.sparkSession, size, BUCKET)
 
     def offer(batches):
@@ -130,27 +162,106 @@ def linked_places(docs: DataFrame, size: int) -> DataFrame:
                 if not got:
                     continue
                 value, at = (np.concatenate(x) for x in zip(*got))
-                of, cell = ids[lo:hi][doc[at]], pos[at] // CELL
-                order = np.lexsort((cell, of, value))
-                value, of, cell = value[order], of[order], cell[order]
-                head = heads(value)
-                first = of == of[np.flatnonzero(head)[np.cumsum(head) - 1]]
-                first &= head | heads(of) | heads(cell)
-                yield from packets(n, value[first], of[first], cell[first])
-                links = meetings(value, of, cell)
-                if len(links):  # links inside the piece pass through
+                value, of, place, near, head, own = by_class(value, ids[lo:hi][doc[at]], pos[at], neighbourhoods(h, doc, at))
+                yield from packets(n, value[own], of[own], place[own] << 32 | near[own])
+                for links in copies(of, place // CELL, head, own):  # copies inside the piece pass through
                     pair = mix(links[:, 0].astype(np.uint64) ^ mix(links[:, 2].astype(np.uint64)))
                     yield from packets(n, pair, *links.T)
 
-    def gather(t: pa.Table) -> pa.Table:
-        value, *links = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64 if c == "value" else np.int64)
-                         for c in ("value", "of", "pos", "other", "other_pos"))
-        links = distinct(np.stack(links, 1)) if len(links[2]) else meetings(value, *links[:2])
-        return pa.table(dict(zip(("doc_id", "cell", "other_id", "other_cell"), map(np.ascontiguousarray, links.T))))
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        value, *rows = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64 if c == "value" else np.int64)
+                        for c in ("value", "of", "pos", "other", "other_pos"))
+        del t
+        if len(rows[2]):
+            yield table_of(distinct(np.stack(rows, 1)))
+            return
+        value, of, place, _, head, own = by_class(value, rows[0], rows[1] >> 32, rows[1] & 0xFFFFFFFF)
+        for links in copies(of, place // CELL, head, own):
+            yield table_of(links)
+        value, of, place = value[own], of[own], place[own]
+        low, high = np.minimum.reduceat, np.maximum.reduceat  # values of one document meet nobody
+        first = np.flatnonzero(heads(value))
+        if len(first):
+            shared = (low(of, first) < high(of, first))[np.cumsum(heads(value)) - 1]
+            yield table_of(np.stack([of, place, of, place], 1)[shared], value[shared].view(np.int64))
+
+    names = "doc_id long, cell long, other_id long, other_cell long"
+    met = store(docs.mapInArrow(offer, "bucket long, value binary, of binary, pos binary, other binary, other_pos binary")
+                .groupBy("bucket").applyInArrow(gather, f"{names}, value long"))
+    shared = met.where("value IS NOT NULL")
+    n = buckets(docs.sparkSession, shared.count() * (24 + 3 * SKETCH // 8), BUCKET)
+    places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("value", F.col("cell").alias("place"))).alias("places"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        value, of, place = (t.column(c).to_numpy() for c in ("value", "doc_id", "place"))
+        order = np.lexsort((place, of, value))
+        left, right, around = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(len(value), -1)[order]
+                               for c in ("left", "right", "around"))
+        value, of, place = value[order], of[order], place[order]
+        rows = np.arange(len(value))
+        for pairs in between(value, rows, rows, of):
+            a, b = pairs[:, 0], pairs[:, 2]
+            ok = np.zeros(len(a), bool)
+            for lo in range(0, len(a), 1 << 17):
+                x, y = a[lo:lo + (1 << 17)], b[lo:lo + (1 << 17)]
+                strange = ~around[y]
+                ok[lo:lo + (1 << 17)] = np.minimum(*(np.bitwise_count(side[x] & strange).sum(1) for side in (left, right))) <= STRANGE
+            a, b = a[ok], b[ok]
+            yield table_of(distinct(np.stack([of[a], place[a] // CELL, of[b], place[b] // CELL], 1)))
+
+    seen = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(
+        sketched, "doc_id long, value long, place long, left binary, right binary, around binary")
+    links = seen.groupBy(F.pmod("value", F.lit(n)).alias("bucket")).applyInArrow(compare, f"{names}, value long").unionAll(
+        met.where("value IS NULL")).groupBy("doc_id", "other_id", "other_cell").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+    out = store(links)
+    discard(met)
+    return out
+
+
+def table_of(links: np.ndarray, value: np.ndarray | None = None) -> pa.RecordBatch:
+    return pa.record_batch([*(pa.array(np.ascontiguousarray(x)) for x in links.T), pa.nulls(len(links), pa.int64()) if value is None else pa.array(value)],
+                           names=["doc_id", "cell", "other_id", "other_cell", "value"])
 
-    links = docs.mapInArrow(offer, "bucket long, value binary, of binary, pos binary, other binary, other_pos binary") \
-        .groupBy("bucket").applyInArrow(gather, "doc_id long, cell long, other_id long, other_cell long")
-    return links.groupBy("doc_id", "other_id", "other_cell").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+
+def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of the shingles beside each place and around it.
+
+    A window with the place holds all of one side. If it resembles a stretch of
+    another document with the value, at most `STRANGE` of its shingles are missing
+    around the value there, so at most as many bits of that side.
+    """
+    side = SPAN // 2
+    for batch in batches:
+        for lo, hi, b in pieces(batch.column("text")):
+            h, doc, _ = shingles(b)
+            begin = np.searchsorted(doc, np.arange(hi - lo + 1))
+            places = batch.column("places").slice(lo, hi - lo)
+            many, flat = places.value_lengths().to_numpy(), places.flatten()
+            value, place = (flat.field(k).to_numpy() for k in (0, 1))
+            of = np.repeat(np.arange(hi - lo), many)
+            for x in np.array_split(np.arange(len(of)), -(-len(of) // 10_000)) if len(of) else ():
+                at = place[x] + begin[of[x]]
+                bits = []
+                for before, after in ((side - 1, 0), (0, side - 1), (STRETCH, STRETCH)):
+                    near = at[:, None] + np.arange(-before, after + 1)
+                    inside = (near >= begin[of[x], None]) & (near < begin[of[x] + 1, None])
+                    found = np.zeros((len(x), SKETCH), bool)
+                    found[np.nonzero(inside)[0], (h[near[inside]] >> np.uint64(32)).astype(np.int64) % SKETCH] = True
+                    bits.append(pa.array([r.tobytes() for r in np.packbits(found, axis=1)], pa.binary()))
+                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo).take(pa.array(of[x])), pa.array(value[x]), pa.array(place[x]), *bits],
+                                      names=["doc_id", "value", "place", "left", "right", "around"])
+
+
+def neighbourhoods(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """32 bits of the shingles around each place, as far as a window or stretch with it reaches in its document."""
+    lo = np.maximum(at - STRETCH, np.searchsorted(doc, doc[at]))
+    hi = np.minimum(at + STRETCH + 1, np.searchsorted(doc, doc[at], side="right"))
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * powers(len(h), BASE), out=total[1:])
+    around = mix((total[hi] - total[lo]) * powers(len(h) + 1, INVERSE)[lo])
+    return (mix(around ^ ((at - lo) << 8 | (hi - at)).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 
 def packets(n: int, value: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -277,6 +388,8 @@ def similar_runs(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) ->
         first = np.lib.stride_tricks.sliding_window_view(before, SPAN) < np.arange(n)[:, None]
         size = first.sum(1)
         shared = (first & np.lib.stride_tricks.sliding_window_view(hit, SPAN)).sum(1)
+    if not ((shared > 0) & (shared >= threshold * size - 1e-9)).any():
+        return []
     far = np.int64(1 << 40)
     low = sliding_min(np.where(hit, place, far), SPAN)
     high = -sliding_min(np.where(hit, -place, far), SPAN)
@@ -300,12 +413,13 @@ def near_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     The linked cells of the earlier documents go, with their surroundings, to the later
     ones, which are then read once more and compared with all that came to them: each
-    cell once, against all of their own cells that share a value with it.
+    cell once, against all of their own cells that share a value with it. Copies link
+    with the first document of their class and have its other links through it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     if _repeats(rows):
         rows = rows.dropDuplicates(["doc_id"])
-    links = store(linked_places(rows, text_bytes(rows)))
+    links = linked_places(rows, text_bytes(rows))
     around = store(surroundings(rows, links.select(F.col("other_id").alias("doc_id"), F.col("other_cell").alias("cell"))))
     other = around.select(F.col("doc_id").alias("other_id"), F.col("cell").alias("other_cell"), "start", "hashes")
     came = links.join(other, ["other_id", "other_cell"]).groupBy("doc_id").agg(
@@ -321,11 +435,15 @@ def near_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 ids = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
                 out = []
                 for i, links in enumerate(came.slice(lo, hi - lo).to_pylist()):
-                    own, runs = h[begin[i]:begin[i + 1]], set()
-                    for link in links:
+                    own, runs, seen = h[begin[i]:begin[i + 1]], set(), {}
+                    for link in sorted(links, key=lambda x: (x["other_id"], x["start"])):
                         there = np.frombuffer(link["hashes"], np.uint32)
                         for s, e in ranges(link["cells"]):
                             for x, y, p, q in similar_runs(own[s:e], there, threshold):
+                                same = seen.setdefault((s + x, s + y, there[p:q].tobytes()), [])
+                                if any(other != link["other_id"] and one_window(a, o, there, p, q) for other, a, o in same):
+                                    continue
+                                same.append((link["other_id"], there, p))
                                 runs.add((link["other_id"], s + x, s + y + SHINGLE - 1, link["start"] + p, link["start"] + q + SHINGLE - 1))
                     out.extend((ids[i], *run) for run in joined(sorted(runs)))
                 if out:
@@ -338,6 +456,15 @@ def near_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.select("doc_id", "start_word", "end_word", "other_id", "other_start", "other_end")
 
 
+def one_window(a: np.ndarray, o: int, b: np.ndarray, p: int, q: int) -> bool:
+    """Whether the equal stretches a[o:] and b[p:q] lie in an equal window: the two documents are linked by it themselves."""
+    left, right = min(o, p, SPAN), min(len(a) - (o + q - p), len(b) - q, SPAN)
+    before = np.append(a[o - left:o] != b[p - left:p], False)
+    after = np.append(a[o + q - p:o + q - p + right] != b[q:q + right], True)
+    back = left - 1 - int(np.flatnonzero(before)[-1]) if before.any() else left
+    return back + int(after.argmax()) + q - p >= SPAN
+
+
 def ranges(cells: list[int]) -> list[tuple[int, int]]:
     """Shingles of all windows with a place in one of the sorted cells; neighbouring cells make one range."""
     edges = [k for k in range(1, len(cells)) if cells[k] > cells[k - 1] + 1]

@@ -113,3 +113,19 @@ def test_meetings_link_all_cells_of_the_first_document():
 def test_joined_keeps_far_places_apart():
     runs = sorted([(1, 0, 60, 0, 60), (1, 5, 70, 500, 560), (1, 10, 90, 10, 90)])
     assert passages.joined(runs) == [(1, 0, 90, 0, 90), (1, 5, 70, 500, 560)]
+
+
+def test_later_documents_of_a_value_are_linked(spark):
+    # one shingle is the least of many windows by chance; its first document has no such passage
+    fill = lambda name, n: [f"{name}{i}" for i in range(n)]
+    passage = fill("x", 60)
+    edited = passage[:56] + ["edited"] + passage[57:]
+    rows = [(k, fill(f"a{k}_", 45) + passage[5 * k:5 * k + 9] + fill(f"b{k}_", 45)) for k in range(11)]
+    rows += [(20, fill("c", 30) + passage + fill("d", 30)), (21, fill("e", 7) + edited + fill("f", 20)), (22, fill("g", 50) + passage + fill("h", 9))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(5)
+    assert {(r.doc_id, r.other_id) for r in passages.near_passages(docs).collect()} == {(21, 20), (22, 20), (22, 21)}
+
+
+def test_meetings_link_all_classes_and_copies_with_the_first_of_theirs():
+    value, of, cell, near = np.full(5, 5, np.uint64), np.array([1, 2, 3, 4, 5]), np.array([0, 3, 4, 6, 7]), np.array([8, 9, 7, 9, 9])
+    assert passages.meetings(value, of, cell, near).tolist() == [[2, 3, 1, 0], [3, 4, 1, 0], [3, 4, 2, 3], [4, 6, 2, 3], [5, 7, 2, 3]]
