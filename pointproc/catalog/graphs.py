@@ -128,7 +128,7 @@ _WL = "wl AS (SELECT recording_id, list_sort(list(w)) AS w FROM edges GROUP BY A
        SELECT recording_id, 0.10, {pm:w:90} FROM wl UNION ALL SELECT recording_id, 0.25, {pm:w:75} FROM wl""",
        "density threshold", extra=_WL)
 def _(s, d):
-    return cn.density_thresholds(i.edges(s, d), [0.05, 0.10, 0.25])
+    return cn.density_thresholds(cut_lineage(i.edges(s, d)), [0.05, 0.10, 0.25])
 
 
 @query("C10_grid_projection", """SELECT recording_id, grid_row, """ + ", ".join(

@@ -9,6 +9,7 @@ over all graphs in one job per round, never graph by graph.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from hashlib import md5
 from heapq import heappop, heappush
 
@@ -371,13 +372,21 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame, keys: Sequence[str])
 
 def _random_edges(name: str, seed: int, replicate: int, node: list[int], m: int) -> tuple[np.ndarray, np.ndarray]:
     """The m node pairs of lowest hash, as places: a uniform draw without replacement."""
-    x, y = np.triu_indices(len(node), 1)
-    head = f"{seed}|{name}|{replicate}"
-    h = np.array([int(md5(f"{head}|{node[p]}|{node[q]}".encode()).hexdigest()[:15], 16) for p, q in zip(x.tolist(), y.tolist())], np.int64)
+    x, y, ends = _pair_names(tuple(node))
+    head = f"{seed}|{name}|{replicate}".encode()
+    # the first 15 hex digits are the upper 60 bits
+    h = np.frombuffer(b"".join([md5(head + end).digest() for end in ends]), ">u8")[::2] >> 4
     pick = np.argsort(h, kind="stable")[:m]
     return x[pick], y[pick]
 
 
+@lru_cache(maxsize=4)
+def _pair_names(node: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """All pairs of places, and how each ends the text that is hashed; the replicates of a graph share them."""
+    x, y = np.triu_indices(len(node), 1)
+    return x, y, [f"|{node[p]}|{node[q]}".encode() for p, q in zip(x.tolist(), y.tolist())]
+
+
 def _replicates(nodes: DataFrame, edges: DataFrame, keys: list[str], replicates: int) -> DataFrame:
     """A row per graph and replicate, spread over the cluster; graphs without edges have none."""
     name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])

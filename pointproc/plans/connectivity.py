@@ -20,7 +20,7 @@ GRAPH_SWEEP = ["recording_id", "target_density"]
 
 def graphs_at(edges: DataFrame, channels: DataFrame, densities: Sequence[float], explicit: float | None = None):
     """Thresholds, nodes and edges of one graph per recording and density."""
-    cuts = density_thresholds(edges, densities, explicit=explicit)
+    cuts = cut_lineage(density_thresholds(edges, densities, explicit=explicit))  # one row per graph, read three times
     graph_edges = threshold_graph(edges, cuts, GRAPH)
     nodes = cuts.select(*GRAPH).join(
         channels.select("recording_id", F.col("channel").alias("node")), "recording_id")

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import tracemalloc
@@ -189,3 +190,13 @@ def test_large_graphs_take_memory_by_their_edges():
     assert merging < 60e6 and shape < 60e6  # a matrix of doubles has 200e6 bytes
     assert 2 < len(set(found.tolist())) < n / 10 and (found <= np.arange(n)).all()
     assert 0 < clustering < 0.01 and 3 < path < 6 and 0.1 < efficiency < 0.5
+
+
+def test_replicates_share_the_names_of_their_pairs():
+    node = [3, 7, 12, 40, 41]
+    pairs = [(p, q) for p in range(5) for q in range(p + 1, 5)]
+    for replicate in (1, 2):
+        order = sorted(pairs, key=lambda e: hashlib.md5(f"5|g|0.1|{replicate}|{node[e[0]]}|{node[e[1]]}".encode()).hexdigest()[:15])
+        x, y = g._random_edges("g|0.1", 5, replicate, node, 4)
+        assert list(zip(x.tolist(), y.tolist())) == order[:4]
+    assert g._pair_names.cache_info().maxsize and g._pair_names(tuple(node)) is g._pair_names(tuple(node))
