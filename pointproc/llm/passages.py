@@ -3,20 +3,23 @@
 A passage is at least `WORDS` words; two passages are near-duplicates if their sets of
 five-word shingles have a Jaccard similarity of at least `THRESHOLD`.
 
-1. For each of `HASHES` hash functions all windows of the passage length have a least
+1. Shingles are counted by the documents that hold them. A window with more than `LACK`
+   shingles that no other document holds resembles nothing, and is in no stretch that
+   a window of another document resembles; it is left out of what follows.
+2. For each of `HASHES` hash functions all windows of the passage length have a least
    hash. In the Cartesian tree over a text's hashes, a node that is the least of its
    subtree's span covers a whole run of windows, its compact window; nodes whose span
    holds no window never matter, and those that do are the least of some window, so
    the runs of window minima give exactly the compact windows needed, without
    building the rest of the tree.
-2. Interval join: runs of one function with one value group windows that share a
+3. Interval join: runs of one function with one value group windows that share a
    signature. Runs whose surroundings are equal as far as a window reaches are copies: they
    join the runs of the first document of their class only. The classes of a value, each
    by its first document, join one another all. The text is read again for the places whose
    value another document has: pairs whose bitmaps of the shingles beside the one and
    around the other rule out every window with the value go, the rest are kept by cells
    of both documents' places. Pairs leave a group some million at a time.
-3. Verification: around each linked pair of places the shingles of both texts are
+4. Verification: around each linked pair of places the shingles of both texts are
    compared, every window of the one against all stretches of the other, with every
    occurrence of its shingles there. Windows that pass are joined into maximal passages.
 
@@ -47,6 +50,10 @@ CELL, STRETCH = 2 * SPAN, int(SPAN / THRESHOLD) + 1
 OFFER, BUCKET = 4 << 20, 32 << 20
 #: Bits of a sketch of shingles, and how many of a window's shingles a resembling stretch may lack.
 SKETCH, STRANGE = 512, int(SPAN * (1 - THRESHOLD) + 1e-9)
+#: How many shingles of a window of the stretch may be missing in the window that resembles the stretch.
+LACK = int((STRETCH - 1) * (1 - THRESHOLD) + 1e-9)
+#: Bits of a shingle's hash that go to the count, besides those that name the bucket.
+COUNTED = 40
 
 _rng = np.random.default_rng(11)
 _PLACE = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -68,17 +75,70 @@ def shingles(b: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(h[ok]), of, np.arange(len(of)) - np.searchsorted(of, of)
 
 
-def compact_windows(h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each function: its value at, and the shingle (by its place in h) of, each run of windows."""
-    inside = np.flatnonzero(doc[SPAN - 1:] == doc[:len(doc) - SPAN + 1]) if len(doc) >= SPAN else np.empty(0, np.int64)
+def group_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles as `shingles` gives them, of all rows of a column."""
+    parts = [(h, doc + lo, pos) for lo, _, b in pieces(text) for h, doc, pos in [shingles(b)]]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else shingles(Bytes(np.empty(0, np.uint8), np.zeros(1, np.int64)))
+
+
+def sorted_shingles(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of shingles by bucket and hash, those keys, and where a new one begins."""
+    bits = np.uint64(COUNTED)
+    key = (h % np.uint64(n)) << bits | h >> np.uint64(64 - COUNTED)
+    order = np.argsort(key, kind="stable")
+    return order, key[order], heads(key[order])
+
+
+def common_windows(h: np.ndarray, doc: np.ndarray, n: int, elsewhere: np.ndarray) -> np.ndarray:
+    """Whether each window of documents has at most `LACK` shingles that no other document holds.
+
+    elsewhere: for each distinct key of `sorted_shingles` whether another group has it.
+    """
+    order, _, head = sorted_shingles(h, n)
+    which = np.cumsum(head) - 1
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(h)) - 1
+    alone = (~elsewhere & (doc[order[first]] == doc[order[last]]))[which]
+    again = np.flatnonzero(alone & ~head)
+    before, here = order[again - 1], order[again]
+    near = here - before < SPAN  # both in one window: they count once
+    repeats = np.zeros(len(h) + 1, np.int64)
+    np.add.at(repeats, np.maximum(here[near] - SPAN + 1, 0), 1)
+    np.add.at(repeats, before[near] + 1, -1)
+    own = np.zeros(len(h) + 1, np.int64)
+    own[1:][order[alone]] = 1
+    np.cumsum(own, out=own)
+    return own[SPAN:] - own[:-SPAN] - np.cumsum(repeats)[:len(own) - SPAN] <= LACK
+
+
+def compact_windows(h: np.ndarray, doc: np.ndarray, common: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each function: its value at, and the shingle (by its place in h) of, each run of windows, or of those in `common`.
+
+    Of a run of windows with one value so many places are given that each window holds
+    one: the last place of the first window, then that of the first window beyond it.
+    """
+    inside = np.empty(0, np.int64)
+    if len(doc) >= SPAN:
+        ok = doc[SPAN - 1:] == doc[:len(doc) - SPAN + 1]
+        inside = np.flatnonzero(ok if common is None else ok & common)
     for k in range(HASHES):
         if not len(inside):
             continue
         v = mix(h * _FUNCTION[k])
         bits = np.uint64(max(1, len(v).bit_length()))
-        key = (v >> bits << bits) | np.arange(len(v), dtype=np.uint64)
-        at = (sliding_min(key, SPAN)[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        at = at[heads(at)]
+        low = (np.uint64(1) << bits) - np.uint64(1)
+        least = sliding_min((v & ~low) | (low - np.arange(len(v), dtype=np.uint64)), SPAN)[inside]
+        last = (low - (least & low)).astype(np.int64)
+        head = heads(least >> bits)
+        head[1:] |= np.diff(inside) > 1
+        w = np.flatnonzero(head)
+        end, places = np.append(w[1:], len(inside)), []
+        while len(w):
+            places.append(last[w])
+            w = w + (last[w] + 1 - inside[w])
+            on = w < end
+            w, end = w[on], end[on]
+        at = np.sort(np.concatenate(places))
         yield v[at] ^ np.uint64(k), at
 
 
@@ -152,21 +212,54 @@ def distinct(rows: np.ndarray) -> np.ndarray:
 def linked_places(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, other_id, other_cell, cells: cells of places that share a value, the other document being an earlier one."""
     n = buckets(docs.sparkSession, size, BUCKET)
-
-    def offer(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            for lo, hi, b in pieces(batch.column("text"), OFFER):
-                h, doc, pos = shingles(b)
-                got = list(compact_windows(h, doc))
-                if not got:
-                    continue
+    parts = F.pmod(F.xxhash64("doc_id"), F.lit(buckets(docs.sparkSession, size, OFFER))).alias("part")
+
+    def rows_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        t = t.sort_by("doc_id")
+        return t.column("doc_id").to_numpy(), *group_of(t.column("text"))
+
+    def count(t: pa.Table) -> pa.Table:
+        _, key, head = sorted_shingles(rows_of(t)[1], n)
+        key = key[head]
+        edges = np.searchsorted(key >> np.uint64(COUNTED), np.arange(n + 1, dtype=np.uint64))
+        low = key.view(np.uint8).reshape(-1, 8)[:, :COUNTED // 8]
+        some = np.flatnonzero(np.diff(edges)).tolist()
+        return pa.table([pa.array(some, pa.int64()), pa.array([t.column("part")[0].as_py()] * len(some), pa.int64()),
+                         pa.array([low[edges[k]:edges[k + 1]].tobytes() for k in some], pa.binary())], names=["bucket", "part", "keys"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        raw = t.column("keys").to_pylist()
+        edges = np.cumsum([0, *[len(x) // (COUNTED // 8) for x in raw]])
+        key = np.zeros((edges[-1], 8), np.uint8)
+        key[:, :COUNTED // 8] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, COUNTED // 8)
+        del raw
+        key = key.view(np.uint64).ravel()
+        order = np.argsort(key)
+        same = ~heads(key[order])
+        more = same.copy()
+        more[:-1] |= same[1:]
+        shared = np.zeros(len(key), bool)
+        shared[order] = more
+        yield pa.record_batch([t.column("part").combine_chunks(), t.column("bucket").combine_chunks(), pa.array(np.diff(edges)),
+                               pa.array([np.packbits(shared[a:z]).tobytes() for a, z in zip(edges, edges[1:])], pa.binary())],
+                              names=["part", "bucket", "keys", "shared"])
+
+    def offer(t: pa.Table, found: pa.Table) -> pa.Table:
+        ids, h, doc, pos = rows_of(t)
+        out = []
+        if len(h) >= SPAN:
+            found = found.sort_by("bucket")
+            elsewhere = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for k, x in zip(*(found.column(c).to_pylist() for c in ("keys", "shared")))])
+            got = list(compact_windows(h, doc, common_windows(h, doc, n, elsewhere.astype(bool))))
+            if got:
                 value, at = (np.concatenate(x) for x in zip(*got))
-                value, of, place, near, head, own = by_class(value, ids[lo:hi][doc[at]], pos[at], neighbourhoods(h, doc, at))
-                yield from packets(n, value[own], of[own], place[own] << 32 | near[own])
-                for links in copies(of, place // CELL, head, own):  # copies inside the piece pass through
+                value, of, place, near, head, own = by_class(value, ids[doc[at]], pos[at], neighbourhoods(h, doc, at))
+                out.extend(packets(n, value[own], of[own], place[own] << 32 | near[own]))
+                for links in copies(of, place // CELL, head, own):  # copies inside the group pass through
                     pair = mix(links[:, 0].astype(np.uint64) ^ mix(links[:, 2].astype(np.uint64)))
-                    yield from packets(n, pair, *links.T)
+                    out.extend(packets(n, pair, *links.T))
+        return pa.Table.from_batches(out, PACKET)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
@@ -187,8 +280,13 @@ def linked_places(docs: DataFrame, size: int) -> DataFrame:
             yield table_of(np.stack([of, place, of, place], 1)[shared], value[shared].view(np.int64))
 
     names = "doc_id long, cell long, other_id long, other_cell long"
-    met = store(docs.mapInArrow(offer, "bucket long, value binary, of binary, pos binary, other binary, other_pos binary")
+    dealt = docs.select("doc_id", "text", parts)
+    known = store(dealt.groupBy("part").applyInArrow(count, "bucket long, part long, keys binary")
+                  .groupBy("bucket").applyInArrow(compared, "part long, bucket long, keys long, shared binary"))
+    met = store(dealt.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(
+        offer, "bucket long, value binary, of binary, pos binary, other binary, other_pos binary")
                 .groupBy("bucket").applyInArrow(gather, f"{names}, value long"))
+    discard(known)
     shared = met.where("value IS NOT NULL")
     n = buckets(docs.sparkSession, shared.count() * (24 + 3 * SKETCH // 8), BUCKET)
     places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("value", F.col("cell").alias("place"))).alias("places"))
@@ -220,6 +318,9 @@ def linked_places(docs: DataFrame, size: int) -> DataFrame:
     return out
 
 
+PACKET = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("value", "of", "pos", "other", "other_pos"))])
+
+
 def table_of(links: np.ndarray, value: np.ndarray | None = None) -> pa.RecordBatch:
     return pa.record_batch([*(pa.array(np.ascontiguousarray(x)) for x in links.T), pa.nulls(len(links), pa.int64()) if value is None else pa.array(value)],
                            names=["doc_id", "cell", "other_id", "other_cell", "value"])
@@ -230,7 +331,8 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A window with the place holds all of one side. If it resembles a stretch of
     another document with the value, at most `STRANGE` of its shingles are missing
-    around the value there, so at most as many bits of that side.
+    around the value there, so at most as many bits of that side. A side that the
+    document's end cuts short lies in no window: all its bits are set.
     """
     side = SPAN // 2
     for batch in batches:
@@ -249,6 +351,8 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     inside = (near >= begin[of[x], None]) & (near < begin[of[x] + 1, None])
                     found = np.zeros((len(x), SKETCH), bool)
                     found[np.nonzero(inside)[0], (h[near[inside]] >> np.uint64(32)).astype(np.int64) % SKETCH] = True
+                    if not before or not after:
+                        found[~inside.all(1)] = True
                     bits.append(pa.array([r.tobytes() for r in np.packbits(found, axis=1)], pa.binary()))
                 yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo).take(pa.array(of[x])), pa.array(value[x]), pa.array(place[x]), *bits],
                                       names=["doc_id", "value", "place", "left", "right", "around"])
@@ -275,7 +379,8 @@ def packets(n: int, value: np.ndarray, *columns: np.ndarray) -> Iterator[pa.Reco
         i = order[edges[k]:edges[k + 1]]
         cells = [b"" if through else value[i].tobytes(), *(c[i].tobytes() for c in columns)]
         rows.append((k + n * through, *cells, *[b""] * (5 - len(cells))))
-    yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["bucket", "value", "of", "pos", "other", "other_pos"])
+    if rows:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), PACKET)], schema=PACKET)
 
 
 def surroundings(docs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -418,7 +523,7 @@ def near_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     if _repeats(rows):
-        rows = rows.dropDuplicates(["doc_id"])
+        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))  # the same one whenever it is read
     links = linked_places(rows, text_bytes(rows))
     around = store(surroundings(rows, links.select(F.col("other_id").alias("doc_id"), F.col("other_cell").alias("cell"))))
     other = around.select(F.col("doc_id").alias("other_id"), F.col("cell").alias("other_cell"), "start", "hashes")

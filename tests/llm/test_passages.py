@@ -129,3 +129,50 @@ def test_later_documents_of_a_value_are_linked(spark):
 def test_meetings_link_all_classes_and_copies_with_the_first_of_theirs():
     value, of, cell, near = np.full(5, 5, np.uint64), np.array([1, 2, 3, 4, 5]), np.array([0, 3, 4, 6, 7]), np.array([8, 9, 7, 9, 9])
     assert passages.meetings(value, of, cell, near).tolist() == [[2, 3, 1, 0], [3, 4, 1, 0], [3, 4, 2, 3], [4, 6, 2, 3], [5, 7, 2, 3]]
+
+
+def test_repeated_words_take_one_place_a_window():
+    h = np.array([7] * 5000 + list(range(100, 160)), np.uint64)
+    doc = np.append(np.zeros(5040, np.int64), np.ones(20, np.int64))
+    for k, (_, at) in enumerate(passages.compact_windows(h, doc)):
+        v = passages.mix(h * passages._FUNCTION[k])
+        assert len(at) < 5000 // passages.SPAN + 60 and (np.diff(at) > 0).all() and at.max() < 5040
+        taken = np.zeros(len(h), bool)
+        taken[at] = True
+        for w in range(0, 5040 - passages.SPAN + 1):
+            span = slice(w, w + passages.SPAN)
+            assert (taken[span] & (v[span] == v[span].min())).any()
+
+
+def test_windows_that_no_other_document_can_resemble_are_left_out():
+    r = random.Random(4)
+    n = 3
+    h = np.array([r.randrange(1 << 62) if r.random() < 0.3 else r.randrange(40) << 40 for _ in range(700)], np.uint64)
+    h[100:160] = h[40]  # a run of one word
+    h[300:420] = np.arange(120, dtype=np.uint64) << np.uint64(50) | np.uint64(11)
+    doc = np.repeat([0, 1, 2], [260, 240, 200])
+    h[520:600] = h[310:390]
+    _, key, head = passages.sorted_shingles(h, n)
+    elsewhere = np.array([r.random() < 0.3 for _ in range(head.sum())])
+    found = dict(zip(key[head].tolist(), elsewhere))
+    keys = ((h % np.uint64(n)) << np.uint64(40) | h >> np.uint64(24)).tolist()
+    alone = [not found[k] and not any(k == x and d != doc[i] for x, d in zip(keys, doc)) for i, k in enumerate(keys)]
+    got = passages.common_windows(h, doc, n, elsewhere)
+    inside = [w for w in range(len(h) - passages.SPAN + 1) if doc[w] == doc[w + passages.SPAN - 1]]
+    want = [len({keys[i] for i in range(w, w + passages.SPAN) if alone[i]}) <= passages.LACK for w in inside]
+    assert got[inside].tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_a_common_line_in_foreign_texts_offers_nothing(spark, monkeypatch):
+    line = [f"line{k}" for k in range(14)]
+    fill = lambda name, n: [f"{name}{i}" for i in range(n)]
+    rows = [(k, " ".join((line if k % 2 else []) + fill(f"a{k}_", 60) + (line if not k % 2 else []))) for k in range(12)]
+    rows += [(50, " ".join(fill("x", 70))), (51, " ".join(fill("x", 70)))]
+    met, kept = [], passages.store
+    monkeypatch.setattr(passages, "store", lambda df: met.append(kept(df)) or met[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(r.doc_id, r.other_id) for r in passages.near_passages(docs).collect()} == {(51, 50)}
+    monkeypatch.setattr(passages, "discard", lambda *_: None)
+    met.clear()
+    passages.linked_places(docs, 4000)
+    assert {r.doc_id for r in met[1].collect()} <= {50, 51}
