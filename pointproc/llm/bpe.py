@@ -13,7 +13,8 @@ States with equal arcs and tokens with equal entries are then folded into classe
 so that the table of arcs has (state class, token class) bits. A text has exactly
 one accepted token sequence, and so has each of its prefixes; a word is encoded
 from left to right by following, at each place, the spellings that begin there and
-whose arc leaves the place's state. Time is linear in the length of a word. Ids are
+whose arc leaves the place's state. New words of many texts take each step together,
+as arrays. Time is linear in the length of a word. Ids are
 decoded by emitting the labels of their arcs.
 
 The vocabulary file is a parameter. Normalising (composed characters, white space,
@@ -36,9 +37,13 @@ import regex
 import unicodedata
 from pyspark.sql import DataFrame
 
+from pointproc.llm.common import heads
+
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 #: Distinct words that a task remembers before it starts anew.
 REMEMBER = 200_000
+#: Words that are encoded together.
+AT_ONCE = 1 << 14
 #: Texts are turned into columns about so many characters at a time.
 STEP = 4 << 20
 
@@ -121,13 +126,12 @@ class Automaton:
                                    for k in range(entries.shape[1])])[:self.n_states]
         states, group = fold(by_state)
         everything = np.full((1, states.shape[1]), 255, np.uint8)  # the start of a word
-        self.states = [row.tobytes() for row in np.concatenate([states, everything])]
-        self.entry = entry.tolist()
-        after = np.full(len(names), -1)
-        after[~ends] = group
-        self.after = after.tolist()
-        self.trie: dict[int, int] = {}
-        self.token = [-1]
+        self.states = np.concatenate([states, everything])
+        self.entry = entry
+        self.after = np.full(len(names), -1)
+        self.after[~ends] = group
+        trie: dict[int, int] = {}
+        token = [-1]
         byte = {sign: b for b, sign in enumerate(signs)}
         for k, name in enumerate(names):
             spelt = [byte[c] for c in name.removesuffix(suffix)]
@@ -135,37 +139,91 @@ class Automaton:
                 spelt[-1] += 256
             node = 0
             for symbol in spelt:
-                to = self.trie.setdefault(node << 9 | symbol, len(self.token))
-                if to == len(self.token):
-                    self.token.append(-1)
+                to = trie.setdefault(node << 9 | symbol, len(token))
+                if to == len(token):
+                    token.append(-1)
                 node = to
-            self.token[node] = k
-
-    def encode(self, word: bytes) -> list[int]:
-        """Token numbers of a word that is not empty."""
-        n = len(word)
-        last = n - 1
-        state = [-1] * (n + 1)
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-        trie, token, entry, after, states = self.trie.get, self.token, self.entry, self.after, self.states
-        for i in range(n):
-            arcs, node = states[state[i]], 0
-            for j in range(i, n):
-                node = trie(node << 9 | (word[j] if j < last else word[j] + 256))
-                if node is None:
-                    break
-                t = token[node]
-                if t >= 0:
-                    e = entry[t]
-                    if arcs[e >> 3] >> (e & 7) & 1:
-                        state[j + 1], back[j + 1] = after[t], (i, t)
-        out, j = [], n
-        while j:
-            j, t = back[j]
-            out.append(t)
-        out.reverse()
+            token[node] = k
+        self.token = np.array(token)
+        self.keys, self.to = slots(np.array(list(trie)), np.array(list(trie.values())))
+
+    def step(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The trie's nodes after a symbol each, or -1."""
+        key = node << 9 | symbol
+        at = spread(key, len(self.keys))
+        out = np.full(len(key), -1)
+        left = np.arange(len(key))
+        while len(left):
+            found = self.keys[at]
+            hit = found == key[left]
+            out[left[hit]] = self.to[at[hit]]
+            on = ~hit & (found >= 0)
+            left, at = left[on], (at[on] + 1) % len(self.keys)
         return out
 
+    def spellings(self, symbol: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where a token's spelling begins and ends, and the token, for all that stand before the given ends."""
+        out = [np.empty((3, 0), np.int64)]
+        at = np.arange(len(symbol))
+        node, end = np.zeros(len(at), np.int64), at
+        while len(at):
+            node = self.step(node, symbol[end])
+            on = node >= 0
+            at, node, end = at[on], node[on], end[on] + 1
+            token = self.token[node]
+            some = token >= 0
+            out.append(np.stack([at[some], end[some], token[some]]))
+            on = end < stop[at]
+            at, node, end = at[on], node[on], end[on]
+        return tuple(np.concatenate(out, 1))
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers of words that are not empty, and where each word's begin; all words go from left to right at once."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        stop = np.cumsum(size)
+        symbol = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        symbol[stop - 1] += 256
+        word = np.repeat(np.arange(len(words)), size)
+        begin, end, token = self.spellings(symbol, stop[word])
+        word = word[begin]
+        place = begin - (stop - size)[word]
+        order = np.argsort(place, kind="stable")
+        begin, end, token, place = (begin + word)[order], (end + word)[order], token[order], place[order]  # a cell before each sign and one behind the word
+        byte, bit = self.entry[token] >> 3, (self.entry[token] & 7).astype(np.uint8)
+        state = np.full(len(symbol) + len(words), -1)
+        taken, back = state.copy(), state.copy()
+        edges = np.append(np.flatnonzero(heads(place)), len(place)).tolist()
+        for lo, hi in zip(edges, edges[1:]):
+            arc = lo + np.flatnonzero(self.states[state[begin[lo:hi]], byte[lo:hi]] >> bit[lo:hi] & np.uint8(1))
+            to = end[arc]
+            state[to], taken[to], back[to] = self.after[token[arc]], token[arc], begin[arc]
+        first, at = stop - size + np.arange(len(words)), stop + np.arange(len(words))
+        ends = np.zeros(len(state), bool)
+        while len(at):
+            ends[at] = True
+            at = back[at]
+            on = at > first
+            at, first = at[on], first[on]
+        return taken[ends], np.cumsum(np.append(0, np.add.reduceat(ends, stop - size + np.arange(len(words))) if len(words) else []), dtype=np.int64)
+
+
+def spread(key: np.ndarray, n: int) -> np.ndarray:
+    """A slot for each key; n is a power of two."""
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64)
+
+
+def slots(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in a table, each in the first free slot from its own on, and their values; free slots hold -1."""
+    n = 1 << max(1, int(len(key) * 4).bit_length())
+    keys, values = np.full(n, -1), np.full(n, -1)
+    at = spread(key, n)
+    while len(key):
+        free = keys[at] < 0
+        keys[at[free]], values[at[free]] = key[free], value[free]  # of several for one slot the last stays
+        left = keys[at] != key
+        key, value, at = key[left], value[left], (at[left] + 1) % n
+    return keys, values
+
 
 class Tokenizer:
     """A vocabulary file: special tokens, normalising, split, automaton, labels."""
@@ -202,27 +260,38 @@ class Tokenizer:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no form of its own at the end of a word
         return self.split.findall(text.lower())
 
-    def word(self, word: str) -> bytes:
-        a = self.automaton
-        return a.ids[a.encode(word.encode())].astype("<u4").tobytes()
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of words; what was remembered before is dropped when it is much."""
+        new = words.difference(self.memory)
+        if len(self.memory) + len(new) > REMEMBER:
+            self.memory.clear()
+            new = words
+        new = list(new)
+        for lo in range(0, len(new), AT_ONCE):
+            part = new[lo:lo + AT_ONCE]
+            tokens, ends = self.automaton.encode([w.encode() for w in part])
+            raw, ends = self.automaton.ids[tokens].astype("<u4").tobytes(), (ends * 4).tolist()
+            self.memory.update(zip(part, map(raw.__getitem__, map(slice, ends, ends[1:]))))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as 4-byte numbers, low byte first."""
-        found = self.marks.findall(text) if "<" in text else []
-        parts = []
-        for k, piece in enumerate(self.marks.split(text) if found else [text]):
-            if k:
-                parts.append(self.special[found[k - 1]].to_bytes(4, "little"))
-            words = self.words(piece)
-            new = set(words).difference(self.memory)
-            if new:
-                if len(self.memory) > REMEMBER:
-                    self.memory.clear()
-                    new = set(words)
-                for w in new:
-                    self.memory[w] = self.word(w)
-            parts += map(self.memory.__getitem__, words)
-        return b"".join(parts)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts; words that are not remembered are encoded together."""
+        split, new = [], set()
+        for text in texts:
+            marks = self.marks.findall(text) if "<" in text else []
+            parts = [self.words(piece) for piece in (self.marks.split(text) if marks else [text])]
+            new.update(*parts)
+            split.append((marks, parts))
+        self.learn(new)
+        for marks, parts in split:
+            out = list(map(self.memory.__getitem__, parts[0]))
+            for mark, words in zip(marks, parts[1:]):
+                out.append(self.special[mark].to_bytes(4, "little"))
+                out += map(self.memory.__getitem__, words)
+            yield b"".join(out)
 
     def decode(self, ids: list[int]) -> bytes:
         """Labels of the ids with blanks between, as UTF-8; an id that is not of the file gives an error."""
@@ -271,7 +340,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches):
         for doc, text in steps(batches, "doc_id", "text"):
-            raw = [coder.encode(t or "") for t in text]
+            raw = list(coder.encode_all([t or "" for t in text]))
             ends = np.cumsum([0, *[len(r) >> 2 for r in raw]])
             ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
             yield pa.record_batch([pa.array(doc), ids.cast(pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -298,8 +367,7 @@ def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     def run(batches):
         for doc, text in steps(batches, "doc_id", "text"):
             n, a, b = [], [], []
-            for t in text:
-                raw = coder.encode(t or "")
+            for raw in coder.encode_all([t or "" for t in text]):
                 n.append(len(raw) >> 2)
                 a.append(hashlib.sha256(raw).hexdigest())
                 b.append(hashlib.sha256(coder.decode(np.frombuffer(raw, "<u4").tolist())).hexdigest())

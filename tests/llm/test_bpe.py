@@ -127,3 +127,20 @@ def test_other_files_are_refused(tmp_path):
         path.write_text(json.dumps(spec | change), encoding="utf-8")
         with pytest.raises(ValueError):
             bpe.Tokenizer(str(path))
+
+
+def test_words_are_encoded_together_as_alone(coder, library, monkeypatch):
+    r = random.Random(8)
+    words = list({"".join(r.choice("abcdeinthsoé日\U0001F600") for _ in range(r.choice([1, 2, 5, 9, 40]))) for _ in range(2000)}) + ["ab" * 3000]
+    tokens, ends = coder.automaton.encode([w.encode() for w in words])
+    assert len(ends) == len(words) + 1 and ends[-1] == len(tokens)
+    for w, a, z in zip(words, ends, ends[1:]):
+        alone, _ = coder.automaton.encode([w.encode()])
+        assert tokens[a:z].tolist() == alone.tolist()
+    assert [len(x) for x in coder.automaton.encode([])] == [0, 1]
+    calls, inner = [], coder.automaton.encode
+    monkeypatch.setattr(coder.automaton, "encode", lambda x: calls.append(len(x)) or inner(x))
+    coder.memory.clear()
+    texts = [f"{a} {b}<|endoftext|>{b}" for a, b in itertools.pairwise("".join(r.choice("abcde") for _ in range(7)) for _ in range(300))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 1 and calls[0] > 250
