@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointproc.llm.common import BASE, INVERSE, Bytes, buckets, heads, mix, pieces, powers, sliding_min, text_bytes
@@ -209,10 +209,14 @@ def distinct(rows: np.ndarray) -> np.ndarray:
     return rows[np.append(True, (rows[1:] != rows[:-1]).any(1))]
 
 
+def part_of(docs: DataFrame, size: int) -> Column:
+    """The group of documents, of about `OFFER` bytes of text, that a document is worked on with."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets(docs.sparkSession, size, OFFER))).alias("part")
+
+
 def linked_places(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, other_id, other_cell, cells: cells of places that share a value, the other document being an earlier one."""
     n = buckets(docs.sparkSession, size, BUCKET)
-    parts = F.pmod(F.xxhash64("doc_id"), F.lit(buckets(docs.sparkSession, size, OFFER))).alias("part")
 
     def rows_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         t = t.sort_by("doc_id")
@@ -280,7 +284,7 @@ def linked_places(docs: DataFrame, size: int) -> DataFrame:
             yield table_of(np.stack([of, place, of, place], 1)[shared], value[shared].view(np.int64))
 
     names = "doc_id long, cell long, other_id long, other_cell long"
-    dealt = docs.select("doc_id", "text", parts)
+    dealt = docs.select("doc_id", "text", part_of(docs, size))
     known = store(dealt.groupBy("part").applyInArrow(count, "bucket long, part long, keys binary")
                   .groupBy("bucket").applyInArrow(compared, "part long, bucket long, keys long, shared binary"))
     met = store(dealt.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(
@@ -422,8 +426,11 @@ def best_stretches(a: np.ndarray, b: np.ndarray, windows: np.ndarray, size: np.n
 
     size: distinct shingles of each window. For each start in b a stretch ends where it
     has more distinct shingles than the threshold allows; a window that has too few
-    matches even there is not compared with any stretch of that start.
+    matches even there is not compared with any stretch of that start. Of equal neighbours
+    in b only the first counts: a stretch that begins or ends at another has the same set.
     """
+    places = np.flatnonzero(heads(b))
+    b = b[places]
     seen = np.zeros((len(a) + 1, len(b)), np.int16)
     np.cumsum(a[:, None] == b, 0, out=seen[1:])
     inside = seen[windows + SPAN] > seen[windows]
@@ -440,7 +447,12 @@ def best_stretches(a: np.ndarray, b: np.ndarray, windows: np.ndarray, size: np.n
     may = inside & (running[:, end] - running[:, :-1] >= (threshold * size - 1e-9)[:, None])
     some = may.any(1)
     windows, size, inside, running, may = windows[some], size[some], inside[some], running[some], may[some]
-    best, first, last = (np.zeros(len(windows)) for _ in range(3))
+    which = np.arange(len(windows))
+    if near.any():  # windows of one set
+        _, one, which = np.unique(np.column_stack([np.packbits(inside, axis=1), size]), axis=0, return_index=True, return_inverse=True)
+        which = which.ravel()
+        size, inside, running, may = size[one], inside[one], running[one], may[one]
+    best, first, last = (np.zeros(len(size)) for _ in range(3))
 
     def take(i, similarity, s, e):
         new = similarity > best[i]
@@ -454,7 +466,7 @@ def best_stretches(a: np.ndarray, b: np.ndarray, windows: np.ndarray, size: np.n
             j = shared / (size[i, None] + np.cumsum(fresh) - shared)
             k = j.argmax(1)
             take(i, j[np.arange(len(i)), k], s, s + k)
-    elif len(windows):
+    elif len(size):
         i, s = np.nonzero(may)
         similarity, at, base = np.zeros(len(i)), s.copy(), running[i, s]
         for length in range(math.ceil(threshold * int(size.min()) - 1e-9), most + 1):
@@ -466,8 +478,8 @@ def best_stretches(a: np.ndarray, b: np.ndarray, windows: np.ndarray, size: np.n
         order = np.lexsort((s, -similarity, i))
         order = order[heads(i[order])]
         take(i[order], similarity[order], s[order], at[order])
-    for w in np.flatnonzero(best >= threshold - 1e-9).tolist():
-        yield int(windows[w]), int(first[w]), int(last[w])
+    for w in np.flatnonzero(best[which] >= threshold - 1e-9).tolist():
+        yield int(windows[w]), int(places[int(first[which[w]])]), int(places[int(last[which[w]])])
 
 
 def similar_runs(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
@@ -516,22 +528,27 @@ def similar_runs(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) ->
 def near_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, start_word, end_word, other_id, other_start, other_end: maximal near-duplicate passages, the other one earlier.
 
-    The linked cells of the earlier documents go, with their surroundings, to the later
-    ones, which are then read once more and compared with all that came to them: each
+    The linked cells of the earlier documents go, with their surroundings, to the groups
+    of the later ones, once to each group. The later ones are then read once more and
+    compared with all that they are linked with: each
     cell once, against all of their own cells that share a value with it. Copies link
     with the first document of their class and have its other links through it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     if _repeats(rows):
         rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))  # the same one whenever it is read
-    links = linked_places(rows, text_bytes(rows))
+    size = text_bytes(rows)
+    links = linked_places(rows, size)
     around = store(surroundings(rows, links.select(F.col("other_id").alias("doc_id"), F.col("other_cell").alias("cell"))))
+    part = part_of(rows, size)
     other = around.select(F.col("doc_id").alias("other_id"), F.col("cell").alias("other_cell"), "start", "hashes")
-    came = links.join(other, ["other_id", "other_cell"]).groupBy("doc_id").agg(
-        F.collect_list(F.struct("other_id", "cells", "start", "hashes")).alias("came"))
+    there = other.join(links.select("other_id", "other_cell", part).distinct(), ["other_id", "other_cell"])
+    came = links.groupBy("doc_id").agg(F.collect_list(F.struct("other_id", "other_cell", "cells")).alias("came"))
 
-    def verify(batches):
-        for batch in batches:
+    def verify(t: pa.Table, there: pa.Table) -> pa.Table:
+        cells = {(a, c): (s, h) for a, c, s, h in zip(*(there.column(x).to_pylist() for x in ("other_id", "other_cell", "start", "hashes")))}
+        got = []
+        for batch in t.to_batches(max_chunksize=1 << 10):
             came = batch.column("came")
             for lo, hi, b in pieces(batch.column("text")):
                 h, doc, _ = shingles(b)
@@ -541,22 +558,23 @@ def near_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 out = []
                 for i, links in enumerate(came.slice(lo, hi - lo).to_pylist()):
                     own, runs, seen = h[begin[i]:begin[i + 1]], set(), {}
-                    for link in sorted(links, key=lambda x: (x["other_id"], x["start"])):
-                        there = np.frombuffer(link["hashes"], np.uint32)
+                    for link in sorted(links, key=lambda x: (x["other_id"], x["other_cell"])):
+                        start, there = cells[link["other_id"], link["other_cell"]]
+                        there = np.frombuffer(there, np.uint32)
                         for s, e in ranges(link["cells"]):
                             for x, y, p, q in similar_runs(own[s:e], there, threshold):
                                 same = seen.setdefault((s + x, s + y, there[p:q].tobytes()), [])
                                 if any(other != link["other_id"] and one_window(a, o, there, p, q) for other, a, o in same):
                                     continue
                                 same.append((link["other_id"], there, p))
-                                runs.add((link["other_id"], s + x, s + y + SHINGLE - 1, link["start"] + p, link["start"] + q + SHINGLE - 1))
+                                runs.add((link["other_id"], s + x, s + y + SHINGLE - 1, start + p, start + q + SHINGLE - 1))
                     out.extend((ids[i], *run) for run in joined(sorted(runs)))
-                if out:
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)],
-                                          names=["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end"])
+                got += out
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*got) if got else [[]] * len(names))], names=names)
 
-    names = "start_word long, end_word long, other_start long, other_end long"
-    out = store(rows.join(came, "doc_id").select("doc_id", "text", "came").mapInArrow(verify, f"doc_id long, other_id long, {names}"))
+    names = ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end"]
+    out = store(rows.join(came, "doc_id").select("doc_id", "text", "came", part).groupBy("part").cogroup(there.groupBy("part")).applyInArrow(
+        verify, ", ".join(f"{x} long" for x in names)))
     discard(links, around)
     return out.select("doc_id", "start_word", "end_word", "other_id", "other_start", "other_end")
 

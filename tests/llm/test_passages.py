@@ -176,3 +176,21 @@ def test_a_common_line_in_foreign_texts_offers_nothing(spark, monkeypatch):
     met.clear()
     passages.linked_places(docs, 4000)
     assert {r.doc_id for r in met[1].collect()} <= {50, 51}
+
+
+def test_stretches_of_repeated_words_are_compared_once(monkeypatch):
+    seen, earlier = [], passages.earlier
+    monkeypatch.setattr(passages, "earlier", lambda x: seen.append(len(x)) or earlier(x))
+    r = random.Random(9)
+    for _ in range(20):
+        run = lambda lo, hi: [x for _ in range(r.randint(lo, hi)) for x in [r.randrange(6)] * r.randint(1, 30)]
+        a, b = np.array((run(9, 12) * 3)[:120], np.uint32), np.array(run(5, 8), np.uint32)
+        n = len(a) - passages.SPAN + 1
+        size = np.array([len(set(a[w:w + passages.SPAN].tolist())) for w in range(n)])
+        seen.clear()
+        got = {w: (s, e) for w, s, e in passages.best_stretches(a, b, np.arange(n), size, 0.8)}
+        assert max(seen) == 1 + (b[1:] != b[:-1]).sum()
+        for w in range(n):
+            x = set(a[w:w + passages.SPAN].tolist())
+            best = max((len(x & y) / len(x | y), -s, -e) for s in range(len(b)) for e in range(s, len(b)) if (y := set(b[s:e + 1].tolist())))
+            assert (w in got) == (best[0] >= 0.8 - 1e-9) and got.get(w, (-best[1], -best[2])) == (-best[1], -best[2])
