@@ -542,8 +542,10 @@ def near_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     around = store(surroundings(rows, links.select(F.col("other_id").alias("doc_id"), F.col("other_cell").alias("cell"))))
     part = part_of(rows, size)
     other = around.select(F.col("doc_id").alias("other_id"), F.col("cell").alias("other_cell"), "start", "hashes")
-    there = other.join(links.select("other_id", "other_cell", part).distinct(), ["other_id", "other_cell"])
-    came = links.groupBy("doc_id").agg(F.collect_list(F.struct("other_id", "other_cell", "cells")).alias("came"))
+    there = store(other.join(links.select("other_id", "other_cell", part).distinct(), ["other_id", "other_cell"]))
+    discard(around)
+    came = store(links.groupBy("doc_id").agg(F.collect_list(F.struct("other_id", "other_cell", "cells")).alias("came")))
+    discard(links)
 
     def verify(t: pa.Table, there: pa.Table) -> pa.Table:
         cells = {(a, c): (s, h) for a, c, s, h in zip(*(there.column(x).to_pylist() for x in ("other_id", "other_cell", "start", "hashes")))}
@@ -575,7 +577,7 @@ def near_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     names = ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end"]
     out = store(rows.join(came, "doc_id").select("doc_id", "text", "came", part).groupBy("part").cogroup(there.groupBy("part")).applyInArrow(
         verify, ", ".join(f"{x} long" for x in names)))
-    discard(links, around)
+    discard(there, came)
     return out.select("doc_id", "start_word", "end_word", "other_id", "other_start", "other_end")
 
 
