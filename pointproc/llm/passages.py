@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointproc.llm.common import BASE, INVERSE, Bytes, buckets, heads, mix, pieces, powers, sliding_min, text_bytes
+from pointproc.llm.components import components
 from pointproc.session import discard, store
 
 WORDS, SHINGLE, THRESHOLD, HASHES = 50, 5, 0.8, 6
@@ -50,6 +51,8 @@ CELL, STRETCH = 2 * SPAN, int(SPAN / THRESHOLD) + 1
 OFFER, BUCKET = 4 << 20, 32 << 20
 #: Bits of a sketch of shingles, and how many of a window's shingles a resembling stretch may lack.
 SKETCH, STRANGE = 512, int(SPAN * (1 - THRESHOLD) + 1e-9)
+#: Shingles of all windows with a place in a cell, and bits of the sketch of a cell's surroundings.
+REACH, WIDE = CELL + 2 * SPAN - 2, 2048
 #: How many shingles of a window of the stretch may be missing in the window that resembles the stretch.
 LACK = int((STRETCH - 1) * (1 - THRESHOLD) + 1e-9)
 #: Bits of a shingle's hash that go to the count, besides those that name the bucket.
@@ -157,14 +160,20 @@ def begins(head: np.ndarray) -> np.ndarray:
     return np.flatnonzero(head)[np.cumsum(head) - 1]
 
 
-def pairs_with(start: np.ndarray, times: np.ndarray, of: np.ndarray, cell: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows (document, cell, other document, its cell): each row with the `times` rows from `start` on, some million at once."""
+def row_pairs(start: np.ndarray, times: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row with the `times` rows from `start` on, about `limit` pairs at once."""
     rows = np.flatnonzero(times)
     start, times = start[rows], times[rows]
-    for lo, hi in chunks(np.cumsum(times), 1 << 20):
+    for lo, hi in chunks(np.cumsum(times), limit):
         many = times[lo:hi]
         a = np.repeat(rows[lo:hi], many)
         b = np.repeat(start[lo:hi] - (np.cumsum(many) - many), many) + np.arange(len(a))
+        yield a, b
+
+
+def pairs_with(start: np.ndarray, times: np.ndarray, of: np.ndarray, cell: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows (document, cell, other document, its cell) of the pairs of rows, without repeats."""
+    for a, b in row_pairs(start, times):
         yield distinct(np.stack([of[a], cell[a], of[b], cell[b]], 1))
 
 
@@ -175,14 +184,14 @@ def copies(of: np.ndarray, cell: np.ndarray, head: np.ndarray, own: np.ndarray)
         yield from pairs_with(start, np.where(own, 0, np.bincount(start[own], minlength=len(of))[start]), of, cell)
 
 
-def between(value: np.ndarray, of: np.ndarray, cell: np.ndarray, doc: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """Links of all rows with those of every earlier document that has the value; `doc`: their documents, if `of` is not."""
+def between(value: np.ndarray, of: np.ndarray, cell: np.ndarray) -> Iterator[np.ndarray]:
+    """Links of all rows with those of every earlier document that has the value."""
     if len(value):
         order = np.lexsort((cell, of, value))
         value, of, cell = value[order], of[order], cell[order]
         head = heads(value)
         start = begins(head)
-        yield from pairs_with(start, begins(head | heads(of if doc is None else doc[order])) - start, of, cell)
+        yield from pairs_with(start, begins(head | heads(of)) - start, of, cell)
 
 
 def meetings(value: np.ndarray, of: np.ndarray, cell: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
@@ -214,8 +223,11 @@ def part_of(docs: DataFrame, size: int) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(buckets(docs.sparkSession, size, OFFER))).alias("part")
 
 
-def linked_places(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, other_id, other_cell, cells: cells of places that share a value, the other document being an earlier one."""
+def met_places(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, cell, other_id, other_cell, value: cells that are copies (no value), and places of classes with a value that other classes have.
+
+    The latter are places, not cells: each with one of the document before it with the value, or itself.
+    """
     n = buckets(docs.sparkSession, size, BUCKET)
 
     def rows_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -277,51 +289,104 @@ def linked_places(docs: DataFrame, size: int) -> DataFrame:
         for links in copies(of, place // CELL, head, own):
             yield table_of(links)
         value, of, place = value[own], of[own], place[own]
-        low, high = np.minimum.reduceat, np.maximum.reduceat  # values of one document meet nobody
-        first = np.flatnonzero(heads(value))
-        if len(first):
-            shared = (low(of, first) < high(of, first))[np.cumsum(heads(value)) - 1]
-            yield table_of(np.stack([of, place, of, place], 1)[shared], value[shared].view(np.int64))
+        if len(value):
+            order = np.lexsort((place, of, value))
+            value, of, place = value[order], of[order], place[order]
+            head = heads(value)
+            shared = (of[head] < of[np.append(np.flatnonzero(head)[1:], len(of)) - 1])[np.cumsum(head) - 1]  # values of one document meet nobody
+            start = begins(head | heads(of))
+            before = np.where(start > begins(head), start - 1, np.arange(len(of)))
+            yield table_of(np.stack([of, place, of[before], place[before]], 1)[shared], value[shared].view(np.int64))
 
-    names = "doc_id long, cell long, other_id long, other_cell long"
     dealt = docs.select("doc_id", "text", part_of(docs, size))
     known = store(dealt.groupBy("part").applyInArrow(count, "bucket long, part long, keys binary")
                   .groupBy("bucket").applyInArrow(compared, "part long, bucket long, keys long, shared binary"))
     met = store(dealt.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(
         offer, "bucket long, value binary, of binary, pos binary, other binary, other_pos binary")
-                .groupBy("bucket").applyInArrow(gather, f"{names}, value long"))
+                .groupBy("bucket").applyInArrow(gather, MET))
     discard(known)
-    shared = met.where("value IS NOT NULL")
-    n = buckets(docs.sparkSession, shared.count() * (24 + 3 * SKETCH // 8), BUCKET)
-    places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("value", F.col("cell").alias("place"))).alias("places"))
+    return met
+
+
+def between_places(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """As `met_places`: cells of places of different classes with one value that the bitmaps do not rule out. shared: value, doc_id, place, class."""
+    n = buckets(docs.sparkSession, shared.count() * (32 + 3 * SKETCH // 8 + 3 * REACH + WIDE // 8), BUCKET)
+    places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("value", "place", "class")).alias("places"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
-        value, of, place = (t.column(c).to_numpy() for c in ("value", "doc_id", "place"))
-        order = np.lexsort((place, of, value))
-        left, right, around = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(len(value), -1)[order]
-                               for c in ("left", "right", "around"))
-        value, of, place = value[order], of[order], place[order]
-        rows = np.arange(len(value))
-        for pairs in between(value, rows, rows, of):
-            a, b = pairs[:, 0], pairs[:, 2]
-            ok = np.zeros(len(a), bool)
-            for lo in range(0, len(a), 1 << 17):
-                x, y = a[lo:lo + (1 << 17)], b[lo:lo + (1 << 17)]
-                strange = ~around[y]
-                ok[lo:lo + (1 << 17)] = np.minimum(*(np.bitwise_count(side[x] & strange).sum(1) for side in (left, right))) <= STRANGE
-            a, b = a[ok], b[ok]
-            yield table_of(distinct(np.stack([of[a], place[a] // CELL, of[b], place[b] // CELL], 1)))
+        value, of, place, kind = (t.column(c).to_numpy() for c in ("value", "doc_id", "place", "class"))
+        order = np.lexsort((place, of, kind, value))
+        left, right, around, shingle, lack, there = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(len(value), -1)[order] for c, kind in (
+            ("left", np.uint64), ("right", np.uint64), ("around", np.uint64), ("shingles", np.uint16), ("lack", np.int8), ("there", np.uint8)))
+        value, of, place, kind = value[order], of[order], place[order], kind[order]
+        start = begins(heads(value))
+        for a, b in row_pairs(start, begins(heads(value) | heads(kind)) - start, 1 << 17):
+            a, b = np.where(of[a] > of[b], a, b), np.where(of[a] > of[b], b, a)
+            strange = ~around[b]
+            ok = np.minimum(*(np.bitwise_count(side[a] & strange).sum(1) for side in (left, right))) <= STRANGE
+            cells = np.stack([of[a], place[a] // CELL, of[b], place[b] // CELL], 1)[ok]
+            a, b, order = a[ok], b[ok], np.lexsort(cells.T[::-1])
+            first = order[np.append(True, (cells[order[1:]] != cells[order[:-1]]).any(1))] if len(order) else order
+            for x in np.array_split(first, -(-len(first) // (1 << 14))) if len(first) else ():
+                ok = may_resemble(shingle[a[x]], lack[a[x]], there[b[x]])
+                yield table_of(cells[x[ok]])
 
     seen = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(
-        sketched, "doc_id long, value long, place long, left binary, right binary, around binary")
-    links = seen.groupBy(F.pmod("value", F.lit(n)).alias("bucket")).applyInArrow(compare, f"{names}, value long").unionAll(
-        met.where("value IS NULL")).groupBy("doc_id", "other_id", "other_cell").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
-    out = store(links)
+        sketched, "doc_id long, value long, place long, class long, left binary, right binary, around binary, shingles binary, lack binary, there binary")
+    return seen.groupBy(F.pmod("value", F.lit(n)).alias("bucket")).applyInArrow(compare, MET)
+
+
+def links_of(cells: DataFrame) -> DataFrame:
+    """doc_id, other_id, other_cell, cells: all cells of a document that are linked with one of an earlier document."""
+    return cells.groupBy("doc_id", "other_id", "other_cell").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+
+
+def linked_places(docs: DataFrame, size: int) -> DataFrame:
+    """Links of cells of places that share a value, the other document being an earlier one."""
+    met = met_places(docs, size)
+    shared = met.where("value IS NOT NULL").select("value", "doc_id", F.col("cell").alias("place"), F.col("doc_id").alias("class"))
+    out = store(links_of(between_places(docs, shared).unionAll(met.where("value IS NULL"))))
     discard(met)
     return out
 
 
+def likeliest(met: DataFrame) -> DataFrame:
+    """Links of each cell with the cell of an earlier document that most of its places meet, of `met_places`."""
+    n = buckets(met.sparkSession, met.count() * 40, BUCKET)
+
+    def best(t: pa.Table) -> pa.Table:
+        doc, cell, other, other_cell = (t.column(c).to_numpy() for c in ("doc_id", "cell", "other_id", "other_cell"))
+        place = t.column("value").is_valid().to_numpy()
+        rows = np.stack([doc, np.where(place, cell // CELL, cell), other, np.where(place, other_cell // CELL, other_cell)], 1)
+        rows = rows[np.lexsort(rows.T[::-1])]
+        first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(1)))
+        rows, many = rows[first], np.diff(np.append(first, len(rows)))
+        rows = rows[np.lexsort((rows[:, 2], -many, rows[:, 1], rows[:, 0]))]
+        return pa.Table.from_batches([table_of(rows[heads(rows[:, 0]) | heads(rows[:, 1])])])
+
+    return links_of(met.where("doc_id <> other_id").groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(n))).applyInArrow(best, MET))
+
+
+def parted_places(met: DataFrame, joined: DataFrame) -> DataFrame:
+    """value, doc_id, place, class: places whose value documents of several classes have. joined: node, component."""
+    shared = met.where("value IS NOT NULL").select("value", "doc_id", F.col("cell").alias("place"))
+    n = buckets(met.sparkSession, shared.count() * 32, BUCKET)
+
+    def parted(t: pa.Table) -> pa.Table:
+        order = np.lexsort((t.column("class").to_numpy(), t.column("value").to_numpy()))
+        value, kind = (t.column(c).to_numpy()[order] for c in ("value", "class"))
+        head = heads(value)
+        last = np.append(np.flatnonzero(head)[1:], len(value)) - 1
+        some = (kind[head] < kind[last])[np.cumsum(head) - 1]
+        return t.take(pa.array(order[some]))
+
+    known = joined.select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
+    rows = shared.join(known, "doc_id", "left").select("value", "doc_id", "place", F.coalesce("class", "doc_id").alias("class"))
+    return rows.groupBy(F.pmod("value", F.lit(n))).applyInArrow(parted, "value long, doc_id long, place long, class long")
+
+
+MET = "doc_id long, cell long, other_id long, other_cell long, value long"
 PACKET = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("value", "of", "pos", "other", "other_pos"))])
 
 
@@ -331,7 +396,7 @@ def table_of(links: np.ndarray, value: np.ndarray | None = None) -> pa.RecordBat
 
 
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmaps of the shingles beside each place and around it.
+    """Bitmaps of the shingles beside each place and around it, and what `may_resemble` asks of its cell.
 
     A window with the place holds all of one side. If it resembles a stretch of
     another document with the value, at most `STRANGE` of its shingles are missing
@@ -345,21 +410,56 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = np.searchsorted(doc, np.arange(hi - lo + 1))
             places = batch.column("places").slice(lo, hi - lo)
             many, flat = places.value_lengths().to_numpy(), places.flatten()
-            value, place = (flat.field(k).to_numpy() for k in (0, 1))
+            value, place, kind = (flat.field(k).to_numpy() for k in range(3))
             of = np.repeat(np.arange(hi - lo), many)
-            for x in np.array_split(np.arange(len(of)), -(-len(of) // 10_000)) if len(of) else ():
-                at = place[x] + begin[of[x]]
+
+            def reach(x: np.ndarray, at: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+                near = (at + begin[of[x]])[:, None] + np.arange(-before, after + 1)
+                return near, (near >= begin[of[x], None]) & (near < begin[of[x] + 1, None])
+
+            for x in np.array_split(np.arange(len(of)), -(-len(of) // 5_000)) if len(of) else ():
                 bits = []
                 for before, after in ((side - 1, 0), (0, side - 1), (STRETCH, STRETCH)):
-                    near = at[:, None] + np.arange(-before, after + 1)
-                    inside = (near >= begin[of[x], None]) & (near < begin[of[x] + 1, None])
+                    near, inside = reach(x, place[x], before, after)
                     found = np.zeros((len(x), SKETCH), bool)
                     found[np.nonzero(inside)[0], (h[near[inside]] >> np.uint64(32)).astype(np.int64) % SKETCH] = True
                     if not before or not after:
                         found[~inside.all(1)] = True
-                    bits.append(pa.array([r.tobytes() for r in np.packbits(found, axis=1)], pa.binary()))
-                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo).take(pa.array(of[x])), pa.array(value[x]), pa.array(place[x]), *bits],
-                                      names=["doc_id", "value", "place", "left", "right", "around"])
+                    bits.append(np.packbits(found, axis=1))
+                cell = place[x] // CELL * CELL
+                near, inside = reach(x, cell, SPAN - 1, CELL + SPAN - 2)
+                bits.extend(wanted_of(np.where(inside, h[np.clip(near, 0, len(h) - 1)], np.arange(REACH, dtype=np.uint64)), inside))
+                near, inside = reach(x, cell, STRETCH, CELL + STRETCH - 1)
+                found = np.zeros((len(x), WIDE), bool)
+                found[np.nonzero(inside)[0], (h[near[inside]] >> np.uint64(32)).astype(np.int64) % WIDE] = True
+                bits.append(np.packbits(found, axis=1))
+                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo).take(pa.array(of[x])), pa.array(value[x]), pa.array(place[x]), pa.array(kind[x]),
+                                       *(pa.array([r.tobytes() for r in rows], pa.binary()) for rows in bits)],
+                                      names=["doc_id", "value", "place", "class", "left", "right", "around", "shingles", "lack", "there"])
+
+
+def wanted_of(h: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of shingles the bit of each, and how many of its distinct ones each window may lack; -1 if it is not all inside."""
+    order = np.argsort(h, 1, kind="stable")
+    ranked = np.take_along_axis(h, order, 1)
+    before = np.full(h.shape, -1, np.int16)
+    np.put_along_axis(before, order[:, 1:], np.where(ranked[:, 1:] == ranked[:, :-1], order[:, :-1], -1).astype(np.int16), 1)
+    lack = np.full((len(h), h.shape[1] - SPAN + 1), -1, np.int8)
+    for w in range(lack.shape[1]):
+        size = (before[:, w:w + SPAN] < w).sum(1)
+        lack[:, w] = np.where(inside[:, w] & inside[:, w + SPAN - 1], size * (1 - THRESHOLD) + 1e-9, -1)
+    bit = ((h >> np.uint64(32)) % np.uint64(WIDE)).astype(np.uint16)
+    bit[before >= 0] = WIDE  # one that stands again is taken as found
+    return bit, lack
+
+
+def may_resemble(bit: np.ndarray, lack: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Whether any window of `wanted_of` lacks no more than it may of the bitmap beside it: if none does, verification finds nothing."""
+    found = np.ones((len(there), WIDE + 8), np.uint8)
+    found[:, :WIDE] = np.unpackbits(there, axis=1)
+    missing = np.zeros((len(bit), bit.shape[1] + 1), np.int16)
+    np.cumsum(np.take_along_axis(found, bit.astype(np.int64), 1) ^ 1, 1, out=missing[:, 1:])
+    return (missing[:, SPAN:] - missing[:, :-SPAN] <= lack).any(1)
 
 
 def neighbourhoods(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -482,11 +582,11 @@ def best_stretches(a: np.ndarray, b: np.ndarray, windows: np.ndarray, size: np.n
         yield int(windows[w]), int(places[int(first[which[w]])]), int(places[int(last[which[w]])])
 
 
-def similar_runs(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
+def similar_runs(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, one: bool = False) -> list[tuple[int, int, int, int]]:
     """First and last shingle (exclusive) of runs of a's windows that resemble a stretch of b, and of that stretch.
 
-    A window of distinct shingles whose matches in b, all together, are dense enough is
-    settled by them. Any other with enough matches is held against all stretches of b
+    A window whose matches in b, all together, are dense enough is
+    settled by them. With `one` that will do, if there is such a window. Any other with enough matches is held against all stretches of b
     that begin and end with one of its shingles, wherever else these may stand.
     """
     n = len(a) - SPAN + 1
@@ -511,9 +611,9 @@ def similar_runs(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) ->
     low = sliding_min(np.where(hit, place, far), SPAN)
     high = -sliding_min(np.where(hit, -place, far), SPAN)
     stretch = np.maximum(high - low + 1, 1)
-    ok = (size == SPAN) & (shared >= threshold * (SPAN + stretch - shared) - 1e-9)
+    ok = (shared > 0) & (shared >= threshold * (size + stretch - shared) - 1e-9)
     hard = np.flatnonzero(~ok & (shared > 0) & (shared >= threshold * size - 1e-9))
-    if len(hard):
+    if len(hard) and not (one and ok.any()):
         for w, p, q in best_stretches(a, b, hard, size[hard], threshold):
             ok[w], low[w], high[w] = True, p, q
     w = np.flatnonzero(ok)
@@ -526,7 +626,52 @@ def similar_runs(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) ->
 
 
 def near_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, start_word, end_word, other_id, other_start, other_end: maximal near-duplicate passages, the other one earlier.
+    """doc_id, start_word, end_word, other_id, other_start, other_end: maximal near-duplicate passages, the other one earlier."""
+    rows = texts(docs)
+    size = text_bytes(rows)
+    return verified(rows, linked_places(rows, size), size, threshold).select(
+        "doc_id", "start_word", "end_word", "other_id", "other_start", "other_end")
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, component_id, kept, start_word, end_word, other_id, other_start, other_end.
+
+    component_id is the least id that the document is linked with by near-duplicate
+    passages, over other documents too, and kept is true for it. Each cell is first
+    compared with one of an earlier document that most of its places meet. Then all
+    places with one value whose documents are not in one class yet are compared, so
+    that a group of near copies takes no pairs beyond those that join it. The last
+    columns are one of the passages found, as in `near_passages`.
+    """
+    rows = texts(docs)
+    size = text_bytes(rows)
+    met = met_places(rows, size)
+    some = verified(rows, store(likeliest(met)), size, threshold, True)
+    pairs = some.select("doc_id", "other_id")
+    links = store(met.where("value IS NULL").select("doc_id", "other_id").unionAll(pairs).distinct().toDF("a", "b"))
+    parted = store(parted_places(met, components(links)))
+    discard(met)
+    rest = verified(rows, store(links_of(between_places(rows, parted))), size, threshold, True)
+    discard(parted)
+    joined = components(links.unionAll(rest.select("doc_id", "other_id")))
+    shown = ["other_id", "start_word", "end_word", "other_start", "other_end"]
+    found = some.unionAll(rest).groupBy("doc_id").agg(F.min(F.struct(*shown)).alias("one"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return ids.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(found, "doc_id", "left").select(
+        "doc_id", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        *(f"one.{c}" for c in ("start_word", "end_word", "other_id", "other_start", "other_end")))
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text: one row of each id, without missing ones."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    if _repeats(rows):
+        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))  # the same one whenever it is read
+    return rows
+
+
+def verified(rows: DataFrame, links: DataFrame, size: int, threshold: float, one: bool = False) -> DataFrame:
+    """Passages of the links, as `near_passages` gives them, or with `one` a passage of each two documents. The table of links goes.
 
     The linked cells of the earlier documents go, with their surroundings, to the groups
     of the later ones, once to each group. The later ones are then read once more and
@@ -534,11 +679,6 @@ def near_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     cell once, against all of their own cells that share a value with it. Copies link
     with the first document of their class and have its other links through it.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    if _repeats(rows):
-        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))  # the same one whenever it is read
-    size = text_bytes(rows)
-    links = linked_places(rows, size)
     around = store(surroundings(rows, links.select(F.col("other_id").alias("doc_id"), F.col("other_cell").alias("cell"))))
     part = part_of(rows, size)
     other = around.select(F.col("doc_id").alias("other_id"), F.col("cell").alias("other_cell"), "start", "hashes")
@@ -547,38 +687,48 @@ def near_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     came = store(links.groupBy("doc_id").agg(F.collect_list(F.struct("other_id", "other_cell", "cells")).alias("came")))
     discard(links)
 
-    def verify(t: pa.Table, there: pa.Table) -> pa.Table:
-        cells = {(a, c): (s, h) for a, c, s, h in zip(*(there.column(x).to_pylist() for x in ("other_id", "other_cell", "start", "hashes")))}
-        got = []
-        for batch in t.to_batches(max_chunksize=1 << 10):
-            came = batch.column("came")
-            for lo, hi, b in pieces(batch.column("text")):
-                h, doc, _ = shingles(b)
-                begin = np.searchsorted(doc, np.arange(hi - lo + 1))
-                h = (h >> np.uint64(32)).astype(np.uint32)
-                ids = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
-                out = []
-                for i, links in enumerate(came.slice(lo, hi - lo).to_pylist()):
-                    own, runs, seen = h[begin[i]:begin[i + 1]], set(), {}
-                    for link in sorted(links, key=lambda x: (x["other_id"], x["other_cell"])):
-                        start, there = cells[link["other_id"], link["other_cell"]]
-                        there = np.frombuffer(there, np.uint32)
-                        for s, e in ranges(link["cells"]):
-                            for x, y, p, q in similar_runs(own[s:e], there, threshold):
-                                same = seen.setdefault((s + x, s + y, there[p:q].tobytes()), [])
-                                if any(other != link["other_id"] and one_window(a, o, there, p, q) for other, a, o in same):
-                                    continue
-                                same.append((link["other_id"], there, p))
-                                runs.add((link["other_id"], s + x, s + y + SHINGLE - 1, start + p, start + q + SHINGLE - 1))
-                    out.extend((ids[i], *run) for run in joined(sorted(runs)))
-                got += out
-        return pa.table([pa.array(c, pa.int64()) for c in (zip(*got) if got else [[]] * len(names))], names=names)
-
-    names = ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end"]
     out = store(rows.join(came, "doc_id").select("doc_id", "text", "came", part).groupBy("part").cogroup(there.groupBy("part")).applyInArrow(
-        verify, ", ".join(f"{x} long" for x in names)))
+        lambda t, there: passages_of(t, there, threshold, one), ", ".join(f"{x} long" for x in FOUND)))
     discard(there, came)
-    return out.select("doc_id", "start_word", "end_word", "other_id", "other_start", "other_end")
+    return out
+
+
+FOUND = ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end"]
+
+
+def passages_of(t: pa.Table, there: pa.Table, threshold: float, one: bool = False) -> pa.Table:
+    """Passages of documents with their texts and links, the surroundings of the linked cells given."""
+    cells = {(a, c): (s, h) for a, c, s, h in zip(*(there.column(x).to_pylist() for x in ("other_id", "other_cell", "start", "hashes")))}
+    got = []
+    for batch in t.to_batches(max_chunksize=1 << 10):
+        came = batch.column("came")
+        for lo, hi, b in pieces(batch.column("text")):
+            h, doc, _ = shingles(b)
+            begin = np.searchsorted(doc, np.arange(hi - lo + 1))
+            h = (h >> np.uint64(32)).astype(np.uint32)
+            ids = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
+            out = []
+            for i, links in enumerate(came.slice(lo, hi - lo).to_pylist()):
+                own, runs, seen = h[begin[i]:begin[i + 1]], set(), {}
+                for link in sorted(links, key=lambda x: (x["other_id"], x["other_cell"])):
+                    if one and link["other_id"] in seen:
+                        continue
+                    start, there = cells[link["other_id"], link["other_cell"]]
+                    there = np.frombuffer(there, np.uint32)
+                    for s, e in ranges(link["cells"]):
+                        for x, y, p, q in similar_runs(own[s:e], there, threshold, one):
+                            if one:
+                                seen[link["other_id"]] = True
+                                runs.add((link["other_id"], s + x, s + y + SHINGLE - 1, start + p, start + q + SHINGLE - 1))
+                                break
+                            same = seen.setdefault((s + x, s + y, there[p:q].tobytes()), [])
+                            if any(other != link["other_id"] and one_window(a, o, there, p, q) for other, a, o in same):
+                                continue
+                            same.append((link["other_id"], there, p))
+                            runs.add((link["other_id"], s + x, s + y + SHINGLE - 1, start + p, start + q + SHINGLE - 1))
+                out.extend((ids[i], *run) for run in joined(sorted(runs)))
+            got += out
+    return pa.table([pa.array(c, pa.int64()) for c in (zip(*got) if got else [[]] * len(FOUND))], names=FOUND)
 
 
 def one_window(a: np.ndarray, o: int, b: np.ndarray, p: int, q: int) -> bool:

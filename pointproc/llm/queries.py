@@ -25,7 +25,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.near_passages(table(spark, sf_dir, "documents"))
+    return passages.near_classes(table(spark, sf_dir, "documents"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,3 +194,52 @@ def test_stretches_of_repeated_words_are_compared_once(monkeypatch):
             x = set(a[w:w + passages.SPAN].tolist())
             best = max((len(x & y) / len(x | y), -s, -e) for s in range(len(b)) for e in range(s, len(b)) if (y := set(b[s:e + 1].tolist())))
             assert (w in got) == (best[0] >= 0.8 - 1e-9) and got.get(w, (-best[1], -best[2])) == (-best[1], -best[2])
+
+
+def test_classes_of_near_copies_take_no_pairs_beyond_those_that_join_them(spark, monkeypatch):
+    r = random.Random(6)
+    fill = lambda name, n: [f"{name}{i}" for i in range(n)]
+    one, two = fill("x", 120), fill("y", 70)
+
+    def edited(passage, *at):
+        return [f"e{r.random()}" if k in at else w for k, w in enumerate(passage)]
+
+    rows = [(k, fill(f"a{k}_", 20) + edited(one, 60 + k) + fill(f"b{k}_", 20)) for k in range(40)]
+    rows += [(100 + k, fill(f"c{k}_", 30) + edited(two, 5 * k) + fill(f"d{k}_", 9)) for k in range(5)]
+    rows += [(200, fill("g", 60)), (201, edited(one, 11) + fill("f", 30) + two), (202, fill("h", 8) + one[:20])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows] + [(300, None), (None, "w " * 90)], "doc_id long, text string").repartition(3)
+    pairs = {(x.doc_id, x.other_id) for x in passages.near_passages(docs).collect()}
+    least = {i: i for i, _ in rows} | {300: 300}
+    for _ in rows:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    links, verified = [], passages.verified
+    monkeypatch.setattr(passages, "verified", lambda rows, table, *x: links.append(table.count()) or verified(rows, table, *x))
+    got = passages.near_classes(docs).collect()
+    assert {x.doc_id: (x.component_id, x.kept) for x in got} == {i: (c, i == c) for i, c in least.items()} | {None: (None, True)}
+    assert len(got) == len(rows) + 2 and least[201] == least[104] == least[39] == 0 and least[202] == 202
+    assert len(pairs) > 700 and sum(links) < 200
+    for x in got:
+        assert x.other_id is None or (x.doc_id, x.other_id) in pairs and x.end_word - x.start_word >= 50
+
+
+def test_what_may_not_resemble_has_no_similar_run():
+    r = random.Random(8)
+    cell = passages.CELL
+    kept = 0
+    for turn in range(60):
+        b = np.array([r.randrange(1 << 32) if r.random() < 0.8 else r.randrange(30) for _ in range(cell + 2 * passages.STRETCH)], np.uint64)
+        a = b[13:13 + passages.REACH].copy()
+        for k in range(len(a)):
+            if r.random() < 0.02 * (turn % 20):
+                a[k] = r.randrange(1 << 32)
+        if turn % 6 == 0:
+            a[20:150] = b[40]
+        inside = np.ones((1, len(a)), bool)
+        bit, lack = passages.wanted_of(a[None] << np.uint64(32), inside)
+        there = np.zeros((1, passages.WIDE), bool)
+        there[0, (b % np.uint64(passages.WIDE)).astype(np.int64)] = True
+        may = bool(passages.may_resemble(bit, lack, np.packbits(there, axis=1))[0])
+        assert may or not passages.similar_runs(a.astype(np.uint32), b.astype(np.uint32))
+        kept += may
+    assert 0 < kept < 60
