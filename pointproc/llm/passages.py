@@ -17,8 +17,8 @@ five-word shingles have a Jaccard similarity of at least `THRESHOLD`.
    join the runs of the first document of their class only. The classes of a value, each
    by its first document, join one another all. The text is read again for the places whose
    value another document has: pairs whose bitmaps of the shingles beside the one and
-   around the other rule out every window with the value go, the rest are kept by cells
-   of both documents' places. Pairs leave a group some million at a time.
+   around the other rule out every window with the value go, as do pairs of cells without
+   a window that verification could keep; the rest are kept by cells of both documents' places.
 4. Verification: around each linked pair of places the shingles of both texts are
    compared, every window of the one against all stretches of the other, with every
    occurrence of its shingles there. Windows that pass are joined into maximal passages.
