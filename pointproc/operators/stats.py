@@ -181,32 +181,30 @@ def bootstrap_one_level(obs: DataFrame, keys: Sequence[str], order: str, width:
     Observations are numbered per endpoint; each replicate draws its indices by hash,
     so draws are made where they are used and are the same after a task is retried.
     """
-    rows = complete(obs)
-    small, large = _by_size(rows, list(keys))
-    if large is None:
-        return resampled(small, keys, None, order, iterations, seed)
-    return resampled(small, keys, None, order, iterations, seed).unionByName(
-        _joined_one_level(large, list(keys), order, width, iterations, seed))
+    keys, rows = list(keys), complete(obs)
+    small, total, large = _by_size(rows, keys)
+    inside = resampled(small, keys, None, order, iterations, seed, total)
+    return inside if large is None else inside.unionByName(_joined_one_level(large, keys, order, width, iterations, seed))
 
 
 def bootstrap_two_level(obs: DataFrame, keys: Sequence[str], cluster: str, order: str, width: int,
                         iterations: int, seed: int) -> DataFrame:
     """Replicate medians after drawing clusters, then observations inside each."""
-    rows = complete(obs)
-    small, large = _by_size(rows, list(keys))
-    if large is None:
-        return resampled(small, keys, cluster, order, iterations, seed)
-    return resampled(small, keys, cluster, order, iterations, seed).unionByName(
-        _joined_two_level(large, list(keys), cluster, order, width, iterations, seed))
+    keys, rows = list(keys), complete(obs)
+    small, total, large = _by_size(rows, keys)
+    inside = resampled(small, keys, cluster, order, iterations, seed, total)
+    return inside if large is None else inside.unionByName(_joined_two_level(large, keys, cluster, order, width, iterations, seed))
 
 
-def _by_size(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """Observations of endpoints that fit a task, and of the others if there are any."""
+def _by_size(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int, DataFrame | None]:
+    """Observations of endpoints that fit a task, how many they are, and those of the others if there are any."""
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= bootstrap.MOST:
-        return rows, None
+    fits = F.col("_n") <= bootstrap.MOST
+    total, most = sizes.agg(F.sum(F.when(fits, F.col("_n"))), F.max("_n")).first()
+    if (most or 0) <= bootstrap.MOST:
+        return rows, total or 0, None
     sized = rows.join(sizes, keys)
-    return sized.filter(F.col("_n") <= bootstrap.MOST).drop("_n"), sized.filter(F.col("_n") > bootstrap.MOST).drop("_n")
+    return sized.filter(fits).drop("_n"), total or 0, sized.filter(~fits).drop("_n")
 
 
 def _joined_one_level(obs: DataFrame, keys: list[str], order: str, width: int, iterations: int, seed: int) -> DataFrame:

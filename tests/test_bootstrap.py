@@ -5,6 +5,7 @@ import random
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pointproc.functions.resample import draw_words, first_halves
@@ -71,3 +72,27 @@ def test_medians_of_counts():
     value, none = m.of(np.array([0, 0, 0, 0, 1, 1, 2]), np.array([0, 1, 2, 3, 1, 2, 3]), 4)
     assert none.tolist() == [False, False, True, True] and value[:2].tolist() == [5.0, 3.0]
     assert bootstrap.Medians(np.zeros(2), np.ones(2, bool)).of(np.zeros(2, int), np.array([0, 1]), 1)[1].tolist() == [True]
+
+
+def test_observations_travel_no_more_often_than_there_are_tasks(spark, obs, monkeypatch):
+    """Copies of the observations are bounded by the shuffle width, not by the number of draws (quadratic in the observations)."""
+
+    def counted(keys, *_):
+        def run(batches):
+            for batch in batches:
+                yield pa.record_batch([pa.array(["x"]), pa.array([len(batch)], pa.int32()), pa.array([0.0]), pa.array([0.0])], names=["k", "iteration", "delta", "pct"])
+
+        return run
+
+    monkeypatch.setattr(bootstrap, "DRAWS", 10)
+    monkeypatch.setattr(bootstrap, "replicates", counted)
+    moved = sum(r.iteration for r in stats.bootstrap_one_level(obs, ["k"], "o", 1 << 16, 500, 3).collect())
+    assert 1 < moved <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_endpoints_of_several_packs(obs, monkeypatch):
+    one, two = (lambda: stats.bootstrap_one_level(obs, ["k"], "o", 1 << 16, 25, 3)), (
+        lambda: stats.bootstrap_two_level(obs, ["k"], "c", "o", 1 << 16, 25, 3))
+    together = found(one()), found(two())
+    monkeypatch.setattr(bootstrap, "MOST", 150)  # nothing is joined, but two packs are made
+    assert (found(one()), found(two())) == together
