@@ -74,7 +74,8 @@ def test_medians_of_counts():
     assert bootstrap.Medians(np.zeros(2), np.ones(2, bool)).of(np.zeros(2, int), np.array([0, 1]), 1)[1].tolist() == [True]
 
 
-def test_observations_travel_no_more_often_than_there_are_tasks(spark, obs, monkeypatch):
+@pytest.mark.parametrize("cluster", [None, "c"])
+def test_observations_travel_no_more_often_than_there_are_tasks(spark, obs, monkeypatch, cluster):
     """Copies of the observations are bounded by the shuffle width, not by the number of draws (quadratic in the observations)."""
 
     def counted(keys, *_):
@@ -86,7 +87,11 @@ def test_observations_travel_no_more_often_than_there_are_tasks(spark, obs, monk
 
     monkeypatch.setattr(bootstrap, "DRAWS", 10)
     monkeypatch.setattr(bootstrap, "replicates", counted)
-    moved = sum(r.iteration for r in stats.bootstrap_one_level(obs, ["k"], "o", 1 << 16, 500, 3).collect())
+    if cluster:
+        reps = stats.bootstrap_two_level(obs, ["k"], cluster, "o", 1 << 16, 500, 3)
+    else:
+        reps = stats.bootstrap_one_level(obs, ["k"], "o", 1 << 16, 500, 3)
+    moved = sum(r.iteration for r in reps.collect())
     assert 1 < moved <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
