@@ -310,7 +310,7 @@ def met_places(docs: DataFrame, size: int) -> DataFrame:
 
 def between_places(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """As `met_places`: cells of places of different classes with one value that the bitmaps do not rule out. shared: value, doc_id, place, class."""
-    n = buckets(docs.sparkSession, shared.count() * (32 + 3 * SKETCH // 8 + 3 * REACH + WIDE // 8), BUCKET)
+    n = buckets(docs.sparkSession, shared.count() * (32 + 3 * SKETCH // 8 + 5 * REACH + WIDE // 8), BUCKET)
     places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("value", "place", "class")).alias("places"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +318,7 @@ def between_places(docs: DataFrame, shared: DataFrame) -> DataFrame:
         value, of, place, kind = (t.column(c).to_numpy() for c in ("value", "doc_id", "place", "class"))
         order = np.lexsort((place, of, kind, value))
         left, right, around, shingle, lack, there = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(len(value), -1)[order] for c, kind in (
-            ("left", np.uint64), ("right", np.uint64), ("around", np.uint64), ("shingles", np.uint16), ("lack", np.int8), ("there", np.uint8)))
+            ("left", np.uint64), ("right", np.uint64), ("around", np.uint64), ("shingles", np.uint32), ("lack", np.int8), ("there", np.uint8)))
         value, of, place, kind = value[order], of[order], place[order], kind[order]
         start = begins(heads(value))
         for a, b in row_pairs(start, begins(heads(value) | heads(kind)) - start, 1 << 17):
@@ -368,6 +368,21 @@ def likeliest(met: DataFrame) -> DataFrame:
     return links_of(met.where("doc_id <> other_id").groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(n))).applyInArrow(best, MET))
 
 
+def one_of_classes(near: DataFrame, classes: DataFrame) -> DataFrame:
+    """For each two classes the link, of `links_of`, that takes in most cells. classes: doc_id, class."""
+    other = classes.select(F.col("doc_id").alias("other_id"), F.col("class").alias("other_class"))
+    link = F.struct(*near.columns)
+    return near.join(classes, "doc_id").join(other, "other_id").groupBy(F.least("class", "other_class"), F.greatest("class", "other_class")).agg(
+        F.max_by(link, F.struct(F.size("cells"), link)).alias("link")).select("link.*")
+
+
+def apart(near: DataFrame, known: DataFrame) -> DataFrame:
+    """Links between documents that are not in one component. known: node, component."""
+    ends = [known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("doc_id", "other_id")]
+    return near.join(ends[0], "doc_id", "left").join(ends[1], "other_id", "left").where(
+        F.coalesce("of_doc_id", "doc_id") != F.coalesce("of_other_id", "other_id")).select(*near.columns)
+
+
 def parted_places(met: DataFrame, joined: DataFrame) -> DataFrame:
     """value, doc_id, place, class: places whose value documents of several classes have. joined: node, component."""
     shared = met.where("value IS NOT NULL").select("value", "doc_id", F.col("cell").alias("place"))
@@ -439,7 +454,10 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def wanted_of(h: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of shingles the bit of each, and how many of its distinct ones each window may lack; -1 if it is not all inside."""
+    """For rows of shingles the bit of each, and how many of its distinct ones each window may lack; -1 if it is not all inside.
+
+    Above its 16 bits a shingle has how many places before it a window may begin that holds it for the first time there.
+    """
     order = np.argsort(h, 1, kind="stable")
     ranked = np.take_along_axis(h, order, 1)
     before = np.full(h.shape, -1, np.int16)
@@ -448,18 +466,23 @@ def wanted_of(h: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for w in range(lack.shape[1]):
         size = (before[:, w:w + SPAN] < w).sum(1)
         lack[:, w] = np.where(inside[:, w] & inside[:, w + SPAN - 1], size * (1 - THRESHOLD) + 1e-9, -1)
-    bit = ((h >> np.uint64(32)) % np.uint64(WIDE)).astype(np.uint16)
-    bit[before >= 0] = WIDE  # one that stands again is taken as found
-    return bit, lack
+    bit = ((h >> np.uint64(32)) % np.uint64(WIDE)).astype(np.uint32)
+    fresh = np.minimum(np.arange(h.shape[1]) - before - 1, SPAN - 1).astype(np.uint32)
+    return bit | fresh << np.uint32(16), lack
 
 
 def may_resemble(bit: np.ndarray, lack: np.ndarray, there: np.ndarray) -> np.ndarray:
-    """Whether any window of `wanted_of` lacks no more than it may of the bitmap beside it: if none does, verification finds nothing."""
-    found = np.ones((len(there), WIDE + 8), np.uint8)
-    found[:, :WIDE] = np.unpackbits(there, axis=1)
-    missing = np.zeros((len(bit), bit.shape[1] + 1), np.int16)
-    np.cumsum(np.take_along_axis(found, bit.astype(np.int64), 1) ^ 1, 1, out=missing[:, 1:])
-    return (missing[:, SPAN:] - missing[:, :-SPAN] <= lack).any(1)
+    """Whether any window of `wanted_of` lacks no more than it may of the bitmap beside it: if none does, verification finds nothing.
+
+    A missing shingle that stands several times in a window counts once, so that a run of one word is not taken as found.
+    """
+    rows, reach = bit.shape
+    place, fresh = (bit & 0xFFFF).astype(np.int64), (bit >> 16).astype(np.int64)
+    row, at = np.nonzero(np.take_along_axis(there, place >> 3, 1) >> (7 - (place & 7)).astype(np.uint8) & 1 == 0)
+    first = row * (reach + 1) + at
+    cells = rows * (reach + 1)
+    change = np.bincount(first - np.minimum(fresh[row, at], at), minlength=cells) - np.bincount(first + 1, minlength=cells)
+    return (np.cumsum(change.reshape(rows, -1), 1)[:, :lack.shape[1]] <= lack).any(1)
 
 
 def neighbourhoods(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -638,8 +661,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     component_id is the least id that the document is linked with by near-duplicate
     passages, over other documents too, and kept is true for it. Each cell is first
-    compared with one of an earlier document that most of its places meet. Then all
-    places with one value whose documents are not in one class yet are compared, so
+    compared with one of an earlier document that most of its places meet. Places with one
+    value whose documents are not in one class yet then give the links that the bitmaps leave: first
+    one of each two classes is verified, then all whose documents are still apart, so
     that a group of near copies takes no pairs beyond those that join it. The last
     columns are one of the passages found, as in `near_passages`.
     """
@@ -651,9 +675,13 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = store(met.where("value IS NULL").select("doc_id", "other_id").unionAll(pairs).distinct().toDF("a", "b"))
     parted = store(parted_places(met, components(links)))
     discard(met)
-    rest = verified(rows, store(links_of(between_places(rows, parted))), size, threshold, True)
+    near = store(links_of(between_places(rows, parted)))
+    some = some.unionAll(verified(rows, store(one_of_classes(near, parted.select("doc_id", "class").distinct())), size, threshold, True))
     discard(parted)
-    joined = components(links.unionAll(rest.select("doc_id", "other_id")))
+    known = components(links.unionAll(some.select("doc_id", "other_id")))
+    rest = verified(rows, store(apart(near, known)), size, threshold, True)
+    discard(near)
+    joined = components(links.unionAll(some.unionAll(rest).select("doc_id", "other_id")))
     shown = ["other_id", "start_word", "end_word", "other_start", "other_end"]
     found = some.unionAll(rest).groupBy("doc_id").agg(F.min(F.struct(*shown)).alias("one"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()

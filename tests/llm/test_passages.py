@@ -243,3 +243,26 @@ def test_what_may_not_resemble_has_no_similar_run():
         assert may or not passages.similar_runs(a.astype(np.uint32), b.astype(np.uint32))
         kept += may
     assert 0 < kept < 60
+
+
+def test_a_run_of_one_word_is_not_taken_as_found():
+    r = random.Random(9)
+    a, b = (np.array([r.randrange(1 << 32) for _ in range(n)], np.uint64) for n in (passages.REACH, passages.CELL + 2 * passages.STRETCH))
+    a[20:150] = a[20]
+    bit, lack = passages.wanted_of(a[None] << np.uint64(32), np.ones((1, len(a)), bool))
+    there = np.zeros((1, passages.WIDE), bool)
+    there[0, (b % np.uint64(passages.WIDE)).astype(np.int64)] = True
+    there[0, int(a[20]) % passages.WIDE] = False
+    assert not passages.may_resemble(bit, lack, np.packbits(there, axis=1))[0]
+    there[0, int(a[20]) % passages.WIDE] = True
+    assert passages.may_resemble(bit, lack, np.packbits(there, axis=1))[0]
+
+
+def test_one_link_of_each_two_classes_goes_first(spark):
+    near = spark.createDataFrame([(d, o, 0, list(range(1 + (d == 12 and o == 3)))) for d in (10, 11, 12) for o in (1, 2, 3)] + [(12, 20, 0, [0])],
+                                 "doc_id long, other_id long, other_cell long, cells array<long>")
+    classes = spark.createDataFrame([(d, 10) for d in (10, 11, 12)] + [(o, 1) for o in (1, 2, 3)] + [(20, 20)], "doc_id long, class long")
+    first = passages.one_of_classes(near, classes)
+    assert first.columns == near.columns and sorted((x.doc_id, x.other_id) for x in first.collect()) == [(12, 3), (12, 20)]
+    known = spark.createDataFrame([(d, 1) for d in (1, 2, 3, 10, 11, 12)], "node long, component long")
+    assert [(x.doc_id, x.other_id) for x in passages.apart(near, known).collect()] == [(12, 20)]
